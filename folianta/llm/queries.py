@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import load
-from . import p2_spans, p5_conversations, p7_tokens, p9_cuts
+from . import p1_pairs, p2_spans, p3_sentences, p5_conversations, p6_lookalikes, p7_tokens, p9_cuts
 
 
 def queries() -> dict:
     return {
+        "p1_found": lambda s, d: p1_pairs.defective_pairs(load(s, d, "feedback")),
+        "p1_counts": lambda s, d: p1_pairs.defect_counts(load(s, d, "feedback")),
         "p2_found": lambda s, d: p2_spans.span_pairs(load(s, d, "chunks")),
         "p2_shared": lambda s, d: p2_spans.shared_share(load(s, d, "chunks")),
+        "p3_found": lambda s, d: p3_sentences.sentence_starts(load(s, d, "chunks").select(F.col("id").alias("chunk_id"), "text"), "chunk_id"),
+        "p3_sections": lambda s, d: p3_sentences.sentences(p3_sentences.paragraph_texts(load(s, d, "sections"))),
         "p5_found": lambda s, d: p5_conversations.broken_threads(load(s, d, "threads"), load(s, d, "turns")),
         "p5_conversations": lambda s, d: p5_conversations.conversations(load(s, d, "threads"), load(s, d, "turns")),
+        "p6_found": lambda s, d: p6_lookalikes.read_but_not_written(load(s, d, "cases"), load(s, d, "chunks")),
+        "p6_forms": lambda s, d: load(s, d, "chunks").select(F.col("id").alias("chunk_id"), p6_lookalikes.one_form(F.col("text")).alias("form")).distinct(),
         "p7_ids": lambda s, d: p7_tokens.encode_corpus(load(s, d, "documents")),
         "p7_decoded": lambda s, d: p7_tokens.decode_corpus(p7_tokens.encode_corpus(load(s, d, "documents"))),
         "p9_found": lambda s, d: p9_cuts.cut_documents(load(s, d, "documents")),

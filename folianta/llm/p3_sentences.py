@@ -3,8 +3,9 @@
 Method: every terminator is a candidate boundary, and a maximum-entropy model
 decides each one from the neighbouring tokens, their case, length, digits and
 script. The model is trained on boundaries that are reliable without it: the
-end of a paragraph is one; a terminator before a small letter is none; and a
-token (``Dr.``, ``20.``, ``?”`` before its speaker) that is often followed by
+end of a paragraph is one, and so is a bare exclamation or question mark (or a
+full stop of a script that has it for nothing else) before no small letter; a
+terminator before a small letter is none; and a token (``Dr.``, ``20.``, ``?”`` before its speaker) that is often followed by
 more text, yet never ends a paragraph of the whole corpus, ends no sentence.
 
 Counts of tokens are taken over all texts. Only the fit uses a sample, of about
@@ -48,6 +49,8 @@ _THAI_SPACE = re.compile(r"(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
 _WORD_BEFORE = re.compile(r"(?:[^\W_]|[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0962\u0963])+\Z")
 _WORD_AFTER = re.compile(r"[^\W_]{1,12}")
 _WIDE = set("。！？．।॥…")
+#: Signs that end a sentence wherever they stand bare before no small letter.
+_SURE = set("!?。！？।॥")
 
 _classes: dict[str, str] = {}
 
@@ -167,6 +170,8 @@ def _labelled(ends_nothing: frozenset[str]):
                         label.append(1.0)
                     elif not stop and (context[4][-1] == "L" or any(x in ends_nothing for x in types(context))):
                         label.append(0.0)
+                    elif not stop and context[1] in _SURE and not context[2]:
+                        label.append(1.0)
                     else:
                         continue
                     active.append(features(context[:3] + (" " if stop and context[1] not in _WIDE else "" if stop else context[3],) + context[4:], ends_nothing))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import p1_pairs, p2_spans, p3_sentences, p5_conversations, p6_lookalikes, p7_tokens, p9_cuts
+from . import p1_pairs, p2_spans, p3_sentences, p4_vectors, p5_conversations, p6_lookalikes, p7_tokens, p9_cuts
 
 
 def queries() -> dict:
@@ -16,6 +16,8 @@ def queries() -> dict:
         "p2_shared": lambda s, d: p2_spans.shared_share(load(s, d, "chunks")),
         "p3_found": lambda s, d: p3_sentences.sentence_starts(load(s, d, "chunks").select(F.col("id").alias("chunk_id"), "text"), "chunk_id"),
         "p3_sections": lambda s, d: p3_sentences.sentences(p3_sentences.paragraph_texts(load(s, d, "sections"))),
+        "p4_found": lambda s, d: p4_vectors.near_pairs(load(s, d, "chunks")),
+        "p4_neighbours": lambda s, d: p4_vectors.search(load(s, d, "chunks"), F.pmod(F.xxhash64("id"), F.lit(100)) == 0),
         "p5_found": lambda s, d: p5_conversations.broken_threads(load(s, d, "threads"), load(s, d, "turns")),
         "p5_conversations": lambda s, d: p5_conversations.conversations(load(s, d, "threads"), load(s, d, "turns")),
         "p6_found": lambda s, d: p6_lookalikes.read_but_not_written(load(s, d, "cases"), load(s, d, "chunks")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import p1_pairs, p2_spans, p3_sentences, p4_vectors, p5_conversations, p6_lookalikes, p7_tokens, p9_cuts
+from . import p1_pairs, p2_spans, p3_sentences, p4_vectors, p5_conversations, p6_lookalikes, p7_tokens, p8_packing, p9_cuts
 
 
 def queries() -> dict:
@@ -24,6 +24,8 @@ def queries() -> dict:
         "p6_forms": lambda s, d: load(s, d, "chunks").select(F.col("id").alias("chunk_id"), p6_lookalikes.one_form(F.col("text")).alias("form")).distinct(),
         "p7_ids": lambda s, d: p7_tokens.encode_corpus(load(s, d, "documents")),
         "p7_decoded": lambda s, d: p7_tokens.decode_corpus(p7_tokens.encode_corpus(load(s, d, "documents"))),
+        "p8_packed": lambda s, d: p8_packing.pack_documents(load(s, d, "documents")),
+        "p8_containers": lambda s, d: p8_packing.containers(p8_packing.pack_documents(load(s, d, "documents"))),
         "p9_found": lambda s, d: p9_cuts.cut_documents(load(s, d, "documents")),
         "p9_rates": lambda s, d: p9_cuts.cut_rates(load(s, d, "documents")),
     }

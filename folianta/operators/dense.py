@@ -49,7 +49,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dims: int = 64, shard
     what meets in the last window is k rows for each query and shard. Products may be negative; none is dropped.
     """
     shards = max(1, math.ceil(vectors.count() / shard_rows))
-    kept = vectors.select("id", "book_id", "vector", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("of"))
+    kept = vectors.select(*[F.col(c).alias(c) for c in ("id", "book_id", "vector")], F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("of"))
     asked = queries.select("query_id", "scope", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     kind = queries.schema["query_id"].dataType.simpleString()
     id_kind = vectors.schema["id"].dataType.simpleString()

@@ -2,10 +2,509 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import DEFAULTS
+from ..functions import text as T
+from ..functions.vectors import unit, usable
+from ..operators import audit, counting, dense, evaluate, fusion, ingest, lexical, providers, records, reuse, similar
+from ..sources.tables import load, materialise
+from . import corpus
+
+Q = {}
+
+
+def query(f):
+    """Registers ``f(spark, sf_dir)`` by its name."""
+    Q[f.__name__] = f
+    return f
+
+
+# text and ingest
+
+
+@query
+def tokenize_docs(s: SparkSession, d: str) -> DataFrame:
+    t = F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>"))
+    return load(s, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms")).distinct()
+
+
+@query
+def word_counts(s, d):
+    return load(s, d, "documents").select("doc_id", T.count_words(F.col("text")).alias("words")).distinct()
+
+
+@query
+def normal_forms(s, d):
+    c = F.col("text")
+    return load(s, d, "chunks").select(
+        "id", F.md5(T.title_words(c)).alias("title_words"), F.md5(T.quote_words(c)).alias("quote_words"), F.md5(T.reuse_words(c)).alias("reuse_words"), F.md5(T.plain_lower(c)).alias("plain_lower"), F.md5(T.flat(c)).alias("flat")
+    ).distinct()
+
+
+@query
+def split_sentences(s, d):
+    parts = T.split_sentences(F.col("text"))
+    return load(s, d, "documents").where("text is not null").select("doc_id", F.size(parts).alias("sentences"), F.md5(F.array_join(parts, "|")).alias("digest")).distinct()
+
+
+@query
+def headings(s, d):
+    return corpus.sections(s, d).where("title is not null").select("book_id", "chapter_index", T.fix_heading(F.col("title")).alias("title"), T.has_numeral(T.fix_heading(F.col("title"))).alias("numbered"))
+
+
+@query
+def section_words(s, d):
+    return corpus.sections(s, d).select("book_id", "chapter_index", ingest.paragraph_words(F.col("paragraphs")).alias("words"))
+
+
+@query
+def chunk_size_percentiles(s, d):
+    sized = corpus.chunks(s, d).select("book_id", T.count_words(F.col("text")).alias("word_count"))
+    return ingest.size_report(sized)
+
+
+@query
+def collection_stats(s, d):
+    return ingest.collection_stats(corpus.sections(s, d), corpus.chunks(s, d))
+
+
+@query
+def chapter_text(s, d):
+    t = ingest.chapter_texts(corpus.sections(s, d))
+    return t.select("book_id", "chapter_index", "dropped", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+@query
+def chapter_list(s, d):
+    return ingest.chapter_list(corpus.chunks(s, d))
+
+
+@query
+def reading_order(s, d):
+    return ingest.reading_order(corpus.sections(s, d).select("book_id", "chapter_index"))
+
+
+@query
+def seams(s, d):
+    return ingest.seams(corpus.chunks(s, d))
+
+
+@query
+def chunks_made(s, d):
+    made = ingest.chunk(corpus.sections(s, d))
+    return made.select("id", "word_count", F.md5("text").alias("digest"))
+
+
+@query
+def html_sections(s, d):
+    """Sections written as pages and read back."""
+    inner = F.transform("paragraphs", lambda p: F.concat(F.lit("<p>"), F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))))
+    part = F.struct("chapter_index", F.concat(F.lit("<h2>"), F.coalesce("title", F.lit("")), F.lit("</h2>"), F.array_join(inner, "\n")).alias("html"))
+    pages = corpus.sections(s, d).groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["html"]), "\n").alias("html"))
+    made = ingest.sections_of(ingest.read_html(pages), least_words=DEFAULTS.least_section_words)
+    return made.select("book_id", "chapter_index", "title", F.size("paragraphs").alias("paragraphs"), "word_count")
+
+
+# lexical
+
+
+@query
+def idf_table(s, d):
+    index = lexical.build(corpus.chunks(s, d))
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def bm25_topk(s, d):
+    return lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), 10)
+
+
+@query
+def bm25_book_filter(s, d):
+    return lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d, scoped=True)), 10)
+
+
+@query
+def bm25_alias(s, d):
+    return lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d), corpus.aliases(s)), 10)
+
+
+@query
+def max_idf(s, d):
+    return lexical.max_idf(lexical.build(corpus.chunks(s, d)), corpus.queries(s, d))
+
+
+# dense and fused
+
+
+@query
+def dense_topk(s, d):
+    """Of all vectors, the five nearest to each whose id is divisible by 100."""
+    v = load(s, d, "embeddings").where(usable(F.col("embedding"), 64)).select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("book_id"), unit(F.col("embedding")).alias("vector"))
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.lit(None).cast("string").alias("scope"), "vector")
+    return dense.search(asked, v, 5)
+
+
+def _arms(s, d, pool: int):
+    """Both ranked lists of every case; without a model, a question's vector is the mean of its three best lexical hits'."""
+    vectors = corpus.vectors(s, d)
+    sparse = materialise(lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), pool), "sparse")
+    spots = sparse.where("rank <= 3").join(vectors.select("id", "vector"), "id").select("query_id", F.posexplode("vector").alias("pos", "x"))
+    mean = spots.groupBy("query_id", "pos").agg(F.round(F.avg("x"), 6).alias("x"))
+    asked = mean.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("vector"))
+    found = dense.search(asked.select("query_id", F.lit(None).cast("string").alias("scope"), "vector"), vectors, pool)
+    return materialise(found, "dense"), sparse
+
+
+@query
+def rrf_hybrid(s, d):
+    return fusion.rrf(*_arms(s, d, 24))
+
+
+@query
+def neighbours(s, d):
+    return fusion.with_neighbours(fusion.rrf(*_arms(s, d, 24)), corpus.chunks(s, d))
+
+
+@query
+def rrf_modes(s, d):
+    """How many of each case's eight come from one arm only, or both."""
+    hits = fusion.rrf(*_arms(s, d, 24))
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    a, b = F.col("dense_rank").isNotNull(), F.col("sparse_rank").isNotNull()
+    return hits.groupBy("query_id").agg(n(a & b, "both"), n(a & ~b, "dense_only"), n(~a & b, "sparse_only"))
+
+
+def _lists(s, d):
+    """Three lists for each case: lexical hits with and without aliases, and in its own book."""
+    index = lexical.build(corpus.chunks(s, d))
+    made = [lexical.query_terms(corpus.queries(s, d)), lexical.query_terms(corpus.queries(s, d), corpus.aliases(s)), lexical.query_terms(corpus.queries(s, d, scoped=True))]
+    lists = None
+    for n, terms in enumerate(made):
+        one = lexical.search(index, terms, 12).select("query_id", F.lit(n).alias("list_no"), (F.col("rank") - 1).alias("rank"), "id")
+        lists = one if lists is None else lists.unionByName(one)
+    return lists.join(corpus.chunks(s, d).select("id", "book_id", "chapter_index"), "id")
+
+
+@query
+def round_robin(s, d):
+    return fusion.round_robin(_lists(s, d), 6)
+
+
+@query
+def via_lists(s, d):
+    return fusion.via(_lists(s, d)).select("query_id", "id", F.array_join(F.transform("via", lambda v: v.cast("string")), " ").alias("via"))
+
+
+@query
+def rerank_order(s, d):
+    """A reranker that names every third candidate backwards; the rest stay in order behind them."""
+    hits = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), 24).select("query_id", "id", F.col("rank").alias("place"))
+    orders = hits.groupBy("query_id").agg(F.reverse(F.array_sort(F.collect_list(F.when(F.col("place") % 3 == 0, F.col("place"))))).alias("order"))
+    return fusion.rerank(hits, orders, 8)
+
+
+@query
+def stub_rerank(s, d):
+    """Reranked by the offline provider."""
+    hits = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), 24)
+    given = hits.join(corpus.chunks(s, d).select("id", "text"), "id").join(corpus.queries(s, d).select("query_id", "query"), "query_id")
+    candidates = given.select("query_id", "query", "id", F.col("rank").alias("place"), "text")
+    return fusion.rerank(candidates.select("query_id", "id", "place"), providers.rerank_orders(candidates, providers.Offline()), 8)
+
+
+@query
+def entity_candidates(s, d):
+    index = lexical.build(corpus.chunks(s, d))
+    hits = lexical.search(index, lexical.query_terms(corpus.queries(s, d)), 3)
+    passages = hits.join(corpus.chunks(s, d).select("id", "text"), "id").join(corpus.queries(s, d).select("query_id", "query"), "query_id")
+    return counting.entity_candidates(passages.select("query_id", "query", "text"), index)
+
+
+# reuse and similarity
+
+
+@query
+def shingle_stats(s, d):
+    each = reuse.with_shingles(corpus.chunks(s, d).select("id", "book_id", "text")).select("id", "book_id", F.size("phrases").alias("n"))
+    return each.groupBy("book_id").agg(F.sum("n").alias("shingles"), F.max("n").alias("most"), F.count(F.when(F.col("n") == 0, 1)).alias("none"))
+
+
+@query
+def reuse_pairs(s, d):
+    """Chunks of different books that share at least two shingles."""
+    a = materialise(reuse.shingles(corpus.chunks(s, d)), "shingles")
+    return reuse.pairs(a, a, 2, "a_id < b_id and a_book <> b_book")
+
+
+@query
+def reuse_self_control(s, d):
+    """Chunks of the same book that share shingles: the positive control, as chunks overlap."""
+    a = materialise(reuse.shingles(corpus.chunks(s, d)), "shingles")
+    return reuse.pairs(a, a, 1, "a_id < b_id and a_book = b_book")
+
+
+@query
+def fnv_hash(s, d):
+    return corpus.sections(s, d).where("title is not null").select("book_id", "chapter_index", T.fnv1a(F.col("title")).alias("h"))
+
+
+def _two_books(s, d):
+    """Vectors of the two books with most chunks."""
+    v = corpus.vectors(s, d)
+    names = v.groupBy("book_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "book_id").limit(2)
+    which = names.select("book_id", F.row_number().over(Window.orderBy(F.desc("n"), "book_id")).alias("side"))
+    both = v.join(F.broadcast(which), "book_id")
+    return both.where("side = 1").drop("side"), both.where("side = 2").drop("side")
+
+
+@query
+def nn_pairs(s, d):
+    return similar.nearest(*_two_books(s, d))
+
+
+@query
+def diverse_pairs(s, d):
+    a, b = _two_books(s, d)
+    pairs = similar.nearest(a, b)
+    chapters = pairs.join(a.select(F.col("id").alias("a_id"), F.col("chapter_index").alias("a_chapter")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("chapter_index").alias("b_chapter")), "b_id")
+    return similar.diverse(chapters.select("a_id", "b_id", "a_chapter", "b_chapter", "similarity"), 5)
+
+
+@query
+def baseline_similarity(s, d):
+    placed = lambda v: v.select("vector", (F.row_number().over(Window.partitionBy("book_id").orderBy("id")) - 1).alias("place"))
+    a, b = _two_books(s, d)
+    return similar.baseline(placed(a), placed(b))
+
+
+@query
+def strength_labels(s, d):
+    rows = load(s, d, "passage_pairs").where("similarity is not null").distinct()
+    return rows.select("a_id", "b_id", "similarity", similar.strength(F.col("similarity"), F.lit(0.4316)).alias("strength"), similar.relationship(F.col("relationship")).alias("relationship")).distinct()
+
+
+# audits
+
+
+@query
+def citation_audit(s, d):
+    return audit.audit_citations(corpus.answers(s, d), load(s, d, "chunks").select("id"))
+
+
+@query
+def quote_audit(s, d):
+    return audit.audit_quotes(corpus.answers(s, d), corpus.chunks(s, d).select("id", "text"))
+
+
+@query
+def claims_of(s, d):
+    c = audit.claims(corpus.answers(s, d))
+    return c.select("answer_id", "claim_no", F.md5("claim").alias("digest"), F.array_join("cited", " ").alias("cited"))
+
+
+@query
+def tamper_variants(s, d):
+    a = corpus.answers(s, d).where("answer is not null").select("answer_id", "answer", F.try_element_at("retrieved", F.lit(1)).alias("passage_id"))
+    return audit.tampered(a).select("answer_id", "kind", F.md5("tampered").alias("digest"))
+
+
+@query
+def key_moments(s, d):
+    """Which quotations of an answer stand in a passage it lists, word for word (over 20 characters)."""
+    a = corpus.answers(s, d).select("answer_id", F.explode(F.concat("retrieved", "prior")).alias("id"), "answer")
+    spans = a.select("answer_id", "id", F.explode(T.quoted_spans(F.col("answer"))).alias("span")).where(F.length("span") > 20)
+    kept = spans.join(corpus.chunks(s, d).select("id", "text"), "id").where(F.contains(T.title_words(F.col("text")), T.title_words(F.col("span"))))
+    return kept.select("answer_id", "id", F.md5("span").alias("digest")).distinct()
+
+
+# counting
+
+
+@query
+def count_mentions(s, d):
+    terms = s.createDataFrame([("lantern",), ("aunt",), ("St. ",), ("on the landing",)], "term string")
+    return counting.mention_totals(counting.mentions(ingest.chapter_texts(corpus.sections(s, d)), terms))
+
+
+# records
+
+
+@query
+def threads_latest(s, d):
+    return records.latest(load(s, d, "threads"), "id", ["updated_at", "title"]).select("id", "visitor", "title", "created_at", "updated_at")
+
+
+@query
+def thread_upsert(s, d):
+    """Threads with a later save put over every second of them, some by another visitor."""
+    t = records.latest(load(s, d, "threads"), "id", ["updated_at", "title"])
+    saved = t.where(F.col("created_at") % 2 == 0).select("id", F.when(F.col("created_at") % 4 == 0, F.lit("nobody")).otherwise(F.col("visitor")).alias("visitor"), F.lit("saved").alias("title"), "created_at", (F.col("updated_at") + 1).alias("updated_at"))
+    return records.upsert_threads(t, saved)
+
+
+@query
+def thread_delete(s, d):
+    threads, turns = load(s, d, "threads"), load(s, d, "turns")
+    gone = threads.where(F.col("created_at") % 3 == 0).select("id", "visitor").distinct()
+    a, b = records.delete_threads(threads, turns, gone)
+    return a.agg(F.countDistinct("id").alias("threads")).crossJoin(b.agg(F.countDistinct("id").alias("turns")))
+
+
+@query
+def recent_threads(s, d):
+    return records.recent_threads(records.latest(load(s, d, "threads"), "id", ["updated_at", "title"])).select("id", "updated_at")
+
+
+@query
+def thread_merge(s, d):
+    """Saved threads against what their turns say, the longer or later of each."""
+    a = load(s, d, "threads").select("id", F.lit(1).cast("bigint").alias("n_turns"), F.col("updated_at").alias("at")).distinct()
+    b = load(s, d, "turns").where("thread_id is not null").groupBy(F.col("thread_id").alias("id")).agg(F.countDistinct("id").alias("n_turns"), F.max("created_at").alias("at"))
+    return records.merge_threads(a, b).select("id", "n_turns", F.col("at").alias("last_at"))
+
+
+@query
+def thread_titles(s, d):
+    turns = load(s, d, "turns").where("thread_id is not null and content is not null")
+    return records.thread_titles(turns, F.lower(F.trim("role")).isin("user", "human"))
+
+
+@query
+def threads_with_turns(s, d):
+    """Each thread with its number of turns and the last id, threads without turns too."""
+    t = records.latest(load(s, d, "threads"), "id", ["updated_at", "title"])
+    n = load(s, d, "turns").groupBy("thread_id").agg(F.countDistinct("id").alias("turns"), F.max("id").alias("last_id"))
+    return t.join(n, t["id"] == n["thread_id"], "left").select("id", F.coalesce("turns", F.lit(0)).alias("turns"), "last_id")
+
+
+@query
+def feedback_summary(s, d):
+    return records.feedback_summary(load(s, d, "feedback").dropDuplicates(["id"]))
+
+
+@query
+def candidate_cases(s, d):
+    return records.candidate_cases(load(s, d, "feedback").dropDuplicates(["id"]))
+
+
+@query
+def visitor_summary(s, d):
+    return records.visitor_summary(load(s, d, "feedback").dropDuplicates(["id"]), records.latest(load(s, d, "threads"), "id", ["updated_at", "title"]))
+
+
+@query
+def usage_cost(s, d):
+    """What each thread's turns would cost, four characters a token; what a reader sent before is cached."""
+    t = load(s, d, "turns").where("thread_id is not null").dropDuplicates(["id"])
+    n = F.floor(F.coalesce(F.length("content"), F.lit(0)) / 4)
+    ours = F.lower(F.trim("role")).isin("assistant", "bot", "ai")
+    zero = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    used = t.groupBy("thread_id").agg(zero(~ours).alias("prompt"), zero(ours).alias("completion"), F.count(F.lit(1)).alias("calls"))
+    return used.select("thread_id", "prompt", "completion", records.cost(F.col("prompt"), F.floor(F.col("prompt") / 2), F.col("completion"), F.col("calls")).alias("cost"))
+
+
+@query
+def recent_traces(s, d):
+    return records.newest(load(s, d, "events"), ["ts", "event_id"]).select("event_id", "event_type")
+
+
+@query
+def requests_last_hour(s, d):
+    e = load(s, d, "events").select(F.col("user_id").alias("visitor"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
+    return records.requests_last_hour(e).select("id", "used")
+
+
+def _requests(s, d):
+    return load(s, d, "events").select((F.col("user_id") % 20).cast("string").alias("visitor"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
+
+
+@query
+def rate_limit(s, d):
+    return records.rate_limit(_requests(s, d), 2).select("id", "used", "ok")
+
+
+# evaluation
+
+
+def _hits(s, d, k: int = 8):
+    ranked = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), k)
+    return evaluate.expected_hits(ranked, corpus.cases(s, d).select(F.col("id").alias("query_id"), "any_of"), corpus.chunks(s, d))
+
+
+def _results(s, d):
+    cases = corpus.cases(s, d).select(F.col("id").alias("query_id"), F.col("case_type").alias("kind"), "goal")
+    return evaluate.by_case(_hits(s, d), cases).join(cases, "query_id")
+
+
+@query
+def retrieval_metrics(s, d):
+    r = _results(s, d)
+    return r.groupBy("kind").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg("found"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"))
+
+
+@query
+def pass_rates(s, d):
+    return evaluate.pass_rates(_results(s, d).withColumnRenamed("found", "passed"))
+
+
+@query
+def rank_weighted_precision(s, d):
+    return evaluate.precision(_hits(s, d), 8)
+
+
+@query
+def majority_votes(s, d):
+    """Three votes for each case: found by words, with aliases, and in its own book."""
+    index = lexical.build(corpus.chunks(s, d))
+    cases = corpus.cases(s, d).select(F.col("id").alias("query_id"), "any_of")
+    votes = None
+    for terms in (lexical.query_terms(corpus.queries(s, d)), lexical.query_terms(corpus.queries(s, d), corpus.aliases(s)), lexical.query_terms(corpus.queries(s, d, scoped=True))):
+        one = evaluate.by_case(evaluate.expected_hits(lexical.search(index, terms, 8), cases, corpus.chunks(s, d)), cases).select(F.col("query_id").alias("case_id"), F.col("found").alias("vote"))
+        votes = one if votes is None else votes.unionByName(one)
+    return evaluate.majority(votes)
+
+
+@query
+def topic_coverage(s, d):
+    """The book a case names, where none of its passages is from it."""
+    cases = corpus.cases(s, d).where("book_id is not null").select(F.col("id").alias("case_id"), F.array("book_id").alias("books_required"))
+    found = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), 8).join(corpus.chunks(s, d).select("id", "book_id"), "id")
+    return evaluate.topic_coverage(cases, found.select(F.col("query_id").alias("case_id"), "book_id")).select("case_id", F.array_join("missing", " ").alias("missing"))
+
+
+@query
+def needle_rates(s, d):
+    """How often a chunk comes back for its own first words, by the chapters' position."""
+    c = corpus.chunks(s, d).where("chunk_index = 0 and text is not null")
+    asked = c.select(F.col("id").alias("query_id"), F.array_join(F.slice(F.split(T.squash(F.col("text")), " "), 1, 12), " ").alias("query"), F.lit(None).cast("string").alias("scope"))
+    found = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(asked), 8).where("query_id = id").select("query_id", "rank")
+    form = F.when(F.col("chapter_index") < 5, "early").otherwise("late")
+    return evaluate.needle_rates(c.select(F.col("id").alias("query_id"), form.alias("form")).join(found, "query_id", "left"))
+
+
+@query
+def bootstrap_ci(s, d):
+    order = Window.partitionBy("kind").orderBy("query_id")
+    values = _results(s, d).select(F.coalesce("kind", F.lit("none")).alias("series"), F.row_number().over(order).alias("place"), F.col("found").cast("double").alias("value"))
+    return evaluate.bootstrap(values, 1000)
+
+
+@query
+def paired_bootstrap(s, d):
+    cases = corpus.cases(s, d).select(F.col("id").alias("query_id"), "any_of")
+    index = lexical.build(corpus.chunks(s, d))
+    one = lambda terms: evaluate.by_case(evaluate.expected_hits(lexical.search(index, terms, 8), cases, corpus.chunks(s, d)), cases).select(F.col("query_id").alias("case_id"), F.col("rr").alias("value"))
+    return evaluate.paired_bootstrap(one(lexical.query_terms(corpus.queries(s, d))), one(lexical.query_terms(corpus.queries(s, d), corpus.aliases(s))), 1000)
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import SQL
+
+    return {name: sql for name, sql in SQL.items() if name in Q}

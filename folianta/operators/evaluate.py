@@ -59,10 +59,9 @@ def _draws(seed: float = 12345.0):
 def bootstrap(values: DataFrame, iterations: int = 5000, key: str = "series") -> DataFrame:
     """key, n, mean, low and high (95 % of resampled means) for each series of values.
 
-    ``values`` has the key, place and value. A value of a metric is one of few
-    (found or not, one over a rank), so a series is its counts by value; only
-    those and the places drawn decide a mean. A series is one case set, whose
-    size people write by hand; its rows meet in one task. An empty series has no row.
+    ``values`` has the key, place and value. A series is the outcome of one case
+    set, which people write by hand; its rows meet in one task, as the generator
+    runs on from one resample to the next. An empty series has no row.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

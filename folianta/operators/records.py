@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,18 +117,32 @@ def admit(times: list[int], held: list[int], limit: int, window_ms: int = HOUR_M
 def rate_limit(requests: DataFrame, limit: int, window_ms: int = HOUR_MS) -> DataFrame:
     """visitor, at, id, used and ok: a request is admitted if fewer than ``limit`` were within the hour before.
 
-    A refused request is not counted, so each depends on those before it. Within
-    a visitor a pause of an hour forgets everything: requests are cut into
-    stretches at such pauses, and each stretch is one short group, however busy
-    the visitor. A limit of 0 admits everything.
+    A refused request is not counted, so each depends on those before it. A
+    pause of an hour forgets everything, so a visitor's requests are cut into
+    stretches at such pauses, which spread over the cluster whoever they belong
+    to. Pauses are found on the first and last request of each hour only; a
+    stretch is read in order and never held as a group. A limit of 0 admits
+    everything. Requests without a time are left out.
     """
-    order = Window.partitionBy("visitor").orderBy("at", "id")
-    pause = F.coalesce((F.col("at") - F.lag("at").over(order) >= window_ms).cast("int"), F.lit(1))
-    stretches = requests.select("visitor", "at", "id").withColumn("pause", pause).withColumn("stretch", F.sum("pause").over(order))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "id"])
-        rows["ok"], rows["used"], _ = admit(rows["at"].tolist(), [], limit, window_ms)
-        return rows[["visitor", "at", "id", "used", "ok"]]
-
-    return stretches.groupBy("visitor", "stretch").applyInPandas(run, f"visitor {requests.schema['visitor'].dataType.simpleString()}, at bigint, id bigint, used bigint, ok boolean")
+    rows = requests.select("visitor", "at", "id").where("at is not null").withColumn("bucket", F.floor(F.col("at") / window_ms))
+    hours = rows.groupBy("visitor", "bucket").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    order = Window.partitionBy("visitor").orderBy("bucket")
+    fresh = F.coalesce((F.col("first") - F.lag("last").over(order) >= window_ms).cast("int"), F.lit(1))
+    numbered = hours.withColumn("fresh", fresh).select("visitor", "bucket", F.sum("fresh").over(order).alias("stretch"))
+    same = F.col("r.visitor").eqNullSafe(F.col("n.visitor")) & (F.col("r.bucket") == F.col("n.bucket"))
+    placed = rows.alias("r").join(numbered.alias("n"), same).select("r.visitor", "n.stretch", "r.at", "r.id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held = None, []
+        for batch in batches:
+            used, ok = [], []
+            for visitor, stretch, at in zip(batch["visitor"], batch["stretch"], batch["at"], strict=True):
+                if here != (visitor, stretch):
+                    here, held = (visitor, stretch), []
+                admitted, before, held = admit([at], held, limit, window_ms)
+                used += before
+                ok += admitted
+            yield batch[["visitor", "at", "id"]].assign(used=used, ok=ok)
+
+    ordered = placed.repartition("visitor", "stretch").sortWithinPartitions("visitor", "stretch", "at", "id")
+    return ordered.mapInPandas(run, f"visitor {requests.schema['visitor'].dataType.simpleString()}, at bigint, id bigint, used bigint, ok boolean")

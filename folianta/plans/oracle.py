@@ -163,13 +163,15 @@ def any_of(x: str, patterns: list[str]) -> str:
     return "(" + " OR ".join(f"regexp_matches({x}, {q('(?i)' + p)})" for p in patterns) + ")"
 
 
+FLAT = squash("translate(text, '‘’“”', '''''" + '""' + "')")
+
 MENTION = {"lantern": "(?i)\\blantern\\b", "aunt": "(?i)\\baunt\\b", "St. ": "(?i)St\\. ", "on the landing": "(?i)\\bon the landing\\b"}
 
 SQL = {
     "tokenize_docs": f"SELECT DISTINCT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_terms FROM (SELECT doc_id, coalesce({tokens('text')}, []) AS t FROM documents)",
     "word_counts": f"SELECT DISTINCT doc_id, ({n_words('text')})::INTEGER AS words FROM documents",
     "normal_forms": f"""SELECT DISTINCT id, md5({title_words('text')}) AS title_words, md5({quote_words('text')}) AS quote_words, md5({reuse_words('text')}) AS reuse_words,
-        md5(translate(lower(text), '‘’', '''''')) AS plain_lower, md5({squash("translate(text, '‘’“”', '''''""')")}) AS flat FROM chunks""",
+        md5(translate(lower(text), '‘’', '''''')) AS plain_lower, md5({FLAT}) AS flat FROM chunks""",
     "split_sentences": f"WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL), {glued('d', 'doc_id', 'text')} SELECT doc_id, count(*)::INTEGER AS sentences, md5(string_agg(piece, '|' ORDER BY n)) AS digest FROM glued GROUP BY doc_id",
     "headings": f"""WITH {S}, t AS (SELECT book_id, chapter_index, {squash("regexp_replace(" + squash("title") + r", '\b(CHAPTER|Chapter|SECTION|Section)([A-Z0-9])', '\1 \2', 'g')")} AS title FROM s WHERE title IS NOT NULL)
         SELECT book_id, chapter_index, title, regexp_matches(title, '{NUMERAL}') AS numbered FROM t""",

@@ -31,5 +31,31 @@ def queries() -> dict:
     }
 
 
+WORDS = r"list_filter(regexp_extract_all(replace(lower(text), '’', ''''), '[\p{L}\p{M}\p{N}'']+'), lambda w: w <> '')"
+USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+ROLE = r"regexp_replace(lower(coalesce(role, '')), '[^\p{L}]', '', 'g')"
+
+
+def _names(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL by brute force, for the problems it can express."""
+    speaker = f"CASE WHEN {ROLE} IN ({_names(p5_conversations.READER)}) THEN 'r' WHEN {ROLE} IN ({_names(p5_conversations.ASSISTANT)}) THEN 'a' WHEN {ROLE} IN ({_names(p5_conversations.ASIDE)}) THEN 'x' ELSE '?' END"
+    return {
+        "p2_found": f"""WITH c AS (SELECT DISTINCT id, book_id, chapter_index, {WORDS} AS w FROM chunks WHERE id IS NOT NULL),
+            i AS (SELECT *, unnest(range(1, len(w) - 28)) AS i FROM c WHERE len(w) >= 30),
+            g AS (SELECT DISTINCT id, book_id, chapter_index, array_to_string(w[i:i+29], ' ') AS run FROM i)
+            SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM g a JOIN g b USING (run) WHERE a.id < b.id AND (a.book_id IS DISTINCT FROM b.book_id OR a.chapter_index IS DISTINCT FROM b.chapter_index)""",
+        "p4_found": f"""WITH e AS (SELECT DISTINCT ON (id) id, embedding::DOUBLE[] AS v FROM chunks WHERE id IS NOT NULL AND {USABLE}), n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM e),
+            s AS (SELECT a.id AS x, b.id AS y, list_dot_product(a.v, b.v) / (a.l * b.l) AS sim FROM n a, n b WHERE a.id <> b.id),
+            r AS (SELECT x, y FROM s WHERE sim >= 0.9 QUALIFY row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) <= 5)
+            SELECT DISTINCT least(x, y) AS a_id, greatest(x, y) AS b_id FROM r""",
+        "p5_found": f"""WITH t AS (SELECT DISTINCT id, thread_id, {speaker} AS s, content FROM turns WHERE id IS NOT NULL AND thread_id IS NOT NULL), m AS (SELECT * FROM t WHERE s <> 'x'),
+            l AS (SELECT *, lag(s) OVER w AS ps, lag(content) OVER w AS pc FROM m WINDOW w AS (PARTITION BY thread_id ORDER BY id)),
+            k AS (SELECT * FROM l WHERE NOT (ps IS NOT NULL AND ps = s AND pc IS NOT DISTINCT FROM content)),
+            p AS (SELECT thread_id, string_agg(CASE WHEN content IS NULL OR regexp_matches(content, '^[\\s\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]*$') THEN 'B' ELSE s END, '' ORDER BY id) AS pat FROM k GROUP BY thread_id),
+            whole AS (SELECT thread_id FROM p WHERE regexp_full_match(pat, '(ra)+') AND thread_id IN (SELECT id FROM threads WHERE id IS NOT NULL))
+            SELECT thread_id FROM (SELECT thread_id FROM turns WHERE thread_id IS NOT NULL UNION SELECT id FROM threads WHERE id IS NOT NULL) WHERE thread_id NOT IN (SELECT thread_id FROM whole)""",
+    }

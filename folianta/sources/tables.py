@@ -14,6 +14,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folder of each application that names none.
+_own: dict[str, str] = {}
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of ``folder`` (one parquet file or a folder of them)."""
@@ -25,9 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    made = tempfile.mkdtemp(prefix="folianta-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="folianta-")
+    return _own[app]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,23 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     for name, column in columns.items():
         df = df.select("*", F.explode(F.array(column)).alias(name))
     return df
+
+
+def numbered(df: DataFrame, by: list[str], name: str = "place") -> DataFrame:
+    """``df`` with each row's place (from 0) in the order of ``by``, without all rows meeting in one task.
+
+    Rows are sorted in ranges and written once, each with its range and place
+    within it; only the counts of the ranges meet. Null sorts first. Rows that
+    tie in ``by`` are numbered in any order; an empty frame stays empty.
+    """
+    from ..sources.tables import materialise
+
+    low = F.monotonically_increasing_id()
+    # the upper bits are the range, the lower 33 the place within it
+    sorted_ = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", low)
+    kept = materialise(sorted_.select("*", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_in")).drop("_at"), "numbered")
+    counts = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range: as many as there are shuffle partitions
+    starts = counts.select("_range", before.alias("_start"))
+    return kept.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_in")).drop("_range", "_in", "_start")

@@ -118,3 +118,40 @@ def count_matches(text: Column, term: Column) -> Column:
     wordlike = term.rlike(r"^[A-Za-z0-9_][A-Za-z0-9_' -]*$")
     pattern = F.when(wordlike, F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), escaped, F.lit("(?![A-Za-z0-9_])"))).otherwise(F.concat(F.lit("(?i)"), escaped))
     return F.regexp_count(text, pattern)
+
+
+def tidy_title(title: Column) -> Column:
+    """A chapter title for a list: no capitals in the word for chapter, no full stop at the end."""
+    calm = F.regexp_replace(title, r"(?<![A-Za-z0-9_])CHAPTER(?![A-Za-z0-9_])", "Chapter")
+    return trimmed(F.regexp_replace(calm, rf"{SPACE}*\.{SPACE}*\z", ""))
+
+
+def chapter_ref(title: Column) -> Column:
+    """The first number in a title, in capitals; without one, the title's first ten characters after the word for chapter."""
+    number = F.regexp_extract(title, r"(?i)(?<![A-Za-z0-9_])([IVXLC]+|\d+)(?![A-Za-z0-9_])", 1)
+    rest = F.substring(F.regexp_replace(title, rf"(?i)^chapter{SPACE}*", ""), 1, 10)
+    return F.when(number != "", F.upper(number)).otherwise(rest)
+
+
+def without_ref(title: Column) -> Column:
+    """A title without the number it begins with; empty where there is nothing else."""
+    return trimmed(F.regexp_replace(title, rf"(?i)^{SPACE}*(?:chapter{SPACE}+)?[IVXLC\d]+[.:]?{SPACE}*", ""))
+
+
+def first_clause(note: Column, most: int = 58) -> Column:
+    """A note's first ``most`` characters, cut before the last word begun, and an ellipsis; a null note is empty."""
+    clean = F.coalesce(squash(note), F.lit(""))
+    cut = F.concat(F.regexp_replace(F.substring(clean, 1, most), r"[\s,;:.]+\S*\z", ""), F.lit("…"))
+    return F.when(F.length(clean) > most, cut).otherwise(clean)
+
+
+def error_kind(message: Column) -> Column:
+    """``rate_limited``, ``filtered`` or ``failed``: what a provider's error message says."""
+    said = lambda pattern: message.rlike("(?i)" + pattern)
+    return F.when(said(r"\b429\b|rate limit"), "rate_limited").when(said("content management policy|content_filter"), "filtered").otherwise("failed")
+
+
+def echoed_spans(answer: Column, passage: Column, least: int = 12) -> Column:
+    """What an answer quotes in curly quotes and a passage holds, once each, in order; quotes and white space compare alike."""
+    spans = F.transform(F.regexp_extract_all(answer, F.lit(rf"“([^”]{{{least},}})”"), F.lit(1)), trimmed)
+    return F.array_distinct(F.filter(spans, lambda s: F.contains(flat(passage), flat(s))))

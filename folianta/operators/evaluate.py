@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_lower
+from ..functions.frames import numbered
+from ..functions.text import citations, plain_lower, quote_words
+from ..functions.vectors import dot
 
 
 def expected_hits(ranked: DataFrame, cases: DataFrame, passages: DataFrame) -> DataFrame:
@@ -83,8 +85,7 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, iterations: int = 10_000) -> Da
     Both have case_id and value. Cases are in order of their id.
     """
     both = a.select("case_id", F.col("value").alias("a")).join(b.select("case_id", F.col("value").alias("b")), "case_id")
-    order = Window.orderBy("case_id")
-    differences = both.select(F.lit("difference").alias("series"), F.row_number().over(order).alias("place"), (F.col("b") - F.col("a")).alias("value"))
+    differences = numbered(both, ["case_id"]).select(F.lit("difference").alias("series"), "place", (F.col("b") - F.col("a")).alias("value"))
     out = bootstrap(differences, iterations)
     return out.select("n", F.col("mean").alias("difference"), "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
 
@@ -99,3 +100,105 @@ def topic_coverage(required: DataFrame, found: DataFrame) -> DataFrame:
 def needle_rates(results: DataFrame) -> DataFrame:
     """form, needles, found, rate and mean_rank (of those found) of planted passages."""
     return results.groupBy("form").agg(F.count(F.lit(1)).alias("needles"), F.count("rank").alias("found"), F.round(F.count("rank") / F.count(F.lit(1)), 6).alias("rate"), F.round(F.avg("rank"), 6).alias("mean_rank"))
+
+
+def stride_sample(rows: DataFrame, by: list[str], most: int, offset: int = 0) -> DataFrame:
+    """``most`` rows spread evenly over the order of ``by``, with their ``place`` in it.
+
+    Every n-th row from ``offset`` on, n being the number of rows over ``most``
+    rounded down (1 at least); a sampling operator. Fewer rows are all given.
+    """
+    placed = numbered(rows, by)
+    stride = placed.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / most)).alias("_stride"))
+    met = placed.crossJoin(F.broadcast(stride)).where((F.col("place") % F.col("_stride")) == (F.lit(offset) % F.col("_stride")))
+    return met.drop("_stride").orderBy("place").limit(most)
+
+
+def answer_relevance(questions: DataFrame, generated: DataFrame) -> DataFrame:
+    """case_id, relevance, baseline and separation (6 places): is an answer about its question?
+
+    ``questions`` has case_id and vector; ``generated`` a row for each question
+    that an answer would answer (case_id, vector). Relevance is the mean product
+    of a question and its own, the baseline that with the next case's (by
+    case_id, the first after the last). Cases without generated questions take no part.
+    """
+    asked = questions.join(generated.select("case_id").distinct(), "case_id", "left_semi")
+    ids = numbered(asked.select("case_id").distinct(), ["case_id"])
+    size = F.broadcast(ids.agg(F.count(F.lit(1)).alias("n")))
+    after = ids.crossJoin(size).select("case_id", F.pmod(F.col("place") + 1, F.col("n")).alias("place")).join(ids.select("place", F.col("case_id").alias("next_id")), "place").select("case_id", "next_id")
+    # the sum of generated vectors would do for the mean, but not in the same rounding
+    mean = lambda pairs, name: pairs.groupBy("case_id").agg(F.round(F.avg(dot(F.col("vector"), F.col("other"))), 6).alias(name))
+    other = generated.select(F.col("case_id").alias("of"), F.col("vector").alias("other"))
+    own = mean(asked.join(other, asked["case_id"] == other["of"]), "relevance")
+    base = mean(asked.join(after, "case_id").join(other, F.col("next_id") == F.col("of")), "baseline")
+    return own.join(base, "case_id").select("case_id", "relevance", "baseline", F.round(F.col("relevance") - F.col("baseline"), 6).alias("separation"))
+
+
+def relevance_summary(each: DataFrame) -> DataFrame:
+    """One row: cases, relevance, baseline and separation of the means (4 places; null without cases)."""
+    own, base = F.avg("relevance"), F.avg("baseline")
+    return each.agg(F.count(F.lit(1)).alias("cases"), F.round(own, 4).alias("relevance"), F.round(base, 4).alias("baseline"), F.round(own - base, 4).alias("separation"))
+
+
+def least_relevant(each: DataFrame, most: int = 3) -> DataFrame:
+    """The ``most`` cases with the least separation; ties go to the smaller id."""
+    return each.orderBy("separation", "case_id").limit(most)
+
+
+def seam_cases(seams: DataFrame, passages: DataFrame, terms: DataFrame) -> DataFrame:
+    """Seams (before_id, after_id) whose ``before`` and ``after`` terms prove something: each in its own passage, not in the other.
+
+    ``terms`` has before_id, before and after. Terms come back in normal form;
+    those without a letter or digit are left out.
+    """
+    text = lambda id_, name: passages.select(F.col("id").alias(id_), quote_words(F.col("text")).alias(name))
+    told = terms.select("before_id", quote_words(F.col("before")).alias("before"), quote_words(F.col("after")).alias("after")).where("before <> '' and after <> ''")
+    met = seams.join(told, "before_id").join(text("before_id", "_a"), "before_id").join(text("after_id", "_b"), "after_id")
+    has = lambda side, term: F.contains(F.col(side), F.col(term))
+    return met.where(has("_a", "before") & ~has("_a", "after") & has("_b", "after") & ~has("_b", "before")).select("before_id", "after_id", "before", "after")
+
+
+def seam_outcomes(cases: DataFrame, found: DataFrame, passages: DataFrame) -> DataFrame:
+    """query_id and outcome: ``both``, ``before``, ``after`` or ``neither`` of a case's terms are in its passages, put together.
+
+    ``cases`` has query_id, before and after; ``found`` query_id, id and place.
+    A query has few passages (k and their neighbours), so they are put together as one text.
+    """
+    texts = found.join(passages.select("id", quote_words(F.coalesce("text", F.lit(""))).alias("text")), "id")
+    part = F.array_sort(F.collect_list(F.struct("place", "text")))
+    whole = texts.groupBy("query_id").agg(F.array_join(F.transform(part, lambda p: p["text"]), " ").alias("whole"))
+    joined = cases.join(whole, "query_id", "left")
+    a, b = (F.coalesce(F.contains("whole", F.col(c)), F.lit(False)) for c in ("before", "after"))
+    return joined.select("query_id", F.when(a & b, "both").when(a, "before").when(b, "after").otherwise("neither").alias("outcome"))
+
+
+def seam_rates(outcomes: DataFrame) -> DataFrame:
+    """One row: cases, both, either (one side only), neither and rate (of both; null without cases)."""
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    o = F.col("outcome")
+    return outcomes.agg(F.count(F.lit(1)).alias("cases"), n(o == "both", "both"), n(o.isin("before", "after"), "either"), n(o == "neither", "neither"), F.round(F.avg((o == "both").cast("int")), 6).alias("rate"))
+
+
+def guardrail_counts(results: DataFrame) -> DataFrame:
+    """One row: answers judged good and bad, how many of each an audit flagged, and its precision (flags on bad answers; null without flags).
+
+    ``results`` has flagged and passed (booleans); rows with a null in either are left out.
+    """
+    rows = results.where("flagged is not null and passed is not null")
+    n = lambda c, name: F.count(F.when(F.expr(c), 1)).alias(name)
+    counted = rows.agg(n("passed", "good"), n("not passed", "bad"), n("passed and flagged", "flagged_good"), n("not passed and flagged", "flagged_bad"))
+    flags = F.col("flagged_good") + F.col("flagged_bad")
+    return counted.withColumn("precision", F.round(F.col("flagged_bad") / F.nullif(flags, F.lit(0)), 6))
+
+
+def faithful_share(verdicts: DataFrame) -> DataFrame:
+    """One row: picked, judged, faithful and share (of all picked, those without a verdict too) from ``faithful``, a boolean."""
+    all_, good = F.count(F.lit(1)), F.count(F.when(F.col("faithful"), 1))
+    return verdicts.agg(all_.alias("picked"), F.count("faithful").alias("judged"), good.alias("faithful"), F.round(good / F.nullif(all_, F.lit(0)), 6).alias("share"))
+
+
+def places_cited(answers: DataFrame) -> DataFrame:
+    """answer_id, chapters and books: how many different ones an answer cites (0 without citations)."""
+    each = answers.select("answer_id", F.explode_outer(F.coalesce(citations(F.col("answer")), F.array().cast("array<string>"))).alias("id"))
+    chapter = F.substring_index("id", ":", 2)
+    return each.groupBy("answer_id").agg(F.countDistinct(chapter).alias("chapters"), F.countDistinct(F.substring_index("id", ":", 1)).alias("books"))

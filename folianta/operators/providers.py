@@ -1,14 +1,15 @@
 """Model-backed steps as pluggable column functions, with offline stand-ins.
 
-A provider is any object with ``embed(texts)``, ``order(query, texts)`` and
-``judge(claims, passages)``. The stand-ins are deterministic and need no model;
-they keep the contracts (shape, order, fallbacks) testable.
+A provider is any object with the methods of ``Provider``. The stand-ins are
+deterministic and need no model; they keep the contracts (shape, order,
+fallbacks) testable.
 """
 
 from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -28,9 +29,19 @@ class Provider(Protocol):
 
     def judge(self, claim: str, passages: list[str]) -> dict: ...
 
+    def phrases(self, query: str) -> list[str]: ...
+
+    def summarise(self, title: str, text: str) -> dict: ...
+
+    def unsupported(self, text: str, summary: str) -> list[str]: ...
+
+    def rewrite(self, text: str, summary: str, problems: list[str]) -> str: ...
+
+    def mark(self, wanted: str, note: str) -> bool: ...
+
 
 class Offline:
-    """A stand-in: vectors from hashed words, order and support by shared words."""
+    """A stand-in: vectors from hashed words, order and support by shared words, a text's own beginning as its summary."""
 
     def __init__(self, dims: int = 64):
         self.dims = dims
@@ -52,6 +63,22 @@ class Offline:
         best = max((len(said & set((p or "").lower().split())) / max(1, len(said)) for p in passages), default=0.0)
         return {"supported": best >= 0.5, "kind": "fact" if best else "inference"}
 
+    def phrases(self, query: str) -> list[str]:
+        said = (query or "").split()
+        return [" ".join(said[i : i + 2]) for i in range(0, len(said), 2)]
+
+    def summarise(self, title: str, text: str) -> dict:
+        return {"summary": text[:200].strip(), "moments": re.findall("“([^”]+)”", text)[:3]}
+
+    def unsupported(self, text: str, summary: str) -> list[str]:
+        return [] if summary in text else [summary]
+
+    def rewrite(self, text: str, summary: str, problems: list[str]) -> str:
+        return text[:100].strip()
+
+    def mark(self, wanted: str, note: str) -> bool:
+        return bool(set((wanted or "").lower().split()) & set((note or "").lower().split()))
+
 
 def with_retries(call: Callable, tries: int = 6, first_wait: float = 0.4, wait: Callable[[float], None] = time.sleep):
     """``call()``, again after errors that may pass (an error's ``status`` of 408, 429 or 5xx), waiting twice as long each time.
@@ -102,3 +129,20 @@ def rerank_orders(candidates: DataFrame, provider: Provider, chars: int = 700) -
 
     kind = candidates.schema["query_id"].dataType.simpleString()
     return grouped.mapInPandas(run, f"query_id {kind}, order array<int>")
+
+
+def phrases(queries: DataFrame, provider: Provider) -> DataFrame:
+    """query_id, list_no (from 1) and phrase: other wordings of each query; none where the provider fails."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for query_id, query in zip(frame["query_id"], frame["query"], strict=True):
+                try:
+                    rows += [(query_id, n, str(p)) for n, p in enumerate(provider.phrases(query), 1)]
+                except Exception:
+                    continue
+            yield pd.DataFrame(rows, columns=["query_id", "list_no", "phrase"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return queries.select("query_id", "query").mapInPandas(run, f"query_id {kind}, list_no int, phrase string")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import numbered
 from ..functions.vectors import dot
 from . import dense
 
@@ -58,11 +59,16 @@ def diverse(pairs: DataFrame, top: int) -> DataFrame:
     """The most similar pairs of which no two share a chapter on either side, at most ``top``; with their ``place``.
 
     ``pairs`` has a_id, b_id, a_chapter, b_chapter and similarity. Only the best
-    pair of two chapters can be chosen, so the ordered walk sees at most one row
-    for each pair of chapters, however many passages there are.
+    pair of two chapters can be chosen. A chosen pair has fewer than ``top``
+    better ones in either of its chapters, as each of those was shut out by
+    another choice; of the pairs that are so good on both sides, a choice shuts
+    out fewer than 2 * ``top``. So the first 2 * ``top`` squared of them hold
+    every choice, whatever the number of passages, and only those are walked.
     """
-    best = Window.partitionBy("a_chapter", "b_chapter").orderBy(F.desc("similarity"), "a_id", "b_id")
-    leads = pairs.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    better = [F.desc("similarity"), "a_id", "b_id"]
+    nth = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(*better))
+    leads = pairs.withColumn("n", nth("a_chapter", "b_chapter")).where("n = 1").drop("n")
+    good = leads.withColumn("n", nth("a_chapter")).where(F.col("n") <= top).withColumn("m", nth("b_chapter")).where(F.col("m") <= top).drop("n", "m")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b, place = set(), set(), 0
@@ -75,11 +81,16 @@ def diverse(pairs: DataFrame, top: int) -> DataFrame:
                     kept.append((*row, place))
             yield pd.DataFrame(kept, columns=[*batch.columns, "place"])
 
-    ordered = leads.orderBy(F.desc("similarity"), "a_id", "b_id").coalesce(1)
+    ordered = good.orderBy(*better).limit(2 * top * top).coalesce(1).sortWithinPartitions(*better)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in leads.schema)
     return ordered.mapInPandas(walk, f"{kinds}, place int")
 
 
+def placed(vectors: DataFrame) -> DataFrame:
+    """vector and place (from 0, by id) of a book's vectors."""
+    return numbered(vectors.select("id", "vector"), ["id"]).select("vector", "place")
+
+
 def baseline(a: DataFrame, b: DataFrame, most: int = 60) -> DataFrame:
     """One row, ``baseline``: the mean product of evenly spaced rows of both sides, to 4 places.
 

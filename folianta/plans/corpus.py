@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit, usable
+from ..operators import lexical
+from ..operators.library import Library
 from ..sources.tables import load
 
 #: Groups of words that stand for each other; a parameter of alias search, chosen for the invented books.
@@ -54,3 +56,9 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     # every second listed passage is taken as retrieved for this answer, the others as carried over
     halves = lambda odd: F.filter(ids, lambda x, i: i % 2 == (1 if odd else 0))
     return rows.select(F.col("id").alias("answer_id"), "answer", halves(False).alias("retrieved"), halves(True).alias("prior"))
+
+
+def library(spark: SparkSession, d: str, with_aliases: bool = False) -> Library:
+    """The chunks with their vectors and lexical index."""
+    rows = chunks(spark, d)
+    return Library(rows, vectors(spark, d), lexical.build(rows), aliases(spark) if with_aliases else None)

@@ -303,3 +303,87 @@ SQL = {
         SELECT answer_id, 'negation', md5({swap('answer', 'neg', "turned")}) FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(neg, '(?i)\\bwithout\\b', 'with'), '(?i)\\bnever\\b', 'always'), '(?i)\\bno one\\b', 'everyone'), '(?i)\\bnot\\b', '') AS turned
             FROM (SELECT *, list_filter(sp, lambda x: regexp_matches(x, '(?i)\\b(?:without|never|not|no one)\\b'))[1] AS neg FROM b)) WHERE neg IS NOT NULL""",
 }
+
+THEME = "an old letter by the lantern"
+TYPED = lambda x: f"unnest({tokens(x)})"
+ONE = "1.0::DOUBLE AS weight"
+
+
+def _phrase_lists() -> str:
+    """Hits (12) of each case's question and of each of its first five expected terms, as lists."""
+    ask = f"SELECT DISTINCT query_id, scope, term, {ONE} FROM (SELECT id || '#0' AS query_id, NULL::VARCHAR AS scope, {TYPED('query_text')} AS term FROM k UNION ALL SELECT id || '#' || i, NULL, {TYPED('ph')} FROM (SELECT id, unnest(any_of) AS ph, generate_subscripts(any_of, 1) AS i FROM k) WHERE length(ph) > 2 AND i <= 5)"
+    return f"""{INDEX}, {K}, {bm25(ask, 12)},
+  lists AS (SELECT string_split(query_id, '#')[1] AS query_id, string_split(query_id, '#')[2]::INTEGER AS list_no, rank - 1 AS rank, id, c.book_id, c.chapter_index FROM hits JOIN c USING (id))"""
+
+
+def _theme() -> str:
+    ask = f"SELECT DISTINCT side::VARCHAR AS query_id, book_id AS scope, term, {ONE} FROM (SELECT side, book_id, {TYPED(q(THEME))} AS term FROM nm WHERE side <= 2)"
+    return bm25(ask, 20, "themed")
+
+
+def _walk(pairs: str, baseline: str) -> str:
+    """The diverse selection over ``pairs`` with the strength of each."""
+    strength = STRENGTH.replace("0.4316", "baseline")
+    return f"""l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_chapter, b_chapter ORDER BY similarity DESC, a_id, b_id) AS m FROM {pairs}) WHERE m = 1),
+        o AS (SELECT a_id, b_id, a_chapter, b_chapter, similarity, row_number() OVER (ORDER BY similarity DESC, a_id, b_id) AS i FROM l),
+        w AS (SELECT 0::BIGINT AS i, []::INTEGER[] AS ua, []::INTEGER[] AS ub, 0 AS place, false AS taken UNION ALL
+              SELECT x.oi, CASE WHEN t THEN list_append(ua, x.a_chapter) ELSE ua END, CASE WHEN t THEN list_append(ub, x.b_chapter) ELSE ub END, place + t::INTEGER, t
+              FROM (SELECT w.*, o2.i AS oi, o2.a_chapter, o2.b_chapter, (w.place < 5 AND NOT list_contains(ua, o2.a_chapter) AND NOT list_contains(ub, o2.b_chapter)) AS t FROM w JOIN o o2 ON o2.i = w.i + 1) x)
+        SELECT a_id, b_id, similarity, {strength} AS strength, w.place FROM w JOIN o USING (i), ({baseline}) WHERE w.taken"""
+
+
+BASELINE = SQL["baseline_similarity"]
+CUT = f"(SELECT DISTINCT answer_id, claim_no, {TYPED('claim')} AS term FROM cl)"
+CLAIMS = SQL["claims_of"].replace("md5(claim) AS digest, array_to_string(cited, ' ') AS cited", "claim, cited")
+CHAPTERS = f"""{S}, e AS (SELECT *, coalesce({title_words('title')}, '') AS tk, list_transform(paragraphs, lambda p: coalesce({title_words('p')}, '')) AS ks FROM s),
+        e2 AS (SELECT *, coalesce(list_position(list_transform(ks, lambda x: tk <> '' AND length(x) > 0 AND length(x) < 60 AND (contains(tk, x) OR contains(x, tk))), false), len(paragraphs) + 1) - 1 AS dropped FROM e),
+        e3 AS (SELECT *, coalesce(array_to_string(paragraphs[dropped + 1:], chr(10) || chr(10)), '') AS t FROM e2)"""
+TAIL, HEAD = "array_to_string(w[greatest(1, len(w) - 3):], ' ')", "array_to_string(w[1:6], ' ')"
+REF = r"regexp_extract(title, '(?i)(?:^|[^A-Za-z0-9_])([IVXLC]+|\d+)(?:[^A-Za-z0-9_]|$)', 1)"
+CLAUSE = squash("paragraphs[1]")
+
+SQL |= {
+    "broad_search": f"""WITH {_phrase_lists()}, f1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, book_id, chapter_index ORDER BY rank, list_no) AS n FROM lists),
+        f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, list_no) AS place FROM f1 WHERE n = 1),
+        vi AS (SELECT query_id, id, array_to_string(list_sort(list(DISTINCT list_no)), ' ') AS via FROM lists GROUP BY query_id, id)
+        SELECT query_id, id, list_no, round(1.0::DOUBLE / (rank + 1), 6) AS score, place, via FROM f2 JOIN vi USING (query_id, id) WHERE place <= 6""",
+    "compare_books": f"WITH RECURSIVE {TWO}, {_walk('nn', BASELINE)}",
+    "compare_summary": f"""WITH {TWO}, {SHINGLES} SELECT baseline, (SELECT count(*) FROM va) * (SELECT count(*) FROM vb) AS candidates_compared, (SELECT count(DISTINCT phrase) FROM sh JOIN nm USING (book_id) WHERE side = 2) AS shingles_indexed FROM ({BASELINE})""",
+    "compare_verbatim": f"""WITH {TWO}, {SHINGLES}, p AS (SELECT a.id AS a_id, b.id AS b_id, count(*) AS shared, first(a.phrase ORDER BY length(a.phrase) DESC, a.place) AS longest FROM sh a JOIN nm na ON na.book_id = a.book_id AND na.side = 1 JOIN sh b USING (phrase) JOIN nm nb ON nb.book_id = b.book_id AND nb.side = 2 GROUP BY a.id, b.id)
+        SELECT a_id, b_id, shared, round(shared / (sa.size + sb.size - shared), 4) AS jaccard, longest FROM p JOIN sz sa ON sa.id = a_id JOIN sz sb ON sb.id = b_id WHERE shared >= 2 ORDER BY shared DESC, jaccard DESC, a_id, b_id LIMIT 5""",
+    "compare_themed": f"""WITH RECURSIVE {INDEX}, {TWO}, {_theme()}, ta AS (SELECT va.* FROM va SEMI JOIN themed USING (id)), tb0 AS (SELECT vb.* FROM vb SEMI JOIN themed USING (id)), tb AS (SELECT * FROM tb0 UNION ALL SELECT * FROM vb WHERE NOT EXISTS (SELECT 1 FROM tb0)),
+        tn AS (SELECT * FROM (SELECT a.id AS a_id, b.id AS b_id, a.chapter_index AS a_chapter, b.chapter_index AS b_chapter, round(list_dot_product(a.vector, b.vector), 6) AS similarity, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.vector, b.vector), 6) DESC, b.id) AS n FROM ta a, tb b) WHERE n = 1 AND similarity > -1),
+        {_walk('tn', BASELINE)}""",
+    "survey_chapters": f"""WITH {CHAPTERS} SELECT book_id, count(*) AS chapters, count(*) FILTER (len(list_intersect(regexp_split_to_array(lower(trim(substr(t, 1, 200))), '{SP}+'), ['letter', 'lantern', 'house', 'night'])) > 0) AS marked FROM e3 GROUP BY book_id""",
+    "display_titles": f"""WITH {S} SELECT book_id, chapter_index, {trim_("regexp_replace(regexp_replace(title, '" + chr(92) + "bCHAPTER" + chr(92) + "b', 'Chapter', 'g'), '" + SP + "*" + chr(92) + "." + SP + "*$', '')")} AS tidy,
+        CASE WHEN {REF} <> '' THEN upper({REF}) ELSE substr(regexp_replace(title, '(?i)^chapter{SP}*', ''), 1, 10) END AS ref, {trim_("regexp_replace(title, '(?i)^" + SP + "*(?:chapter" + SP + "+)?[IVXLC0-9]+[.:]?" + SP + "*', '')")} AS rest,
+        CASE WHEN length(coalesce({CLAUSE}, '')) > 58 THEN regexp_replace(substr({CLAUSE}, 1, 58), '[\\s,;:.]+\\S*$', '') || '…' ELSE coalesce({CLAUSE}, '') END AS clause FROM s WHERE title IS NOT NULL""",
+    "echoed_spans": f"""WITH {ANSWERS}, {C}, x AS (SELECT answer_id, unnest(list_concat(retrieved, prior)) AS id, list_distinct(list_transform(regexp_extract_all(answer, '“([^”]{{12,}})”', 1), lambda y: {trim_('y')})) AS sp FROM a)
+        SELECT DISTINCT answer_id, id, len(list_filter(sp, lambda z: contains({FLAT}, {FLAT.replace('translate(text', 'translate(z')})))::INTEGER AS spans FROM x JOIN c USING (id) WHERE len(list_filter(sp, lambda z: contains({FLAT}, {FLAT.replace('translate(text', 'translate(z')}))) > 0""",
+    "places_cited": f"""WITH {ANSWERS}, x AS (SELECT answer_id, unnest({CITES}) AS id FROM a)
+        SELECT answer_id, count(DISTINCT regexp_extract(id, '^[^:]+:[^:]+')) AS chapters, count(DISTINCT regexp_extract(id, '^[^:]+')) AS books FROM a LEFT JOIN x USING (answer_id) GROUP BY answer_id""",
+    "claim_audit": f"""WITH cl AS ({CLAIMS}), {INDEX}, ask AS (SELECT answer_id || '#' || claim_no AS query_id, * FROM {CUT}),
+        m1 AS (SELECT query_id, count(DISTINCT term) AS n FROM ask JOIN (SELECT answer_id, claim_no, unnest(cited) AS id FROM cl) USING (answer_id, claim_no) JOIN po USING (id, term) GROUP BY query_id),
+        sz AS (SELECT answer_id, claim_no, answer_id || '#' || claim_no AS query_id, cited, len(list_distinct({tokens('claim')})) AS size FROM cl),
+        {bm25("SELECT query_id, NULL::VARCHAR AS scope, term, 1.0::DOUBLE AS weight FROM ask", 4)},
+        m2 AS (SELECT query_id, count(DISTINCT term) AS n FROM ask JOIN (SELECT query_id, unnest(cited) AS id FROM sz UNION SELECT query_id, id FROM hits) USING (query_id) JOIN po USING (id, term) GROUP BY query_id)
+        SELECT sz.answer_id, sz.claim_no, CASE WHEN m1.n / sz.size >= 0.5 THEN 'supported' WHEN m1.n IS NULL THEN 'inference' WHEN m2.n / sz.size >= 0.5 THEN 'recovered' ELSE 'unsupported' END AS status FROM sz LEFT JOIN m1 USING (query_id) LEFT JOIN m2 USING (query_id)""",
+    "guardrail_counts": f"""WITH fl AS ({SQL['citation_audit']}), v AS (SELECT DISTINCT ON (id) id, {VOTE} = 'up' AS passed FROM feedback), r AS (SELECT NOT ok AS flagged, passed FROM fl JOIN v ON v.id = answer_id WHERE passed IS NOT NULL)
+        SELECT count(*) FILTER (passed) AS good, count(*) FILTER (NOT passed) AS bad, count(*) FILTER (passed AND flagged) AS flagged_good, count(*) FILTER (NOT passed AND flagged) AS flagged_bad, round(count(*) FILTER (NOT passed AND flagged) / nullif(count(*) FILTER (flagged), 0), 6) AS precision FROM r""",
+    "stride_sample": f"""WITH {C}, p AS (SELECT id, row_number() OVER (ORDER BY book_id NULLS FIRST, chapter_index NULLS FIRST, chunk_index NULLS FIRST, id NULLS FIRST) - 1 AS place, greatest(1, count(*) OVER () // 50) AS st FROM c)
+        SELECT id, place FROM p WHERE place % st = 3 % st ORDER BY place LIMIT 50""",
+    "answer_relevance": f"""WITH {ARMS}, ge AS (SELECT query_id AS case_id, vector FROM sparse JOIN v USING (id) WHERE rank <= 3), nx AS (SELECT query_id AS case_id, vector, coalesce(lead(query_id) OVER (ORDER BY query_id), min(query_id) OVER ()) AS next_id FROM qv),
+        o AS (SELECT nx.case_id, round(avg(list_dot_product(nx.vector, ge.vector)), 6) AS relevance FROM nx JOIN ge USING (case_id) GROUP BY nx.case_id), b AS (SELECT nx.case_id, round(avg(list_dot_product(nx.vector, ge.vector)), 6) AS baseline FROM nx JOIN ge ON ge.case_id = next_id GROUP BY nx.case_id)
+        SELECT case_id, relevance, baseline, round(relevance - baseline, 6) AS separation FROM o JOIN b USING (case_id)""",
+    "seam_rates": f"""WITH {INDEX}, n0 AS (SELECT id, book_id, chapter_index, chunk_index, {quote_words('text')} AS t FROM c), n1 AS (SELECT *, string_split(t, ' ') AS w FROM n0),
+        sm AS (SELECT id, book_id, t, w, lead(id) OVER (PARTITION BY book_id, chapter_index ORDER BY chunk_index) AS after_id FROM n1),
+        cs AS (SELECT x.id AS query_id, x.book_id AS scope, {HEAD.replace('w[', 'x.w[')} || ' ' || {HEAD.replace('w[', 'y.w[')} AS query, {TAIL.replace('w[', 'x.w[').replace('(w)', '(x.w)')} AS b4, {TAIL.replace('w[', 'y.w[').replace('(w)', '(y.w)')} AS aft, x.t AS ta, y.t AS tb FROM sm x JOIN n1 y ON y.id = x.after_id),
+        ks AS (SELECT * FROM cs WHERE b4 <> '' AND aft <> '' AND contains(ta, b4) AND NOT contains(ta, aft) AND contains(tb, aft) AND NOT contains(tb, b4)),
+        {bm25(f"SELECT DISTINCT query_id, scope, {TYPED('query')} AS term, {ONE} FROM ks", 8)},
+        wh AS (SELECT query_id, string_agg(coalesce(n0.t, ''), ' ' ORDER BY rank) AS whole FROM hits JOIN n0 USING (id) GROUP BY query_id),
+        r AS (SELECT coalesce(contains(whole, b4), false) AS a, coalesce(contains(whole, aft), false) AS b FROM ks LEFT JOIN wh USING (query_id))
+        SELECT count(*) AS cases, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a <> b) AS either, count(*) FILTER (NOT a AND NOT b) AS neither, round(avg((a AND b)::INTEGER), 6) AS rate FROM r""",
+    "index_round_trip": f"WITH {V} SELECT book_id, count(*) AS passages, round(sum(vector[1]), 4) AS first_sum FROM v GROUP BY book_id",
+    "feedback_log": f"WITH {FB} SELECT id, verdict, length(left(answer, 4000)) AS n FROM f",
+}
+SQL["relevance_summary"] = f"SELECT count(*) AS cases, round(avg(relevance), 4) AS relevance, round(avg(baseline), 4) AS baseline, round(avg(relevance) - avg(baseline), 4) AS separation FROM ({SQL['answer_relevance']})"

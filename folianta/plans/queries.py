@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import text as T
 from ..functions.vectors import unit, usable
-from ..operators import audit, counting, dense, evaluate, fusion, ingest, lexical, providers, records, reuse, similar
-from ..sources.tables import load, materialise
+from ..operators import audit, counting, dense, evaluate, fusion, ingest, lexical, library, notes, providers, records, reuse, similar
+from ..sources import index as store
+from ..sources.tables import load, materialise, scratch
 from . import corpus
 
 Q = {}
@@ -151,9 +152,7 @@ def _arms(s, d, pool: int):
     """Both ranked lists of every case; without a model, a question's vector is the mean of its three best lexical hits'."""
     vectors = corpus.vectors(s, d)
     sparse = materialise(lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), pool), "sparse")
-    spots = sparse.where("rank <= 3").join(vectors.select("id", "vector"), "id").select("query_id", F.posexplode("vector").alias("pos", "x"))
-    mean = spots.groupBy("query_id", "pos").agg(F.round(F.avg("x"), 6).alias("x"))
-    asked = mean.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("vector"))
+    asked = library.vectors_from_hits(sparse, vectors)
     found = dense.search(asked.select("query_id", F.lit(None).cast("string").alias("scope"), "vector"), vectors, pool)
     return materialise(found, "dense"), sparse
 
@@ -275,9 +274,8 @@ def diverse_pairs(s, d):
 
 @query
 def baseline_similarity(s, d):
-    placed = lambda v: v.select("vector", (F.row_number().over(Window.partitionBy("book_id").orderBy("id")) - 1).alias("place"))
     a, b = _two_books(s, d)
-    return similar.baseline(placed(a), placed(b))
+    return similar.baseline(similar.placed(a), similar.placed(b))
 
 
 @query
@@ -500,6 +498,196 @@ def paired_bootstrap(s, d):
     return evaluate.paired_bootstrap(one(lexical.query_terms(corpus.queries(s, d))), one(lexical.query_terms(corpus.queries(s, d), corpus.aliases(s))), 1000)
 
 
+# what a reader asks
+
+
+@query
+def broad_search(s, d):
+    """Every case looked for in the words of its expected terms as well, their hits taken in turn."""
+    asked = corpus.queries(s, d)
+    phrases = corpus.cases(s, d).select(F.col("id").alias("query_id"), F.posexplode("any_of").alias("list_no", "phrase")).withColumn("list_no", F.col("list_no") + 1)
+    found = library.broad_search(corpus.library(s, d), asked, phrases, 6, mode="sparse", neighbours=0)
+    return found.select("query_id", "id", "list_no", "score", "place", F.array_join(F.transform("via", lambda v: v.cast("string")), " ").alias("via"))
+
+
+@query
+def broad_search_offline(s, d):
+    """The same with wordings from the offline provider, both arms and neighbours."""
+    asked = corpus.queries(s, d)
+    found = library.broad_search(corpus.library(s, d), asked, providers.phrases(asked, providers.Offline()), 6)
+    return found.select("query_id", "id", "list_no", "place")
+
+
+@query
+def entity_expansion(s, d):
+    lib, asked = corpus.library(s, d), corpus.queries(s, d)
+    found = materialise(library.retrieve(lib, asked, 3, mode="sparse", neighbours=0).select("query_id", "id"), "found")
+    return library.expand_on_entities(lib, asked, found, mode="sparse", neighbours=0)
+
+
+def _two_names(s, d) -> list[str]:
+    """The two books with most vectors."""
+    names = corpus.vectors(s, d).groupBy("book_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "book_id").limit(2)
+    return [row["book_id"] for row in names.collect()]
+
+
+@query
+def compare_books(s, d):
+    return library.compare(corpus.library(s, d), *_two_names(s, d)).pairs
+
+
+@query
+def compare_summary(s, d):
+    return library.compare(corpus.library(s, d), *_two_names(s, d)).summary
+
+
+@query
+def compare_verbatim(s, d):
+    return library.compare(corpus.library(s, d), *_two_names(s, d)).verbatim
+
+
+@query
+def compare_themed(s, d):
+    """Two books on a theme: the twenty best passages of each."""
+    lib, (a, b) = corpus.library(s, d), _two_names(s, d)
+    asked = s.createDataFrame([(1, "an old letter by the lantern", a), (2, "an old letter by the lantern", b)], "query_id int, query string, scope string")
+    return library.compare(lib, a, b, 5, library.retrieve(lib, asked, 20, mode="sparse", neighbours=0)).pairs
+
+
+@query
+def chapter_notes(s, d):
+    """Notes on every chapter by the offline provider."""
+    made = notes.chapter_notes(ingest.chapter_texts(corpus.sections(s, d)), providers.Offline())
+    return made.select("book_id", "chapter_index", F.md5("summary").alias("digest"), F.size("moments").alias("moments"), "rewritten")
+
+
+@query
+def book_notes(s, d):
+    made = notes.chapter_notes(ingest.chapter_texts(corpus.sections(s, d)), providers.Offline())
+    return notes.book_notes(made, providers.Offline()).select("book_id", "chapters", F.length("summary").alias("n"))
+
+
+@query
+def survey_chapters(s, d):
+    made = notes.chapter_notes(ingest.chapter_texts(corpus.sections(s, d)), providers.Offline())
+    return notes.survey(made, "letter lantern house night", providers.Offline()).select("book_id", "chapters", "marked")
+
+
+@query
+def display_titles(s, d):
+    t = F.col("title")
+    rows = corpus.sections(s, d).where("title is not null")
+    return rows.select("book_id", "chapter_index", T.tidy_title(t).alias("tidy"), T.chapter_ref(t).alias("ref"), T.without_ref(t).alias("rest"), T.first_clause(F.element_at("paragraphs", 1)).alias("clause"))
+
+
+@query
+def echoed_spans(s, d):
+    """How many of an answer's quotations each passage it lists holds."""
+    given = corpus.answers(s, d).select("answer_id", "answer", F.explode(F.concat("retrieved", "prior")).alias("id"))
+    met = given.join(corpus.chunks(s, d).select("id", "text"), "id")
+    return met.select("answer_id", "id", F.size(T.echoed_spans(F.col("answer"), F.col("text"))).alias("spans")).where("spans > 0").distinct()
+
+
+@query
+def places_cited(s, d):
+    return evaluate.places_cited(corpus.answers(s, d))
+
+
+@query
+def claim_audit(s, d):
+    """Claims judged by their words; what isn't supported is searched for once and judged again."""
+    passages, found = corpus.chunks(s, d), materialise(audit.claims(corpus.answers(s, d)), "claims")
+    judge = lambda c: audit.judge_by_words(c, passages)
+
+    def search_again(doubt):
+        asked = doubt.select(F.struct("answer_id", "claim_no").alias("query_id"), F.col("claim").alias("query"), F.lit(None).cast("string").alias("scope"))
+        hits = lexical.search(lexical.build(passages), lexical.query_terms(asked), 4).groupBy("query_id").agg(F.collect_list("id").alias("more"))
+        more = hits.select(F.col("query_id.answer_id").alias("answer_id"), F.col("query_id.claim_no").alias("claim_no"), "more")
+        none = F.array().cast("array<string>")
+        return doubt.join(more, ["answer_id", "claim_no"], "left").withColumn("cited", F.array_union("cited", F.coalesce("more", none))).drop("more")
+
+    return audit.audit_claims(found, judge, search_again).select("answer_id", "claim_no", "status")
+
+
+@query
+def tamper_recall(s, d):
+    """How many planted defects of each kind the audits of citations and quotations notice."""
+    a = corpus.answers(s, d).where("answer is not null")
+    made = audit.tampered(a.select("answer_id", "answer", F.try_element_at("retrieved", F.lit(1)).alias("passage_id")))
+    rows = made.join(a.select(F.col("answer_id").alias("of"), "retrieved", "prior"), F.col("answer_id") == F.col("of")).select(F.struct("answer_id", "kind").alias("answer_id"), F.col("tampered").alias("answer"), "retrieved", "prior")
+    rows, passages = materialise(rows, "tampered"), corpus.chunks(s, d)
+    cited = audit.audit_citations(rows, passages.select("id")).select("answer_id", "ok")
+    wrong = audit.audit_quotes(rows, passages.select("id", "text")).where("status = 'misquoted'").select("answer_id").distinct().withColumn("wrong", F.lit(True))
+    each = cited.join(wrong, "answer_id", "left").select(F.col("answer_id.kind").alias("kind"), (~F.col("ok") | F.coalesce("wrong", F.lit(False))).alias("caught"))
+    return audit.tamper_recall(each)
+
+
+@query
+def guardrail_counts(s, d):
+    """The citation audit against readers' votes."""
+    flags = audit.audit_citations(corpus.answers(s, d), load(s, d, "chunks").select("id")).select("answer_id", (~F.col("ok")).alias("flagged"))
+    votes = load(s, d, "feedback").dropDuplicates(["id"]).select(F.col("id").alias("answer_id"), (records.vote(F.col("verdict")) == "up").alias("passed"))
+    return evaluate.guardrail_counts(flags.join(votes, "answer_id"))
+
+
+@query
+def stride_sample(s, d):
+    rows = corpus.chunks(s, d).select("book_id", "chapter_index", "chunk_index", "id")
+    return evaluate.stride_sample(rows, ["book_id", "chapter_index", "chunk_index", "id"], 50, 3).select("id", "place")
+
+
+def _relevance(s, d):
+    """A case's question against its three best passages, which stand for the questions its answer would answer."""
+    vectors = corpus.vectors(s, d)
+    hits = materialise(lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), 24).where("rank <= 3"), "hits")
+    asked = library.vectors_from_hits(hits, vectors).withColumnRenamed("query_id", "case_id")
+    return evaluate.answer_relevance(asked, hits.join(vectors.select("id", "vector"), "id").select(F.col("query_id").alias("case_id"), "vector"))
+
+
+@query
+def answer_relevance(s, d):
+    return _relevance(s, d)
+
+
+@query
+def relevance_summary(s, d):
+    return evaluate.relevance_summary(_relevance(s, d))
+
+
+@query
+def seam_rates(s, d):
+    """Is what stands on both sides of a cut found by a question on both?"""
+    passages = corpus.chunks(s, d)
+    words = passages.select("id", F.split(T.quote_words(F.col("text")), " ").alias("w"))
+    side = words.select("id", F.array_join(F.slice("w", 1, 6), " ").alias("head"), F.array_join(F.slice("w", F.greatest(F.lit(1), F.size("w") - 3), 4), " ").alias("tail"))
+    pairs = ingest.seams(passages)
+    both = pairs.join(side.toDF("before_id", "head_a", "before"), "before_id").join(side.toDF("after_id", "head_b", "after"), "after_id")
+    cases = evaluate.seam_cases(pairs, passages, both.select("before_id", "before", "after"))
+    asked = cases.select("before_id").join(both, "before_id").join(passages.select(F.col("id").alias("before_id"), F.col("book_id").alias("scope")), "before_id").select(F.col("before_id").alias("query_id"), F.concat_ws(" ", "head_a", "head_b").alias("query"), "scope")
+    found = lexical.search(lexical.build(passages), lexical.query_terms(asked), 8).select("query_id", "id", F.col("rank").alias("place"))
+    return evaluate.seam_rates(evaluate.seam_outcomes(cases.select(F.col("before_id").alias("query_id"), "before", "after"), found, passages))
+
+
+# sources and sinks
+
+
+@query
+def index_round_trip(s, d):
+    """The index written, read back with its checks, and counted."""
+    vectors, path = corpus.vectors(s, d), scratch(s, "index")
+    store.write_index(corpus.chunks(s, d).select("id", "book_id", "chapter_index", "text").join(vectors.select("id"), "id", "left_semi"), vectors, path)
+    return store.load_index(s, path, DEFAULTS.dims).groupBy("book_id").agg(F.count(F.lit(1)).alias("passages"), F.round(F.sum(F.element_at("vector", 1)), 4).alias("first_sum"))
+
+
+@query
+def feedback_log(s, d):
+    """Feedback appended to a log and read back."""
+    path = scratch(s, "feedback")
+    rows = load(s, d, "feedback").dropDuplicates(["id"]).select("id", "verdict", "answer")
+    store.append_feedback(rows, path)
+    return s.read.schema("id bigint, verdict string, answer string").json(path).select("id", "verdict", F.length("answer").alias("n"))
+
+
 def queries() -> dict:
     return dict(Q)
 

@@ -56,6 +56,15 @@ def test_links_and_trees(spark):
     assert rooted[0] == 0 and set(rooted) == {0, 1, 2, 3}
 
 
+def test_crossed_links_are_laid_to_the_message_before(spark):
+    turns = table(spark, [("user", "Where is Anna?"), ("user", "What of Hall?"), ("bot", "Anna Anna where is Anna?"), ("bot", "Hall is gone.")])
+    links = {r.id: r for r in p5_conversations.straightened(p5_conversations.link_messages(turns)).collect()}
+    assert links[0].straight and links[0].answers is None
+    # the third message answers the first, so its link is crossed; in the order of sending it follows a reader
+    assert (links[2].parent_id, links[2].straight, links[2].before_id, links[2].answers) == (0, False, 1, "reader")
+    assert (links[3].straight, links[3].answers) == (False, "assistant")
+
+
 def test_conversations_in_order(spark):
     turns = table(spark, *[c for c, _ in CASES])
     threads = spark.createDataFrame([(f"t{i}",) for i in range(len(CASES))], "id string")

@@ -79,14 +79,14 @@ def broad_search(library: Library, queries: DataFrame, phrases: DataFrame, k: in
     return fusion.round_robin(lists, k).join(fusion.via(lists), ["query_id", "id"])
 
 
-def expand_on_entities(library: Library, queries: DataFrame, found: DataFrame, k: int = DEFAULTS.k, **how) -> DataFrame:
+def expand_on_entities(library: Library, queries: DataFrame, found: DataFrame, k: int = DEFAULTS.k, least_idf: float = DEFAULTS.least_entity_idf, **how) -> DataFrame:
     """query_id, id, name and place: passages found by rare names that a query's passages hold and it doesn't.
 
     ``found`` has query_id and id. Up to min(k, 4) hits of each name come in the
     names' order; passages found already are left out, and each comes once.
     """
     texts = found.join(library.passages.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
-    names = materialise(counting.entity_candidates(texts.select("query_id", "query", "text"), library.index), "names")
+    names = materialise(counting.entity_candidates(texts.select("query_id", "query", "text"), library.index, least_idf=least_idf), "names")
     null = F.lit(None).cast("string")
     asked = names.select(F.struct("query_id", F.col("rank").alias("name_no")).alias("query_id"), F.col("name").alias("query"), null.alias("scope"))
     more = retrieve(library, asked, min(k, 4), **how).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.name_no").alias("name_no"), "id", "place")
@@ -133,7 +133,8 @@ def compare(library: Library, a: str, b: str, top: int = 5, theme: DataFrame | N
 
     cut = materialise(reuse.shingles(library.passages.where(F.col("book_id").isin(a, b))), "shingles")
     left, right = cut.where(F.col("book_id") == a), cut.where(F.col("book_id") == b)
-    matches = reuse.pairs(left, right, 2).orderBy(F.desc("shared"), F.desc("jaccard"), "a_id", "b_id").limit(5)
+    # of a book against itself, a pair is told once
+    matches = reuse.pairs(left, right, 2, "a_id < b_id" if a == b else "a_id <> b_id").orderBy(F.desc("shared"), F.desc("jaccard"), "a_id", "b_id").limit(5)
     n = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
     indexed = right.agg(F.countDistinct("phrase").alias("shingles_indexed"))
     summary = base.crossJoin(n(from_a, "n_a")).crossJoin(n(from_b, "n_b")).crossJoin(indexed).select(F.coalesce("baseline", F.lit(0.0)).alias("baseline"), (F.col("n_a") * F.col("n_b")).alias("candidates_compared"), "shingles_indexed")

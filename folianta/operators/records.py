@@ -43,6 +43,36 @@ def recent_threads(threads: DataFrame, most: int = 40) -> DataFrame:
     return threads.orderBy(F.desc("updated_at"), "id").limit(most)
 
 
+def recent_by_visitor(threads: DataFrame, most: int = 40) -> DataFrame:
+    """id, visitor, title, updated_at and place (from 1) of the ``most`` threads that each visitor saved last.
+
+    Ties go to the smaller id; threads without a visitor belong to nobody's list.
+    """
+    order = Window.partitionBy("visitor").orderBy(F.desc("updated_at"), "id")
+    placed = threads.where("visitor is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return placed.select("id", "visitor", "title", "updated_at", "place")
+
+
+def histories(listed: DataFrame, turns: DataFrame) -> DataFrame:
+    """The messages of the threads in ``listed``, a row each: thread_id, visitor, place, turn_id, role, content and cited (array).
+
+    A thread may be long, so its messages stay rows, in the order of turn_id.
+    Messages without an id or thread are left out; a repeated row counts once;
+    citations that can't be read are an empty array.
+    """
+    said = turns.where("id is not null and thread_id is not null").dropDuplicates(["id"])
+    cited = F.coalesce(F.from_json("citations", "array<string>"), F.array().cast("array<string>"))
+    rows = said.select("thread_id", F.col("id").alias("turn_id"), "role", "content", cited.alias("cited"))
+    return listed.select(F.col("id").alias("thread_id"), "visitor", "place").join(rows, "thread_id")
+
+
+def tool_usage(turns: DataFrame) -> DataFrame:
+    """tool, calls and threads: how often each tool was called, from the steps of messages; steps that can't be read are none."""
+    said = turns.where("id is not null").dropDuplicates(["id"])
+    steps = said.select("thread_id", F.explode(F.from_json("steps", "array<struct<tool string>>")).alias("step")).where("step.tool is not null")
+    return steps.groupBy(F.col("step.tool").alias("tool")).agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("thread_id").alias("threads"))
+
+
 def merge_threads(a: DataFrame, b: DataFrame) -> DataFrame:
     """Threads of two places (id, n_turns, at): of one id the longer wins, then the later."""
     return latest(a.unionByName(b), "id", ["n_turns", "at"])

@@ -386,4 +386,10 @@ SQL |= {
     "index_round_trip": f"WITH {V} SELECT book_id, count(*) AS passages, round(sum(vector[1]), 4) AS first_sum FROM v GROUP BY book_id",
     "feedback_log": f"WITH {FB} SELECT id, verdict, length(left(answer, 4000)) AS n FROM f",
 }
+LISTED = "SELECT id, visitor, place FROM (SELECT id, visitor, row_number() OVER (PARTITION BY visitor ORDER BY updated_at DESC NULLS LAST, id) AS place FROM th WHERE visitor IS NOT NULL) WHERE place <= 40"
+SQL["visitor_threads"] = f"WITH {TH} {LISTED}"
+SQL["thread_histories"] = f"""WITH {TH}, li AS ({LISTED}), tu AS (SELECT DISTINCT ON (id) id, thread_id, citations FROM turns WHERE id IS NOT NULL AND thread_id IS NOT NULL)
+    SELECT tu.thread_id, visitor, place, count(*) AS turns, max(tu.id) AS last_id, sum(coalesce(json_array_length(citations), 0))::BIGINT AS cited FROM li JOIN tu ON tu.thread_id = li.id GROUP BY ALL"""
+SQL["tool_usage"] = """WITH t AS (SELECT DISTINCT ON (id) id, thread_id, steps FROM turns WHERE id IS NOT NULL), x AS (SELECT thread_id, unnest(from_json(steps, '[{"tool": "VARCHAR"}]')).tool AS tool FROM t)
+    SELECT tool, count(*) AS calls, count(DISTINCT thread_id) AS threads FROM x WHERE tool IS NOT NULL GROUP BY tool"""
 SQL["relevance_summary"] = f"SELECT count(*) AS cases, round(avg(relevance), 4) AS relevance, round(avg(baseline), 4) AS baseline, round(avg(relevance) - avg(baseline), 4) AS separation FROM ({SQL['answer_relevance']})"

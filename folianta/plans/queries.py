@@ -356,6 +356,24 @@ def recent_threads(s, d):
     return records.recent_threads(records.latest(load(s, d, "threads"), "id", ["updated_at", "title"])).select("id", "updated_at")
 
 
+@query
+def visitor_threads(s, d):
+    return records.recent_by_visitor(records.latest(load(s, d, "threads"), "id", ["updated_at", "title"])).select("id", "visitor", "place")
+
+
+@query
+def thread_histories(s, d):
+    """What the forty latest threads of every visitor hold."""
+    listed = records.recent_by_visitor(records.latest(load(s, d, "threads"), "id", ["updated_at", "title"]))
+    each = records.histories(listed, load(s, d, "turns"))
+    return each.groupBy("thread_id", "visitor", "place").agg(F.count(F.lit(1)).alias("turns"), F.max("turn_id").alias("last_id"), F.sum(F.size("cited")).alias("cited"))
+
+
+@query
+def tool_usage(s, d):
+    return records.tool_usage(load(s, d, "turns"))
+
+
 @query
 def thread_merge(s, d):
     """Saved threads against what their turns say, the longer or later of each."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folianta.functions import text as T
 from folianta.functions.frames import numbered
-from folianta.operators import audit, evaluate, lexical, library, notes, providers, similar
+from folianta.operators import audit, evaluate, lexical, library, notes, providers, records, similar
 from folianta.sources import index as store
 
 PASSAGES = [
@@ -70,6 +70,16 @@ def test_phrases_survive_a_failing_provider(spark):
     assert providers.phrases(q, Failing()).count() == 0
 
 
+def test_names_lead_to_further_passages(spark):
+    texts = ["the letter was from Mrs Younge of Ramsgate", "Younge kept a house", "the sea at Ramsgate", "a letter came"]
+    rows = spark.createDataFrame([(f"a:{i}:0", "a", i, 0, t) for i, t in enumerate(texts)], "id string, book_id string, chapter_index int, chunk_index int, text string")
+    lib = library.Library(rows, rows.select("id", "book_id", "chapter_index", F.array_repeat(F.lit(0.125), 64).alias("vector")), lexical.build(rows))
+    found = spark.createDataFrame([(1, "a:0:0"), (2, "a:3:0")], "query_id int, id string")
+    got = library.expand_on_entities(lib, asked(spark, (1, "letter", None), (2, "letter", None)), found, least_idf=0.1, mode="sparse", neighbours=0)
+    assert {(r.query_id, r.id) for r in got.collect()} == {(1, "a:1:0"), (1, "a:2:0")}
+    assert library.expand_on_entities(lib, asked(spark, (1, "letter", None)), found, mode="sparse", neighbours=0).count() == 0
+
+
 def test_compare(spark, lib):
     told = library.compare(lib, "a", "b")
     assert told.pairs.count() <= 2 and told.summary.first().candidates_compared == 6
@@ -218,3 +228,22 @@ def test_notes_feedback_and_case_files(spark, tmp_path):
     store.write_results(spark.range(2), str(tmp_path / "out"))
     store.write_results(spark.range(3), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_histories_and_tools(spark):
+    threads = spark.createDataFrame([("t1", "v", "a", 5), ("t2", "v", "b", 9), ("t3", None, "c", 9), ("t0", "v", "d", 9)], "id string, visitor string, title string, updated_at bigint")
+    listed = records.recent_by_visitor(threads, 2)
+    assert sorted((r.id, r.place) for r in listed.collect()) == [("t0", 1), ("t2", 2)]
+    rows = [(1, "t2", "user", "q", None, None), (2, "t2", "bot", "a", '["x:1:1"]', '[{"tool": "search"}, {"k": 1}]'), (2, "t2", "bot", "a", '["x:1:1"]', '[{"tool": "search"}, {"k": 1}]'), (3, "t1", "user", "q", "broken", "broken"), (None, "t2", "user", "q", None, None)]
+    turns = spark.createDataFrame(rows, "id bigint, thread_id string, role string, content string, citations string, steps string")
+    assert sorted((r.turn_id, r.cited) for r in records.histories(listed, turns).collect()) == [(1, []), (2, ["x:1:1"])]
+    assert [tuple(r) for r in records.tool_usage(turns).collect()] == [("search", 1, 1)]
+    assert records.histories(listed.where("false"), turns).count() == 0
+
+
+def test_a_book_against_itself_tells_a_pair_once(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron"
+    rows = spark.createDataFrame([("a:0:0", "a", 0, 0, text), ("a:0:1", "a", 0, 1, text)], "id string, book_id string, chapter_index int, chunk_index int, text string")
+    vectors = rows.select("id", "book_id", "chapter_index", F.array_repeat(F.lit(0.125), 64).alias("vector"))
+    told = library.compare(library.Library(rows, vectors, lexical.build(rows)), "a", "a")
+    assert [(r.a_id, r.b_id, r.shared) for r in told.verbatim.collect()] == [("a:0:0", "a:0:1", 5)]

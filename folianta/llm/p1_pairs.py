@@ -1,7 +1,8 @@
 """Problem 1: question and answer pairs that are defective.
 
-Method: a pushdown parser goes through an answer's fences, brackets, quotations,
-lists and markup to tell whether it stops early; greedy string tiling measures
+Method: a pushdown parser goes through the whole of an answer with its fences,
+lists, tags, emphasis, brackets and quotations on one stack, and what is left on
+it tells whether the answer stops early; greedy string tiling measures
 how much of an answer is the question again; scripts and function words tell
 languages; a small grammar of refusals is applied to each sentence outside
 quotations. Defects are tried in the order ``empty``, ``copy``, ``refusal``,
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -92,8 +94,17 @@ _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&nbsp;")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’(?!\w)|「[^」]*」")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_BULLET = re.compile(r"\s*(?:[-*•–+]|\(?\d{1,3}[.)]|\(?[a-z]\))\s+\S")
-_FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
+_FENCE = re.compile(r"\s*(`{3,}(?=[^`]*\Z)|~{3,})")
+_ITEM = re.compile(r"\s*(?:[-*•–+]|\(?\d{1,3}[.)]|\(?[a-z]\))\s+(?=\S)")
+_SIGN = re.compile(r"(?P<code>`+)|</?(?P<tag>[A-Za-z][\w-]*)(?:\s[^<>]*)?/?>|(?P<stress>\*+|_+)|[\"()\[\]{}（）【】「」『』«»“”„‘’‚]")
+#: Opening signs with what closes them; quotations among them; tags that need no end; words that begin with an apostrophe.
+BRACKETS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】"}
+QUOTES = {"「": "」", "『": "』", "«": "»", "“": "”", "„": "“”\"", "‘": "’", "‚": "‘’", '"': '"', "»": "«", "”": "”"}
+ENDLESS = set("p li dt dd tr td th thead tbody tfoot option br hr img input meta link wbr col area".split())
+QUOTATION = ("quote", "inner")
+#: What ends a sentence (or citation), and what may stand between that and the next one's first word.
+_ENDS, _BETWEEN = set(".!?…。！？।॥؟]"), set("\"'”’»)」』*_—–-¡¿([«“„‘‚「『>")
+_ELIDED = re.compile(r"[‘’](?:tis|twas|twere|twill|twould|em|cause|til|bout|round|n|s|\d\ds?)\b", re.I)
 
 
 def words(text: str) -> list[str]:
@@ -219,19 +230,156 @@ def declines(answer: str) -> bool:
     return refused
 
 
+class _Stack(list):
+    """What is open, as (kind, sign); a sign that closes one forgets what lies above it. Every step is linear in what it takes off."""
+
+    def __init__(self):
+        self.count: Counter[tuple[str, str]] = Counter()
+        self.kinds: Counter[str] = Counter()
+        self.quotes: list[tuple[str, str]] = []
+        self.line(0)
+
+    def line(self, at: int) -> None:
+        """A line whose first sentence begins at ``at``."""
+        self.read, self.fresh = at, True
+
+    def begins(self, line: str, at: int) -> bool:
+        """True if what stands at ``at`` begins a sentence; a line is read once."""
+        for sign in line[self.read : at]:
+            self.fresh = sign in _ENDS or (self.fresh and (sign.isspace() or sign in _BETWEEN))
+        self.read = max(self.read, at)
+        return self.fresh
+
+    def open(self, kind: str, sign: str) -> None:
+        self.append((kind, sign))
+        self.count[kind, sign] += 1
+        self.kinds[kind] += 1
+        if kind in QUOTATION:
+            self.quotes.append((kind, sign))
+
+    def _take(self) -> tuple[str, str]:
+        top = self.pop()
+        self.count[top] -= 1
+        self.kinds[top[0]] -= 1
+        if top[0] in QUOTATION:
+            self.quotes.pop()
+        return top
+
+    def close(self, kind: str, sign: str) -> bool:
+        if not self.count[kind, sign]:
+            return False
+        while self._take() != (kind, sign):
+            pass
+        return True
+
+    def drop(self, *kinds: str) -> None:
+        """Forgets all of these kinds, wherever they lie."""
+        kept = []
+        while any(self.kinds[kind] for kind in kinds):
+            top = self._take()
+            if top[0] not in kinds:
+                kept.append(top)
+        for frame in reversed(kept):
+            self.open(*frame)
+
+    def end_quote(self, sign: str) -> bool:
+        """Closes the innermost quotation that ``sign`` ends."""
+        if any(self.count[kind, opened] for kind in QUOTATION for opened in QUOTES if sign in QUOTES[opened]):
+            return self.close(*next(x for x in reversed(self.quotes) if sign in QUOTES[x[1]]))
+        return False
+
+
+def _quote_sign(stack: _Stack, line: str, at: int) -> None:
+    """Opens or closes a quotation, by what is open and the sign's neighbours.
+
+    Its kind is ``quote`` if it begins a sentence, ``inner`` if it begins inside one.
+    """
+    sign, before, after = line[at], line[at - 1 : at] or " ", line[at + 1 : at + 2] or " "
+    inner = stack.quotes[-1][1] if stack.quotes else ""
+    if sign in "‘’" and (before.isalnum() and after.isalnum() or _ELIDED.match(line, at)):
+        return
+    starts = (before.isspace() or before in "([{（【«“„‘‚'\"-–—/>*_") and not after.isspace()
+    if sign in QUOTES.get(inner, "") and not (starts and sign == inner == '"'):
+        stack.end_quote(sign)
+    elif sign in "\"»”" and not (starts or (before in ":,;=" and after.isalnum())):
+        stack.end_quote(sign)  # one further out, or one whose beginning isn't here
+    elif sign in QUOTES and (before.isspace() or not after.isspace()):
+        if sign == inner and stack[-1][0] in QUOTATION:  # none directly holds one of its own kind: the one before lacks its end
+            stack.close(*stack[-1])
+        stack.open("quote" if stack.begins(line, at) else "inner", sign)
+    else:
+        stack.end_quote(sign)
+
+
+def left_open(answer: str) -> list[tuple[str, str]]:
+    """What is open at the end of an answer, outermost first, as (kind, sign).
+
+    Kinds are ``fence``, ``item``, ``tag``, ``stress``, ``bracket`` and
+    ``quote`` (``inner`` inside a sentence). A blank line ends quotations and emphasis, and so does the next
+    item of a list; nothing is read inside fences and spans of code.
+    """
+    stack = _Stack()
+    for line in answer.split("\n"):
+        fence = _FENCE.match(line)
+        if stack and stack[-1][0] == "fence":
+            if fence and fence[1].startswith(stack[-1][1]) and not line[fence.end() :].strip():
+                stack.close(*stack[-1])
+            continue
+        if fence:
+            stack.open("fence", fence[1])
+            continue
+        item = _ITEM.match(line)
+        if item or not line.strip():
+            stack.drop(*QUOTATION, "stress")
+        if item or (line.strip() and not line[0].isspace()):
+            stack.drop("item")
+        if item:
+            stack.open("item", item[0].strip())
+        at = item.end() if item else 0
+        stack.line(at)
+        while found := _SIGN.search(line, at):
+            sign, start, at = found[0], found.start(), found.end()
+            before, after = line[start - 1 : start] or " ", line[at : at + 1] or " "
+            if found["code"]:
+                end = re.compile(rf"(?<!`){sign}(?!`)").search(line, at)
+                at = end.end() if end else at
+            elif found["tag"]:
+                name = found["tag"].lower()
+                if sign.startswith("</"):
+                    stack.close("tag", name)
+                elif not sign.endswith("/>") and name not in ENDLESS:
+                    stack.open("tag", name)
+            elif found["stress"]:
+                inside = before.isalnum() and after.isalnum()
+                if (before.isspace() or not (inside and sign[0] == "_")) and not (not before.isspace() and stack.close("stress", sign)) and not after.isspace() and not before.isalnum():
+                    stack.open("stress", sign)
+            elif sign in BRACKETS:
+                stack.open("bracket", sign)
+            elif sign in BRACKETS.values():
+                stack.close("bracket", next(o for o, c in BRACKETS.items() if c == sign))
+            else:
+                _quote_sign(stack, line, start)
+    return list(stack)
+
+
 def stops_early(answer: str) -> bool:
-    """True if an answer stops before its last sentence, citation, fence or markup is complete."""
+    """True if an answer stops before its last sentence, quotation, citation, fence or markup is complete."""
     text = answer.strip()
-    if _OPEN_CITATION.search(text) or len(_FENCE.findall(text)) % 2:
+    if _OPEN_CITATION.search(text):
         return True
     text = re.sub(rf"(?:\s*{_CITATION.pattern})+\s*\Z", "", text)
+    still = left_open(text)
+    # whole sentences in a quotation stand alone, so one that began with a sentence may lack its end;
+    # a single star or line may be a note's mark and nothing's beginning
+    if any(kind in ("fence", "tag", "bracket", "inner") or (kind == "stress" and len(sign) > 1) for kind, sign in still):
+        return True
     how = ending(text)
-    if how in ("broken", "ellipsis", "abbreviation", "open"):
+    if how in ("broken", "ellipsis", "abbreviation"):
         return True
     if how != "unfinished":
         return False
     last = text.split("\n")[-1]
-    if _BULLET.match(last) and text.count("\n"):
+    if any(kind == "item" for kind, _ in still) and _ITEM.match(last) and text.count("\n"):
         # an item is complete as the items before it are: without a terminator, and no shorter than a phrase
         return text.rstrip()[-1] in ",;:-(" or len(words(last)) < 2
     few = words(text)

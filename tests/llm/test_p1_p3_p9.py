@@ -36,6 +36,32 @@ def test_defects(question, answer, want):
     assert p1_pairs.defect(question, answer) == want
 
 
+OPEN = [
+    ('It was the aunt who sold it, and she said "I shall keep it.', [("inner", '"')], "truncated"),
+    ("It was the aunt. „Ich weiß es“, said she, ‘and I sold it.", [("inner", "‘")], "truncated"),
+    ("It was the aunt (as the clerk says. " + "She sold it. " * 60, [("bracket", "(")], "truncated"),
+    ("It was <b>the aunt.", [("tag", "b")], "truncated"),
+    ("It was **the aunt.", [("stress", "**")], "truncated"),
+    ("~~~\na ``` b (\n```\n~~~\nIt was the aunt.", [], None),
+    ("She wrote `f(x` and a note*. It was the aunt.", [], None),
+    ("“It was the aunt.\n\n“She sold it,” said Anna.", [], None),
+    # sentences of a quotation stand alone, so these are complete
+    ("It was the aunt. “She sold it in spring.", [("quote", "“")], None),
+    ('It was the aunt. [a_book:3:1] "Look there!', [("quote", '"')], None),
+    ("She asked: 5\" or ‘tis 6\"? The boys’ aunt sold it.", [], None),
+]
+
+
+@pytest.mark.parametrize(("answer", "still", "want"), OPEN)
+def test_one_stack_over_the_whole_answer(answer, still, want):
+    assert p1_pairs.left_open(answer) == still
+    assert p1_pairs.defect("Who sold the mill?", answer) == want
+
+
+def test_open_marks_take_linear_time():
+    assert len(p1_pairs.left_open("(“" * 50_000 + "]»" * 50_000)) >= 50_000
+
+
 def test_tiling_takes_the_longest_first():
     assert p1_pairs.tiles("a b c d e".split(), "c d e a b c d".split()) == [(0, 3, 4), (2, 0, 3)]
 

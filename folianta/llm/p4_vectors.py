@@ -293,22 +293,37 @@ def _scan(books, dims: int, k: int, wide: int):
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, dims: int = 64, wide: int = 256, shard_rows: int = 20_000) -> DataFrame:
-    """``id``, ``other``, ``similarity`` and ``rank``: the k most similar of all classes for the stated queries.
+    """``id``, ``other``, ``similarity`` and ``rank``: the k most similar vectors for each of the stated queries.
 
-    ``is_query`` is a condition on ``id`` that states the query set. Every shard
-    of the index is scored for all queries from tables, its ``wide`` best for
-    each are reranked exactly, and the k best of all shards remain. Of a class
-    of equal vectors the smallest id stands for all.
+    ``is_query`` is a condition on ``id`` that states the query set. Each query
+    is looked for by its class: every shard of the index is scored for all
+    classes asked for from tables, its ``wide`` best for each are reranked
+    exactly, and the k best classes of all shards remain. A query's own copies
+    come first, by smallest id, then the members of those classes.
     """
     index = build(vectors, k, dims)
     spark = vectors.sparkSession
     if index.books is None:
         return index.firsts.select("id", F.col("id").alias("other"), F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).limit(0)
+    queries = materialise(index.members.where(is_query).distinct(), "queries")
+    # a row for each class asked for, with its k + 1 smallest ids
+    classes = index.firsts.join(queries.select("a", "b").distinct(), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.array_sort(F.collect_list("id")).alias("own"))
+    classes = materialise(classes.withColumn("rep", F.col("own")[0]), "query_classes")
     coded = materialise(index.coded.drop("near", "along"), "coded")
     shards = max(1, math.ceil(coded.count() / shard_rows))
     kept = coded.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int"))
-    asked = coded.where(is_query).select("id", "unit", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = coded.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("id"), F.col("unit").alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     sent = spark.sparkContext.broadcast(index.books)
     found = asked.groupBy("shard").cogroup(kept.withColumnRenamed("shard", "of").groupBy("of")).applyInArrow(_scan(sent, dims, k, wide), "id string, other string, similarity double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return found.where("id <> other").withColumn("rank", rank).where(F.col("rank") <= k)
+    between = found.where("id <> other").withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias("rep"), F.col("other").alias("near"), "similarity")
+    # the smallest ids of each near class; k of them all are enough for any query
+    firsts = index.firsts.where(F.col("rank") <= k).select("a", "b", "id", "rank")
+    named = firsts.where("rank = 1").select("a", "b", F.col("id").alias("near")).join(firsts.select("a", "b", F.col("id").alias("other")), ["a", "b"]).select("near", "other")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "other"))
+    nearest = between.join(named, "near").withColumn("place", place).where(F.col("place") <= k)
+    others = nearest.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other", "similarity"))), lambda x: F.struct(x["other"].alias("other"), x["similarity"].alias("similarity"))).alias("others"))
+    each = queries.join(classes.join(others, "rep", "left"), ["a", "b"])
+    copies = F.transform(F.filter("own", lambda x: x != F.col("id")), lambda x: F.struct(x.alias("other"), F.lit(1.0).alias("similarity")))
+    both = F.slice(F.concat(copies, F.coalesce("others", F.array().cast("array<struct<other: string, similarity: double>>"))), 1, k)
+    return each.select("id", F.posexplode(both).alias("at", "n")).select("id", "n.other", "n.similarity", (F.col("at") + 1).alias("rank"))

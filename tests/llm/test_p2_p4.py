@@ -115,6 +115,26 @@ def test_search_recall(spark):
     assert len(found) == 75 and hits / 75 >= 0.9
 
 
+def test_copies_among_the_queries(spark):
+    random_ = np.random.default_rng(8)
+    x = random_.normal(size=(60, 64)).astype(np.float32)
+    rows = [(f"v{i:03}", v.tolist(), 1, 1) for i, v in enumerate(x)] + [(f"w{i:03}", x[0].tolist(), 1, 1) for i in range(30)] + [("x001", x[1].tolist(), 1, 1)]
+    found = {}
+    for r in p4_vectors.search(vectors(spark, rows + rows[:70]), "id in ('v000', 'v002', 'w001', 'w020', 'x001')", shard_rows=20).orderBy("id", "rank").collect():
+        found.setdefault(r.id, []).append((r["rank"], r.other, round(r.similarity, 6)))
+    assert {k: [n for n, _, _ in v] for k, v in found.items()} == {k: [1, 2, 3, 4, 5] for k in ("v000", "v002", "w001", "w020", "x001")}
+    assert [o for _, o, _ in found["v000"]] == [f"w{i:03}" for i in range(5)]
+    assert [o for _, o, _ in found["w001"]] == ["v000", "w000", "w002", "w003", "w004"]
+    assert [o for _, o, _ in found["w020"]] == ["v000", "w000", "w001", "w002", "w003"]
+    assert all(s == 1 for _, _, s in found["w020"])
+    ids, all_ = [r[0] for r in rows], np.array([r[1] for r in rows])
+    u = all_ / np.linalg.norm(all_, axis=1, keepdims=True)
+    for of in ("v002", "x001"):
+        s = {i: round(float(u[n] @ u[ids.index(of)]), 6) for n, i in enumerate(ids) if i != of}
+        assert [o for _, o, _ in found[of]] == sorted(s, key=lambda i: (-s[i], i))[:5]
+    assert found["x001"][0] == (1, "v001", 1.0)
+
+
 def test_few_and_none(spark):
     assert p4_vectors.near_pairs(vectors(spark, [])).count() == 0
     v = [1.0] * 64

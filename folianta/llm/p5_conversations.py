@@ -3,7 +3,8 @@
 Method: messages of interleaved channels are linked to the message they answer.
 Each message scores the messages before it in its channel by time, mentions
 (names both hold) and lexical overlap, together with whether the speaker
-changes, takes the likeliest as its parent, and the links form trees. A link is
+changes and how many messages lie between, which rules out all but the last
+few; it takes the likeliest as its parent, and the links form trees. A link is
 straight if it leads to the message sent just before; a crossed one is laid
 anew to that message, as a thread is read in the order of sending. A thread is a
 whole conversation if its links then pass an exact check: each leads from a
@@ -20,6 +21,8 @@ exact copies of a row count once; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +36,9 @@ ASIDE = ["system", "tool", "function", "developer", "sys", "toolcall", "toolresu
 #: Fixed value: white space and characters that show nothing, as a Java character class.
 INVISIBLE = r"[\s\p{Z}\p{Cc}\p{Cf}͏ᅟᅠ឴឵᠋-᠏⠀ㅤ︀-️ﾠ]"
 
-LOOK_BACK = 3
+#: A link's score is at most BEST less STEP for each message between; the message just before scores 0 at least, so none further back than LOOK_BACK can win.
+BEST, STEP = 5.0, 0.75
+LOOK_BACK = math.floor(BEST / STEP) + 1
 SEGMENT = 200_000
 HALF_LIFE_MS = 6 * 3600 * 1000.0
 
@@ -62,6 +67,21 @@ def messages(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return laid.dropDuplicates(["thread_id", "segment", "id", "speaker", "content"])
 
 
+def sent_once(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``messages`` without those sent again directly after themselves (same speaker, same content).
+
+    Only the last message of each segment meets others of its thread; rows stay where they are laid.
+    """
+    rows = rows.withColumn("said", F.xxhash64(F.coalesce("content", F.lit(""))))
+    lasts = rows.groupBy("thread_id", "segment").agg(F.max(F.struct("id", "said", "speaker")).alias("end"))
+    earlier = lasts.select("thread_id", "segment", F.lag("end").over(Window.partitionBy("thread_id").orderBy("segment")).alias("end"))
+    order = Window.partitionBy("thread_id", "segment").orderBy("id", "said")
+    last = F.coalesce(F.lag(F.struct("id", "said", "speaker")).over(order), F.col("end"))
+    placed = rows.join(earlier, ["thread_id", "segment"]).withColumn("last", last)
+    again = F.coalesce((F.col("last.speaker") == F.col("speaker")) & (F.col("last.said") == F.col("said")), F.lit(False))
+    return placed.where(~again).drop("end", "last", "said")
+
+
 def _evidence(rows: DataFrame) -> DataFrame:
     text = F.coalesce("content", F.lit(""))
     return rows.select(
@@ -86,18 +106,18 @@ def _score(me: dict[str, Column], other: Column, distance: Column) -> Column:
     overlap = shared / F.greatest(F.lit(1), F.least(F.size(me["words"]), F.size(other["words"])))
     mention = F.least(F.lit(1.0), F.size(F.array_intersect(me["names"], other["names"])) / F.lit(2.0))
     turn = F.when(me["speaker"] != other["speaker"], 2.0).otherwise(0.0)
-    return turn + time + mention + overlap - 0.75 * distance
+    return turn + time + mention + overlap - STEP * distance
 
 
 def link_messages(turns: DataFrame, look_back: int = LOOK_BACK, segment: int = SEGMENT) -> DataFrame:
-    """Each speaking message with its likeliest parent.
+    """Each speaking message with its likeliest parent; one sent again directly after itself is no message.
 
-    Columns: thread_id, id, speaker, content, at, blank, repeated (sent again
-    directly after itself), parent_id, parent_speaker and score (null for the
-    first message of a thread), straight (the parent is the message sent just
-    before), before_id and before_speaker (of that message).
+    Columns: thread_id, id, speaker, content, at, blank, parent_id,
+    parent_speaker and score (null for the first message of a thread), straight
+    (the parent is the message sent just before), before_id and before_speaker
+    (of that message).
     """
-    rows = _evidence(messages(turns, segment).where("speaker <> 'aside'"))
+    rows = _evidence(sent_once(messages(turns, segment).where("speaker <> 'aside'")))
     inner = Window.partitionBy("thread_id", "segment")
     placed = _with_candidates(rows, ["thread_id", "segment"], look_back).select(
         "*",
@@ -115,7 +135,6 @@ def link_messages(turns: DataFrame, look_back: int = LOOK_BACK, segment: int = S
     last = F.col("before")[0]
     return linked.withColumn("best", best).select(
         "thread_id", "id", "speaker", "content", "at", "blank",
-        F.coalesce((last["speaker"] == F.col("speaker")) & (last["said"] == F.col("said")), F.lit(False)).alias("repeated"),
         F.col("best.id").alias("parent_id"), F.col("best.speaker").alias("parent_speaker"), F.col("best.score").alias("score"),
         F.coalesce(F.col("best.near") == 0, F.lit(True)).alias("straight"), last["id"].alias("before_id"), last["speaker"].alias("before_speaker"),
     )
@@ -137,8 +156,7 @@ def thread_states(threads: DataFrame, turns: DataFrame, links: DataFrame | None
     ``missing_reply`` (one speaker twice in a row) and ``no_assistant_last``.
     """
     links = link_messages(turns) if links is None else links
-    said = straightened(links).where(~F.col("repeated"))
-    each = said.groupBy("thread_id").agg(
+    each = straightened(links).groupBy("thread_id").agg(
         F.max((F.col("speaker") == "unknown").cast("int")).alias("unknown"),
         F.max(F.col("blank").cast("int")).alias("blank"),
         F.max((F.col("answers").isNull() & (F.col("speaker") != "reader")).cast("int")).alias("wrong_start"),
@@ -188,7 +206,7 @@ def conversations(threads: DataFrame, turns: DataFrame) -> DataFrame:
     """
     links = materialise(link_messages(turns), "links")
     whole = thread_states(threads, turns, links).where("state = 'whole'").select("thread_id")
-    kept = link_trees(links.where(~F.col("repeated"))).join(whole, "thread_id", "left_semi")
+    kept = link_trees(links).join(whole, "thread_id", "left_semi")
     return _numbered(kept).select("thread_id", "turn", "speaker", "content", "id", "parent_id", "root_id")
 
 

@@ -65,6 +65,26 @@ def test_crossed_links_are_laid_to_the_message_before(spark):
     assert (links[3].straight, links[3].answers) == (False, "assistant")
 
 
+@pytest.mark.parametrize("segment", [1, 2, 200_000])
+def test_no_parent_is_a_message_sent_again(spark, segment):
+    turns = table(spark, [("user", "Where is Anna?"), ("user", "Where is Anna?"), ("user", "Where is Anna?"), ("bot", "In the mill."), ("bot", "In the mill."), ("user", "Why?"), ("bot", "To sell it.")])
+    links = p5_conversations.link_messages(turns, segment=segment)
+    assert {r.id: r.parent_id for r in links.collect()} == {0: None, 3: 0, 5: 3, 6: 5}
+    threads = spark.createDataFrame([("t0",)], "id string")
+    got = p5_conversations.conversations(threads, turns).orderBy("turn").collect()
+    assert [(r.id, r.parent_id, r.root_id) for r in got] == [(0, None, 0), (3, 0, 0), (5, 3, 0), (6, 5, 0)]
+
+
+@pytest.mark.parametrize("segment", [3, 200_000])
+def test_a_parent_far_back(spark, segment):
+    # an answer that shares all words and names with a question of six messages before, and nothing with those between
+    far = "Where did Anna Moor sell it"
+    rows = [(0, "t0", "user", far, 0, 1, 1)] + [(n, "t0", "bot", f"x{n}", n, 1, 1) for n in range(1, 7)] + [(7, "t0", "bot", far, 0, 1, 1)]
+    late = [(i, t, r, c, at if i in (0, 7) else 10**12, a, b) for i, t, r, c, at, a, b in rows]
+    links = {r.id: r for r in p5_conversations.link_messages(spark.createDataFrame(late, TURNS), segment=segment).collect()}
+    assert (links[7].parent_id, round(links[7].score, 6)) == (0, 0.5)
+
+
 def test_conversations_in_order(spark):
     turns = table(spark, *[c for c, _ in CASES])
     threads = spark.createDataFrame([(f"t{i}",) for i in range(len(CASES))], "id string")

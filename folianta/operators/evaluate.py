@@ -79,6 +79,23 @@ def bootstrap(values: DataFrame, iterations: int = 5000, key: str = "series") ->
     return values.groupBy(key).applyInPandas(run, f"{key} string, n bigint, mean double, low double, high double")
 
 
+def bootstrap_spread(values: DataFrame, iterations: int = 5000, key: str = "series") -> DataFrame:
+    """As ``bootstrap``, for series of any length: no task holds one.
+
+    A draw is a hash of its resample and position, so it needs none before it
+    and the bounds differ from ``bootstrap``'s as two seeds do. Places run from
+    0 or any other number, without gaps.
+    """
+    sizes = values.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("_from"), F.avg("value").alias("mean"))
+    drawn = values.select(key, "place").join(sizes.drop("mean"), key).select(key, "n", "_from", "place", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_b"))
+    met = drawn.select(key, "n", "_b", (F.col("_from") + F.pmod(F.xxhash64("_b", (F.col("place") - F.col("_from")).cast("bigint")), F.col("n"))).alias("place")).join(values, [key, "place"])
+    means = met.groupBy(key, "_b").agg((F.sum("value") / F.first("n")).alias("_mean"))
+    # a row for each resample
+    nth = means.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("_mean")) - 1)
+    at = lambda share: F.max(F.when(F.col("_nth") == int(iterations * share), F.col("_mean")))
+    return sizes.join(nth.groupBy(key).agg(at(0.025).alias("low"), at(0.975).alias("high")), key).select(key, "n", "mean", "low", "high")
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, iterations: int = 10_000) -> DataFrame:
     """n, difference, low, high and significant of the mean of b - a over the cases both have.
 

@@ -505,7 +505,7 @@ def needle_rates(s, d):
 def bootstrap_ci(s, d):
     order = Window.partitionBy("kind").orderBy("query_id")
     values = _results(s, d).select(F.coalesce("kind", F.lit("none")).alias("series"), F.row_number().over(order).alias("place"), F.col("found").cast("double").alias("value"))
-    return evaluate.bootstrap(values, 1000)
+    return evaluate.bootstrap(values)
 
 
 @query
@@ -513,7 +513,7 @@ def paired_bootstrap(s, d):
     cases = corpus.cases(s, d).select(F.col("id").alias("query_id"), "any_of")
     index = lexical.build(corpus.chunks(s, d))
     one = lambda terms: evaluate.by_case(evaluate.expected_hits(lexical.search(index, terms, 8), cases, corpus.chunks(s, d)), cases).select(F.col("query_id").alias("case_id"), F.col("rr").alias("value"))
-    return evaluate.paired_bootstrap(one(lexical.query_terms(corpus.queries(s, d))), one(lexical.query_terms(corpus.queries(s, d), corpus.aliases(s))), 1000)
+    return evaluate.paired_bootstrap(one(lexical.query_terms(corpus.queries(s, d))), one(lexical.query_terms(corpus.queries(s, d), corpus.aliases(s))))
 
 
 # what a reader asks

@@ -160,6 +160,31 @@ def test_metrics(spark):
     assert got == {1: (0.5, round((1 / 2 + 2 / 3) / 2, 6)), 2: (0.0, 0.0)}
 
 
+def test_bootstraps_draw_as_often_as_the_reference(spark, sf, monkeypatch):
+    from folianta.plans import queries as core
+
+    drawn, real = [], evaluate.bootstrap
+
+    def noted(values, iterations=5000, key="series"):
+        drawn.append(iterations)
+        return real(values, iterations, key)
+
+    monkeypatch.setattr(evaluate, "bootstrap", noted)
+    core.queries()["bootstrap_ci"](spark, sf), core.queries()["paired_bootstrap"](spark, sf)
+    assert drawn == [5000, 10_000]
+
+
+def test_bootstrap_spread(spark):
+    rows = [("a", i, float(i % 3 == 0)) for i in range(1, 91)] + [("b", i, 2.0) for i in range(5)]
+    values = spark.createDataFrame(rows, "series string, place int, value double")
+    got = {r.series: r for r in evaluate.bootstrap_spread(values, 800).collect()}
+    want = {r.series: r for r in evaluate.bootstrap(values, 800).collect()}
+    assert (got["b"].n, got["b"].mean, got["b"].low, got["b"].high) == (5, 2.0, 2.0, 2.0)
+    assert got["a"].n == want["a"].n and abs(got["a"].mean - want["a"].mean) < 1e-9
+    assert abs(got["a"].low - want["a"].low) < 0.03 and abs(got["a"].high - want["a"].high) < 0.03
+    assert evaluate.bootstrap_spread(values.limit(0), 50).count() == 0
+
+
 def test_bootstrap(spark):
     same = spark.createDataFrame([("s", i, 1.0) for i in range(5)], "series string, place int, value double")
     r = evaluate.bootstrap(same, 200).first()

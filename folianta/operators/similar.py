@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,51 @@ def nearest(a: DataFrame, b: DataFrame, dims: int = 64) -> DataFrame:
     return found.select(F.col("query_id").alias("a_id"), F.col("id").alias("b_id"), F.col("score").alias("similarity"))
 
 
+def _best_by_book(dims: int):
+    """For each vector of one block and each other book in another block, its most similar there."""
+
+    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
+        matrix = lambda t: np.asarray(t["vector"].combine_chunks().flatten(), np.float64).reshape(-1, dims)
+        # by book and id, so that ties go to the smaller id
+        block = block.sort_by([("book_id", "ascending"), ("id", "ascending")])
+        q, x = matrix(asked), matrix(block)
+        own, books = np.asarray(asked["book_id"].to_pylist(), object), np.asarray(block["book_id"].to_pylist(), object)
+        starts = np.flatnonzero(np.r_[True, books[1:] != books[:-1]]) if len(x) else np.zeros(0, int)
+        who, what, score = [], [], []
+        for at in range(0, len(q), 256):
+            scores = np.round(q[at : at + 256] @ x.T, 6)
+            for start, end in zip(starts, np.r_[starts[1:], len(x)], strict=True):
+                best = scores[:, start:end].argmax(1) + start
+                top = scores[np.arange(len(best)), best]
+                good = np.flatnonzero((own[at : at + 256] != books[start]) & (top > -1))
+                who.append(good + at), what.append(best[good]), score.append(top[good])
+        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        i, j = pa.array(flat(who, np.int64)), pa.array(flat(what, np.int64))
+        take = lambda t, c, at: t[c].combine_chunks().take(at)
+        return pa.table([take(asked, "id", i), take(block, "id", j), take(asked, "book_id", i), take(block, "book_id", j), pa.array(flat(score, np.float64))], names=["a_id", "b_id", "a_book", "b_book", "similarity"])
+
+    return run
+
+
+def nearest_of_books(vectors: DataFrame, dims: int = 64, block_rows: int = dense.SHARD_ROWS) -> DataFrame:
+    """a_id, b_id, a_book, b_book and similarity: for each vector and each other book, the most similar of that book.
+
+    ``vectors`` has id, book_id and vector, normalised; those without a book take
+    no part. Every block of vectors meets every other in a task of its own; ties
+    and products of -1 are as in ``nearest``.
+    """
+    named = vectors.where("book_id is not null").select("id", "book_id", "vector")
+    blocks = max(1, math.ceil(named.count() / block_rows))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    left = named.select("*", of.alias("i"), every.alias("j"))
+    right = named.select(*[F.col(c).alias(c) for c in named.columns], of.alias("of"), every.alias("by"))
+    kinds = "a_id string, b_id string, a_book string, b_book string, similarity double"
+    found = left.groupBy("i", "j").cogroup(right.groupBy("by", "of")).applyInArrow(_best_by_book(dims), kinds)
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("b_id")))
+    return found.groupBy("a_id", "a_book", "b_book").agg(best.alias("n")).select("a_id", F.col("n.b_id").alias("b_id"), "a_book", "b_book", (-F.col("n.s")).alias("similarity"))
+
+
 def diverse(pairs: DataFrame, top: int) -> DataFrame:
     """The most similar pairs of which no two share a chapter on either side, at most ``top``; with their ``place``.
 
@@ -104,3 +152,19 @@ def baseline(a: DataFrame, b: DataFrame, most: int = 60) -> DataFrame:
 
     both = sample(a, "x").crossJoin(F.broadcast(sample(b, "y")))
     return both.agg(F.round(F.avg(dot(F.col("x"), F.col("y"))), 4).alias("baseline"))
+
+
+def baselines(vectors: DataFrame, most: int = 60) -> DataFrame:
+    """a_book, b_book (smaller first) and ``baseline`` of every two books, sampled as ``baseline`` does.
+
+    ``vectors`` has id, book_id and vector.
+    """
+    sizes = vectors.where("book_id is not null").groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    stride = F.greatest(F.lit(1), F.floor(F.col("n") / most))
+    # places run over all books; a book's first is taken off
+    placed_ = numbered(vectors.where("book_id is not null").select("id", "book_id", "vector"), ["book_id", "id"])
+    firsts = placed_.groupBy("book_id").agg(F.min("place").alias("first"))
+    taken = placed_.join(firsts, "book_id").join(sizes, "book_id").where((F.col("place") - F.col("first")) % stride == 0)
+    side = lambda book, name: taken.select(F.col("book_id").alias(book), F.col("vector").alias(name))
+    both = side("a_book", "x").join(side("b_book", "y"), F.col("a_book") < F.col("b_book"))
+    return both.groupBy("a_book", "b_book").agg(F.round(F.avg(dot(F.col("x"), F.col("y"))), 4).alias("baseline"))

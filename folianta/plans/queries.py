@@ -278,6 +278,29 @@ def baseline_similarity(s, d):
     return similar.baseline(similar.placed(a), similar.placed(b))
 
 
+@query
+def nn_pairs_library(s, d):
+    """For each chunk of the library and each other book the most similar chunk of that book."""
+    return similar.nearest_of_books(corpus.vectors(s, d)).select("a_id", "b_id", "similarity")
+
+
+@query
+def diverse_pairs_library(s, d):
+    """The diverse selection over all books; a chapter is one of its book."""
+    v = corpus.vectors(s, d)
+    chapter = F.concat_ws(":", "book_id", "chapter_index")
+    # of two chunks that are each other's nearest, one pair; of all others the pair as found
+    pairs = similar.nearest_of_books(v).select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), "similarity").distinct()
+    chapters = pairs.join(v.select(F.col("id").alias("a_id"), chapter.alias("a_chapter")), "a_id").join(v.select(F.col("id").alias("b_id"), chapter.alias("b_chapter")), "b_id")
+    return similar.diverse(chapters.select("a_id", "b_id", "a_chapter", "b_chapter", "similarity"), 5)
+
+
+@query
+def baseline_similarity_library(s, d):
+    """The baseline of every two books."""
+    return similar.baselines(corpus.vectors(s, d))
+
+
 @query
 def strength_labels(s, d):
     rows = load(s, d, "passage_pairs").where("similarity is not null").distinct()
@@ -491,16 +514,26 @@ def topic_coverage(s, d):
     return evaluate.topic_coverage(cases, found.select(F.col("query_id").alias("case_id"), "book_id")).select("case_id", F.array_join("missing", " ").alias("missing"))
 
 
-@query
-def needle_rates(s, d):
-    """How often a chunk comes back for its own first words, by the chapters' position."""
-    c = corpus.chunks(s, d).where("chunk_index = 0 and text is not null")
+def _needle_rates(s, d, c):
+    """How often the chunks of ``c`` come back for their own first words, by the chapters' position."""
     asked = c.select(F.col("id").alias("query_id"), F.array_join(F.slice(F.split(T.squash(F.col("text")), " "), 1, 12), " ").alias("query"), F.lit(None).cast("string").alias("scope"))
     found = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(asked), 8).where("query_id = id").select("query_id", "rank")
     form = F.when(F.col("chapter_index") < 5, "early").otherwise("late")
     return evaluate.needle_rates(c.select(F.col("id").alias("query_id"), form.alias("form")).join(found, "query_id", "left"))
 
 
+@query
+def needle_rates(s, d):
+    """The first chunk of each chapter, as in the SQL."""
+    return _needle_rates(s, d, corpus.chunks(s, d).where("chunk_index = 0 and text is not null"))
+
+
+@query
+def needle_rates_library(s, d):
+    """Every chunk, those inside a chapter too."""
+    return _needle_rates(s, d, corpus.chunks(s, d).where("text is not null"))
+
+
 @query
 def bootstrap_ci(s, d):
     order = Window.partitionBy("kind").orderBy("query_id")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,32 @@ def test_metrics(spark):
     assert got == {1: (0.5, round((1 / 2 + 2 / 3) / 2, 6)), 2: (0.0, 0.0)}
 
 
+def test_the_whole_library_is_compared(spark, sf):
+    from folianta.plans import corpus, queries as core
+
+    q = core.queries()
+    v = [(r.id, r.book_id, np.array(r.vector)) for r in corpus.vectors(spark, sf).collect()]
+    books = sorted({b for _, b, _ in v})
+    assert len(books) > 2
+    want = {}
+    for i, b, x in v:
+        for other in books:
+            if other != b:
+                near = min((-round(float(x @ y), 6), j) for j, c, y in v if c == other)
+                want[i, other] = (near[1], -near[0])
+    of = {i: b for i, b, _ in v}
+    got = {(r.a_id, of[r.b_id]): (r.b_id, r.similarity) for r in q["nn_pairs_library"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][1] - want[k][1]) < 3e-6 for k in want)
+    blocks = {(r.a_id, r.b_book): r.b_id for r in similar.nearest_of_books(corpus.vectors(spark, sf), block_rows=40).collect()}
+    assert blocks == {k: b for k, (b, _) in got.items()}
+    rates = q["baseline_similarity_library"](spark, sf).collect()
+    assert len(rates) == len(books) * (len(books) - 1) // 2
+    best = q["diverse_pairs_library"](spark, sf).orderBy("place").first()
+    assert abs(best.similarity - max(s for _, s in want.values())) < 3e-6
+    asked = sum(r.needles for r in q["needle_rates_library"](spark, sf).collect())
+    assert asked == corpus.chunks(spark, sf).where("text is not null").count() > sum(r.needles for r in q["needle_rates"](spark, sf).collect())
+
+
 def test_bootstraps_draw_as_often_as_the_reference(spark, sf, monkeypatch):
     from folianta.plans import queries as core
 

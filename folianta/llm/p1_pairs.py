@@ -1,30 +1,45 @@
 """Problem 1: question and answer pairs that are defective.
 
-Method: a pushdown parser goes through the whole of an answer with its fences,
-lists, tags, emphasis, brackets and quotations on one stack, and what is left on
-it tells whether the answer stops early; greedy string tiling measures
-how much of an answer is the question again; scripts and function words tell
-languages; a small grammar of refusals is applied to each sentence outside
-quotations. Defects are tried in the order ``empty``, ``copy``, ``refusal``,
-``other_language``, ``truncated``; the first that holds is a pair's defect.
+Method: the pushdown parser of ``structure`` goes through the whole of an answer
+with its fences, lists, tags, emphasis, brackets and quotations on one stack, and
+what is left on it tells whether the answer stops early; greedy string tiling
+measures how much of an answer is the question again; scripts, and profiles of
+character n-grams and words learnt from labelled texts, tell languages; a grammar
+of refusals (who, modal, negation, act, apology) is applied to each sentence
+outside quotations. Defects are tried in the order ``empty``, ``copy``,
+``refusal``, ``other_language``, ``truncated``; the first that holds is a pair's
+defect.
 
 A null or blank answer is empty. With a null or blank question only ``empty``,
-``refusal`` and ``truncated`` are told. Exact copies of a row count once; rows
-without an id take no part; an empty table gives an empty result.
+``refusal`` and ``truncated`` are told; without labelled texts languages are told
+by script only. Exact copies of a row count once; rows without an id take no
+part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .p9_cuts import ending
+from .structure import ITEM, incomplete, left_open
+
+#: Language profiles are fitted on about so many labelled texts, chosen by a hash of all of a row.
+PROFILE_TEXTS = 4000
+#: A profile holds the commonest so many n-grams and words of a language with at least so many texts.
+PROFILE_GRAMS, PROFILE_LEAST = 4000, 10
+#: Natural logarithm of the odds, and words of evidence, from which a language is told.
+SURE_ODDS, SURE_WORDS = 10.0, 3
+#: A text of at least so many words of which fewer than so many are known to a language isn't in it.
+STRANGE_WORDS, STRANGE_SHARE = 8, 0.15
 
 # Fixed values of the grammars.
 SAYS_NOTHING = {
@@ -43,14 +58,17 @@ LANGUAGES = {
     "th": ("thai", "thailändisch", "thaï", "tailandés"),
     "hi": ("hindi",),
 }
-FUNCTION_WORDS = {
-    "en": "the of and to in a is was that it for with as on by he she had his her from at which this were not be who an or but what there nothing when where why how does did ever been have all they asked said though first looked book says chapter would no so into about until before after nothing there never their our your his she".split(),
-    "de": "der die das und ist war nicht ein eine einen einem den dem des in im am zu mit von auf für sich es er sie als auch um so was wer wo wann warum wie nach vor bis an bei niemand sprach schien siehe laut aus dass ihre kann ich leider was denkt dieser diesem diesen dieses welchem welcher buch kapitel laut geschah familie weiß rief fragte jahr trotz ohne über eine".split(),
-    "fr": "le la les de des du un une et est était ne pas que qui dans en à au aux pour par sur avec il elle a ont se ce sa son ses où quand pourquoi comment c'est l'a d'une n'en tout puis sans jamais dit selon quel quelle je suis désolé tout semblait toute même l'auberge où trouve livre chapitre cette cet ces raison pense soir mais ou si".split(),
-    "es": "el la los las de del un una y es era no que en a al por para con sin se lo su sus como donde dónde cuándo qué quién cómo porque todo fue hasta véase según sabe bien desde cuando esto pero más muy ese esta lo siento puedo todo parecía capítulo libro aparece piensa aquella aquel también cuál tan tarde".split(),
+#: Who, modal, negation, act and apology in further languages; a refusal is an apology, or who, modal, negation and act in any order its language allows.
+REFUSING = {
+    "it": ("io|noi|mi", "posso|possiamo|voglio|devo|riesco|sono in grado", "non", "rispondere|aiutar\\w*|dire|commentare|trattano|contengono", "mi dispiace|mi spiace|purtroppo"),
+    "pt": ("eu|nós|me", "posso|podemos|quero|devo|consigo|sou capaz", "não", "responder|ajudar|dizer|comentar|tratam|contêm", "desculp\\w*|sinto muito|lamento|infelizmente"),
+    "nl": ("ik|wij|we", "kan|kunnen|mag|wil|zal|ben", "niet|geen", "antwoorden|beantwoorden|helpen|zeggen|ingaan", "het spijt m\\w+|sorry|helaas"),
+    "ru": ("я|мы", "могу|можем|хочу|буду|умею", "не", "ответить|отвечать|помочь|сказать|комментировать", "извин\\w*|прост\\w*|к сожалению"),
 }
-_OWN = {w: {k for k, ws in FUNCTION_WORDS.items() if w in ws} for ws in FUNCTION_WORDS.values() for w in ws}
-
+_REFUSING = re.compile(
+    "|".join(rf"\b(?:{sorry})\b|\b(?:{no})\W+(?:{can})\b.{{0,60}}\b(?:{act})\b|\b(?:{who})\W+(?:{can})\b.{{0,60}}\b(?:{no})\b.{{0,60}}\b(?:{act})\b" for who, can, no, act, sorry in REFUSING.values()),
+    re.I,
+)
 REFUSAL = re.compile(
     r"""
     \b(?:
@@ -62,6 +80,7 @@ REFUSAL = re.compile(
     | (?:do|does|did)(?:\ not|n't)\ (?:cover|contain|mention|address|include|tell\ me|say\ anything|provide)
     | as\ an?\ (?:ai|language\ model|assistant)
     | (?:cannot|can't|can\ not|unable\ to)\ (?:help|assist|answer|respond|comment|discuss|provide)
+    | (?:falls?|lies?|is|are|goes)\ (?:well\ |far\ )?(?:outside|beyond)\ (?:of\ )?(?:what\ (?:i|we)|my|our|the\ (?:scope|subject|range))
     | (?:nothing|not\ enough|no\ information|insufficient)\ .{0,40}\b(?:to\ answer|passages|was\ given|i\ was)
     | (?:es\ tut\ mir\ leid | tut\ mir\ leid | leider | entschuldig\w* | ich\ bedau\w+)
     | (?:kann|darf|möchte|werde|will|könnte|konnte)\ (?:ich|wir)\b.{0,60}\b(?:nicht|nichts|keine?\w*)
@@ -70,6 +89,9 @@ REFUSAL = re.compile(
     | je\ (?:ne|n')\s*(?:\w+\s+){0,2}(?:pas|rien|point|aucun\w*)
     | je\ n'\w+\ (?:pas|rien|aucun\w*)
     | je\ (?:suis\ (?:dans\ l'incapacité|incapable)|préfère\ ne|dois\ (?:refuser|décliner)|refuse|préférerais\ ne)
+    | ne\ (?:permet|permettent|couvre|couvrent|contient|contiennent|mentionne|mentionnent|suffi\w+)\ (?:pas|rien) | (?:je\ m'abstiens|m'abstenir)
+    | (?:geben|gibt|enthalten|enthält|erwähnen|erwähnt)\b.{0,40}\b(?:nicht|nichts|keine?\w*)\b.{0,40}\b(?:her|dazu|darüber|angaben|auskunft|antwort)
+    | no\ (?:permiten?|contienen?|cubren?|mencionan?|bastan?)\b | me\ abstengo | abstenerme
     | (?:lo\ siento | lo\ lamento | lamento | disculp\w+ | perd[oó]n\w* | mis\ disculpas | lamentablemente)
     | no\ (?:me\ es\ posible|puedo|podemos|podría|sé|tengo|estoy|dispongo|quiero|deseo|debo|voy\ a|sería\ apropiado)
     | (?:prefiero|preferiría)\ no
@@ -93,112 +115,234 @@ _OPEN_CITATION = re.compile(r"\[[\w:. -]{0,80}\Z")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&nbsp;")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’(?!\w)|「[^」]*」")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+")
+_LABEL = re.compile(rf"^\W*{LABELS}\s*:\s*", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_FENCE = re.compile(r"\s*(`{3,}(?=[^`]*\Z)|~{3,})")
-_ITEM = re.compile(r"\s*(?:[-*•–+]|\(?\d{1,3}[.)]|\(?[a-z]\))\s+(?=\S)")
-_SIGN = re.compile(r"(?P<code>`+)|</?(?P<tag>[A-Za-z][\w-]*)(?:\s[^<>]*)?/?>|(?P<stress>\*+|_+)|[\"()\[\]{}（）【】「」『』«»“”„‘’‚]")
-#: Opening signs with what closes them; quotations among them; tags that need no end; words that begin with an apostrophe.
-BRACKETS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】"}
-QUOTES = {"「": "」", "『": "』", "«": "»", "“": "”", "„": "“”\"", "‘": "’", "‚": "‘’", '"': '"', "»": "«", "”": "”"}
-ENDLESS = set("p li dt dd tr td th thead tbody tfoot option br hr img input meta link wbr col area".split())
-QUOTATION = ("quote", "inner")
-#: What ends a sentence (or citation), and what may stand between that and the next one's first word.
-_ENDS, _BETWEEN = set(".!?…。！？।॥؟]"), set("\"'”’»)」』*_—–-¡¿([«“„‘‚「『>")
-_ELIDED = re.compile(r"[‘’](?:tis|twas|twere|twill|twould|em|cause|til|bout|round|n|s|\d\ds?)\b", re.I)
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", text).replace("’", "'").casefold())
 
 
-def says_nothing(answer: str | None) -> bool:
-    """True if an answer is missing, blank, a placeholder or signs only."""
-    if answer is None:
-        return True
-    return " ".join(words(_MARKUP.sub(" ", answer))) in SAYS_NOTHING
+def says_nothing(said: list[str]) -> bool:
+    """True if an answer, given by its words, is blank, a placeholder or signs only."""
+    return len(said) < 4 and " ".join(said) in SAYS_NOTHING
+
+
+class Runs:
+    """A suffix automaton: every run of words of one text, in linear space and time."""
+
+    def __init__(self, text: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, self.first_end = [-1], [0], [-1]
+        last = 0
+        for at, word in enumerate(text):
+            last = self._add(last, word, at)
+
+    def _state(self, edges: dict[str, int], link: int, length: int, first_end: int) -> int:
+        self.next.append(edges), self.link.append(link), self.length.append(length), self.first_end.append(first_end)
+        return len(self.next) - 1
+
+    def _add(self, last: int, word: str, at: int) -> int:
+        new, p = self._state({}, 0, self.length[last] + 1, at), last
+        while p >= 0 and word not in self.next[p]:
+            self.next[p][word] = new
+            p = self.link[p]
+        if p >= 0:
+            q = self.next[p][word]
+            if self.length[q] != self.length[p] + 1:
+                copy = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1, self.first_end[q])
+                self.link[q] = copy
+                while p >= 0 and self.next[p].get(word) == q:
+                    self.next[p][word] = copy
+                    p = self.link[p]
+                q = copy
+            self.link[new] = q
+        return new
+
+    def longest_from(self, other: list[str]) -> list[int]:
+        """For each place of ``other`` the length of the longest run from there that the text holds."""
+        state = size = begin = 0
+        found = [0] * len(other)
+        for end, word in enumerate(other):
+            while state and word not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if word in self.next[state]:
+                state, size = self.next[state][word], size + 1
+            # a run that ends here and can't begin earlier: what began earlier ended before this word
+            while begin <= end - size:
+                found[begin] = end - begin
+                begin += 1
+        for at in range(begin, len(other)):
+            found[at] = len(other) - at
+        return found
+
+    def first_place(self, run: list[str]) -> int:
+        """Where ``run`` stands first."""
+        state = 0
+        for word in run:
+            state = self.next[state][word]
+        return self.first_end[state] - len(run) + 1
 
 
 def tiles(a: list[str], b: list[str], least: int = 3) -> list[tuple[int, int, int]]:
     """Greedy string tiling: the longest common runs of unused words first, as (place in a, place in b, length).
 
-    The first string is read cyclically often enough that a repeated copy of it
-    in the second is tiled again: a tile uses up words of ``b`` only.
+    A tile uses up words of ``b`` only, so that a repeated copy of ``a`` in it is
+    tiled again. A run is put off at most once, when a longer one has taken its
+    end, so the work is that of sorting, whatever the lengths.
     """
-    used = [False] * len(b)
-    where: dict[tuple[str, ...], list[int]] = {}
-    for i in range(len(a) - least + 1):
-        where.setdefault(tuple(a[i : i + least]), []).append(i)
+    runs = Runs(a)
+    heap = [(-n, j) for j, n in enumerate(runs.longest_from(b)) if n >= least]
+    heapq.heapify(heap)
+    used = [False] * (len(b) + 1)
+    begun: list[int] = [0] * (len(b) + 1)  # for each place, the length of the tile that begins there
     found = []
-    while True:
-        best = (0, 0, 0)
-        for j in range(len(b) - least + 1):
-            if any(used[j : j + least]):
-                continue
-            for i in where.get(tuple(b[j : j + least]), ()):
-                n = least
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used[j + n]:
-                    n += 1
-                if n > best[0]:
-                    best = (n, i, j)
-        if not best[0]:
-            return found
-        n, i, j = best
+    while heap:
+        n, j = heapq.heappop(heap)
+        n = -n
+        if used[j]:
+            continue
+        if used[j + n - 1]:
+            # a tile no shorter than this run covers its end, so its beginning is the first used place after j
+            low, high = j, j + n - 1
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (low, middle) if used[middle] else (middle, high)
+            if high - j >= least:
+                heapq.heappush(heap, (j - high, j))
+            continue
         used[j : j + n] = [True] * n
-        found.append((i, j, n))
+        begun[j] = n
+        found.append((runs.first_place(b[j : j + n]), j, n))
+    return found
 
 
-def overlap(asked: list[str], said: list[str], least: int = 3) -> tuple[int, int]:
-    """The words of ``said`` in no tile, and the words of ``asked`` in some.
-
-    Longest-first tiling takes the product of the lengths; where that is more
-    than a quarter of a million, runs of ``least`` words stand for their tiles,
-    which covers the same words in linear time but for the odd end of a tile.
-    """
-    if len(asked) * len(said) <= 250_000:
-        covered = tiles(asked, said, least)
-        return len(said) - sum(n for _, _, n in covered), len({k for i, _, n in covered for k in range(i, i + n)})
-    runs = lambda w: [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
-    a, b = runs(asked), runs(said)
-    both = set(a) & set(b)
-    words_in = lambda w: len({k for i, r in enumerate(w) if r in both for k in range(i, i + least)})
-    return len(said) - words_in(b), words_in(a)
-
-
-def gives_back(question: str, answer: str) -> bool:
-    """True if an answer is the question again and nothing of its own."""
-    bare = re.sub(rf"^\W*{LABELS}\s*:\s*", "", _CITATION.sub(" ", _MARKUP.sub(" ", answer)), flags=re.I)
-    asked, said = words(question), words(bare)
-    if not asked or not said or len(said) > 4 * len(asked) + 8:
+def gives_back(asked: list[str], said: list[str]) -> bool:
+    """True if an answer is the question again, once or often, and nothing of its own; both are given by their words."""
+    if not asked or not said:
         return False
     if said == asked or "".join(said) == "".join(asked):
         return True
-    own, back = overlap(asked, said, min(3, len(asked)))
-    return back >= 0.8 * len(asked) and own <= max(1, 0.12 * len(said))
+    room = max(1, 0.12 * len(said))
+    known = set(asked)
+    if sum(word not in known for word in said) > room:  # no tile holds these
+        return False
+    covered = tiles(asked, said, min(3, len(asked)))
+    own, back = len(said) - sum(n for _, _, n in covered), len({k for i, _, n in covered for k in range(i, i + n)})
+    return back >= 0.8 * len(asked) and own <= room
 
 
 _SCRIPTS = (("ja", re.compile(r"[぀-ヿ]")), ("zh", re.compile(r"[㐀-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("ko", re.compile(r"[가-힯]")), ("ar", re.compile(r"[؀-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")))
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_BEYOND_LATIN = re.compile(r"[Ͱ-῿⺀-퟿豈-﫿]")
+_FIRST_LETTER = re.compile(r"[^\W\d_]")
+
+
+def script(text: str) -> str | None:
+    """The language of a text that is mostly in a script other than Latin, else None."""
+    others = "" if text.isascii() else "".join(_BEYOND_LATIN.findall(text))
+    if others:
+        latin = len(_LATIN.findall(text))
+        for name, signs in _SCRIPTS:
+            n = len(signs.findall(others))
+            # a sign of these scripts says as much as several Latin letters
+            if n and (3 if name in ("zh", "ja", "ko") else 1) * n > latin:
+                return name
+    return None
+
+
+def plain_words(text: str) -> list[str]:
+    """The words of a text that are no names: the first, and those that begin with a small letter."""
+    found = _WORD.findall(unicodedata.normalize("NFKC", text).replace("’", "'"))
+    if text.isupper():
+        return [w.lower() for w in found if not w[0].isdigit()]
+    return [w.lower() for i, w in enumerate(found) if w[0].islower() or (i == 0 and w[0].isalpha())]
+
+
+def grams(word: str) -> list[str]:
+    """A word's runs of three characters, with a line for its ends, and the word itself."""
+    ended = f"_{word}_"
+    return [ended[i : i + 3] for i in range(len(ended) - 2)] + [f"={word}"]
+
+
+class Languages:
+    """Profiles of languages in Latin script: how often each n-gram and word stands in each."""
+
+    def __init__(self, profiles: dict[str, dict[str, int]]):
+        self.names = sorted(profiles)
+        self.profiles = profiles
+        kinds = len(set().union(*profiles.values())) if profiles else 0
+        self.total = [math.log(sum(profiles[name].values()) + 0.5 * kinds) for name in self.names]
+        self.seen: dict[str, list[float]] = {}
+
+    def _weights(self, word: str) -> list[float]:
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            known = [g for g in grams(word) if any(g in p for p in self.profiles.values())]
+            found = self.seen[word] = [sum(math.log(self.profiles[name].get(g, 0) + 0.5) - all_ for g in known) for name, all_ in zip(self.names, self.total, strict=True)]
+        return found
+
+    def likeliest(self, said: list[str]) -> str | None:
+        """The language of a text given by its plain words; None if there is too little to tell."""
+        if len(said) < SURE_WORDS or len(self.names) < 2:
+            return None
+        odds = [sum(column) for column in zip(*map(self._weights, said), strict=True)]
+        first, second = sorted(range(len(odds)), key=odds.__getitem__, reverse=True)[:2]
+        return self.names[first] if odds[first] - odds[second] >= SURE_ODDS else None
+
+    def strange(self, said: list[str], name: str) -> bool:
+        """True if a text is long enough to tell that it isn't in the language ``name``."""
+        profile = self.profiles.get(name)
+        return profile is not None and len(said) >= STRANGE_WORDS and sum(f"={word}" in profile for word in said) < STRANGE_SHARE * len(said)
+
+
+def foreign(question: str, answer: str, languages: Languages) -> bool:
+    """True if an answer is neither in the language of its question nor in one the question asks for."""
+    asked, said = script(question), script(answer)
+    answered = plain_words(answer) if not said else []
+    asked = asked or languages.likeliest(plain_words(question))
+    if not asked:
+        return False
+    said = said or languages.likeliest(answered)
+    wanted = asked_languages(question)
+    if said and said != asked:
+        return said not in wanted
+    return not wanted and languages.strange(answered, asked)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: Counter[tuple[str, str]] = Counter()
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            if not script(text):
+                counts.update((lang, g) for word in plain_words(text) for g in grams(word))
+        names, found = zip(*counts, strict=True) if counts else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "gram", "n"])
 
 
-def language(text: str) -> str | None:
-    """The language of a text by its script, or by its function words; None if there is too little to tell."""
-    text = _CITATION.sub(" ", text)
-    latin = len(_LATIN.findall(text))
-    for name, script in _SCRIPTS:
-        n = len(script.findall(text))
-        # a sign of these scripts says as much as several Latin letters
-        if n and (3 if name in ("zh", "ja", "ko") else 1) * n > latin:
-            return name
-    votes = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for word in words(text):
-        own = _OWN.get(word) or _OWN.get(word.split("'")[0] + "'") or ()
-        for name in own:
-            votes[name] += 1 / len(own)
-    votes["de"] += 1.5 * len(re.findall("[ßäÄ]", text)) + 0.5 * len(re.findall("„", text))
-    votes["es"] += 1.5 * len(re.findall("[¿¡ñ]", text))
-    votes["fr"] += 1.0 * len(re.findall(r"[çèêùâîô]|« ", text))
-    first, second = sorted(votes, key=votes.get, reverse=True)[:2]
-    return first if votes[first] >= 1 and votes[first] >= 1.5 * votes[second] else None
+def learn_languages(documents: DataFrame, sample_texts: int = PROFILE_TEXTS, most: int = PROFILE_GRAMS, least_texts: int = PROFILE_LEAST) -> Languages:
+    """Profiles from texts labelled with their language (``lang`` as ``de``, ``DE`` or ``de-DE``).
+
+    Fitted on about ``sample_texts`` labelled texts; at most ``most`` rows a
+    language come back, for languages with ``least_texts`` texts in the sample.
+    """
+    lang = F.lower(F.substring(F.trim("lang"), 1, 2))
+    rows = documents.select(lang.alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null and length(lang) = 2")
+    share = sample_texts / max(1, rows.count())
+    sample = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("lang", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    counted = sample.mapInArrow(_count_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    top = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= most)
+    known = sample.groupBy("lang").count().where(F.col("count") >= least_texts).select("lang")
+    table = top.join(F.broadcast(known), "lang").select("lang", "gram", "n").toArrow().to_pydict()  # most rows a language, two letters a language
+    profiles: dict[str, dict[str, int]] = {}
+    for name, gram, n in zip(table["lang"], table["gram"], table["n"], strict=True):
+        profiles.setdefault(name, {})[gram] = n
+    # a language of another script leaves a few stray Latin words only
+    largest = max((sum(p.values()) for p in profiles.values()), default=0)
+    return Languages({name: p for name, p in profiles.items() if sum(p.values()) * 200 >= largest and name not in [s for s, _ in _SCRIPTS]})
 
 
 def asked_languages(question: str) -> set[str]:
@@ -210,10 +354,10 @@ def asked_languages(question: str) -> set[str]:
 def declines(answer: str) -> bool:
     """True if an answer only declines: every sentence refuses, apologises or points elsewhere, and one refuses.
 
-    Quotations are taken out first, as a quoted refusal is somebody else's; what
+    Citations and markup are out already. Quotations are taken out first, as a quoted refusal is somebody else's; what
     follows a "but" counts as a sentence of its own.
     """
-    plain = _QUOTED.sub(" “ ", _CITATION.sub(" ", _MARKUP.sub(" ", answer.replace("’", "'"))))
+    plain = _QUOTED.sub(" “ ", answer.replace("’", "'"))
     refused = False
     for sentence in _SENTENCE.split(plain):
         while sentence:
@@ -221,204 +365,87 @@ def declines(answer: str) -> bool:
             part, sentence = (sentence[: turn.start()], turn.group(1)) if turn else (sentence, "")
             if "“" in part:
                 return False
-            if len(words(part)) < 2 and not REFUSAL.search(part):
-                continue
-            if REFUSAL.search(part):
+            if REFUSAL.search(part) or _REFUSING.search(part):
                 refused = True
-            elif not COURTESY.search(part):
+            elif len(_WORD.findall(part)) > 1 and not COURTESY.search(part):
                 return False
     return refused
 
 
-class _Stack(list):
-    """What is open, as (kind, sign); a sign that closes one forgets what lies above it. Every step is linear in what it takes off."""
-
-    def __init__(self):
-        self.count: Counter[tuple[str, str]] = Counter()
-        self.kinds: Counter[str] = Counter()
-        self.quotes: list[tuple[str, str]] = []
-        self.line(0)
-
-    def line(self, at: int) -> None:
-        """A line whose first sentence begins at ``at``."""
-        self.read, self.fresh = at, True
-
-    def begins(self, line: str, at: int) -> bool:
-        """True if what stands at ``at`` begins a sentence; a line is read once."""
-        for sign in line[self.read : at]:
-            self.fresh = sign in _ENDS or (self.fresh and (sign.isspace() or sign in _BETWEEN))
-        self.read = max(self.read, at)
-        return self.fresh
-
-    def open(self, kind: str, sign: str) -> None:
-        self.append((kind, sign))
-        self.count[kind, sign] += 1
-        self.kinds[kind] += 1
-        if kind in QUOTATION:
-            self.quotes.append((kind, sign))
-
-    def _take(self) -> tuple[str, str]:
-        top = self.pop()
-        self.count[top] -= 1
-        self.kinds[top[0]] -= 1
-        if top[0] in QUOTATION:
-            self.quotes.pop()
-        return top
-
-    def close(self, kind: str, sign: str) -> bool:
-        if not self.count[kind, sign]:
-            return False
-        while self._take() != (kind, sign):
-            pass
-        return True
-
-    def drop(self, *kinds: str) -> None:
-        """Forgets all of these kinds, wherever they lie."""
-        kept = []
-        while any(self.kinds[kind] for kind in kinds):
-            top = self._take()
-            if top[0] not in kinds:
-                kept.append(top)
-        for frame in reversed(kept):
-            self.open(*frame)
-
-    def end_quote(self, sign: str) -> bool:
-        """Closes the innermost quotation that ``sign`` ends."""
-        if any(self.count[kind, opened] for kind in QUOTATION for opened in QUOTES if sign in QUOTES[opened]):
-            return self.close(*next(x for x in reversed(self.quotes) if sign in QUOTES[x[1]]))
-        return False
-
-
-def _quote_sign(stack: _Stack, line: str, at: int) -> None:
-    """Opens or closes a quotation, by what is open and the sign's neighbours.
-
-    Its kind is ``quote`` if it begins a sentence, ``inner`` if it begins inside one.
-    """
-    sign, before, after = line[at], line[at - 1 : at] or " ", line[at + 1 : at + 2] or " "
-    inner = stack.quotes[-1][1] if stack.quotes else ""
-    if sign in "‘’" and (before.isalnum() and after.isalnum() or _ELIDED.match(line, at)):
-        return
-    starts = (before.isspace() or before in "([{（【«“„‘‚'\"-–—/>*_") and not after.isspace()
-    if sign in QUOTES.get(inner, "") and not (starts and sign == inner == '"'):
-        stack.end_quote(sign)
-    elif sign in "\"»”" and not (starts or (before in ":,;=" and after.isalnum())):
-        stack.end_quote(sign)  # one further out, or one whose beginning isn't here
-    elif sign in QUOTES and (before.isspace() or not after.isspace()):
-        if sign == inner and stack[-1][0] in QUOTATION:  # none directly holds one of its own kind: the one before lacks its end
-            stack.close(*stack[-1])
-        stack.open("quote" if stack.begins(line, at) else "inner", sign)
-    else:
-        stack.end_quote(sign)
-
-
-def left_open(answer: str) -> list[tuple[str, str]]:
-    """What is open at the end of an answer, outermost first, as (kind, sign).
-
-    Kinds are ``fence``, ``item``, ``tag``, ``stress``, ``bracket`` and
-    ``quote`` (``inner`` inside a sentence). A blank line ends quotations and emphasis, and so does the next
-    item of a list; nothing is read inside fences and spans of code.
-    """
-    stack = _Stack()
-    for line in answer.split("\n"):
-        fence = _FENCE.match(line)
-        if stack and stack[-1][0] == "fence":
-            if fence and fence[1].startswith(stack[-1][1]) and not line[fence.end() :].strip():
-                stack.close(*stack[-1])
-            continue
-        if fence:
-            stack.open("fence", fence[1])
-            continue
-        item = _ITEM.match(line)
-        if item or not line.strip():
-            stack.drop(*QUOTATION, "stress")
-        if item or (line.strip() and not line[0].isspace()):
-            stack.drop("item")
-        if item:
-            stack.open("item", item[0].strip())
-        at = item.end() if item else 0
-        stack.line(at)
-        while found := _SIGN.search(line, at):
-            sign, start, at = found[0], found.start(), found.end()
-            before, after = line[start - 1 : start] or " ", line[at : at + 1] or " "
-            if found["code"]:
-                end = re.compile(rf"(?<!`){sign}(?!`)").search(line, at)
-                at = end.end() if end else at
-            elif found["tag"]:
-                name = found["tag"].lower()
-                if sign.startswith("</"):
-                    stack.close("tag", name)
-                elif not sign.endswith("/>") and name not in ENDLESS:
-                    stack.open("tag", name)
-            elif found["stress"]:
-                inside = before.isalnum() and after.isalnum()
-                if (before.isspace() or not (inside and sign[0] == "_")) and not (not before.isspace() and stack.close("stress", sign)) and not after.isspace() and not before.isalnum():
-                    stack.open("stress", sign)
-            elif sign in BRACKETS:
-                stack.open("bracket", sign)
-            elif sign in BRACKETS.values():
-                stack.close("bracket", next(o for o, c in BRACKETS.items() if c == sign))
-            else:
-                _quote_sign(stack, line, start)
-    return list(stack)
-
-
 def stops_early(answer: str) -> bool:
     """True if an answer stops before its last sentence, quotation, citation, fence or markup is complete."""
     text = answer.strip()
-    if _OPEN_CITATION.search(text):
+    if _OPEN_CITATION.search(text, max(0, text.rfind("["))):
         return True
-    text = re.sub(rf"(?:\s*{_CITATION.pattern})+\s*\Z", "", text)
+    while text.endswith("]") and (cited := _CITATION.fullmatch(text, text.rfind("["))):
+        text = text[: cited.start()].rstrip()
     still = left_open(text)
-    # whole sentences in a quotation stand alone, so one that began with a sentence may lack its end;
-    # a single star or line may be a note's mark and nothing's beginning
-    if any(kind in ("fence", "tag", "bracket", "inner") or (kind == "stress" and len(sign) > 1) for kind, sign in still):
+    # whole sentences in a quotation stand alone, so one that began with a sentence may lack its end
+    if incomplete(still, quotations=False):
         return True
-    how = ending(text)
+    how = ending(text, [])
     if how in ("broken", "ellipsis", "abbreviation"):
         return True
-    if how != "unfinished":
+    if how != "bare":
         return False
-    last = text.split("\n")[-1]
-    if any(kind == "item" for kind, _ in still) and _ITEM.match(last) and text.count("\n"):
+    last = text[text.rfind("\n") + 1 :]
+    if any(kind == "item" for kind, _ in still) and ITEM.match(last) and "\n" in text:
         # an item is complete as the items before it are: without a terminator, and no shorter than a phrase
         return text.rstrip()[-1] in ",;:-(" or len(words(last)) < 2
     few = words(text)
     return not (len(few) <= 4 and (len(few) <= 2 or few[-1].isdigit()))
 
 
-def defect(question: str | None, answer: str | None) -> str | None:
+NO_LANGUAGES = Languages({})
+
+
+def defect(question: str | None, answer: str | None, languages: Languages = NO_LANGUAGES) -> str | None:
     """The defect of a pair, or None if it is sound."""
-    if says_nothing(answer):
+    if answer is None:
+        return "empty"
+    uncited = _CITATION.sub(" ", answer) if "[" in answer else answer
+    plain = _MARKUP.sub(" ", uncited) if "<" in uncited or "&" in uncited else uncited
+    said = words(plain)
+    if says_nothing(said):
         return "empty"
     question = question or ""
-    if question.strip() and gives_back(question, answer):
+    if question.strip() and gives_back(words(question), words(_LABEL.sub("", plain)) if ":" in plain else said):
         return "copy"
-    if declines(answer):
+    if declines(plain):
         return "refusal"
-    asked, said = language(question), language(answer)
-    if said and asked and said != asked and said not in asked_languages(question):
+    if foreign(question, uncited, languages):
         return "other_language"
     return "truncated" if stops_early(answer) else None
 
 
-def defect_of(question: Column, answer: Column) -> Column:
-    """The defect of each pair as a column (null where a pair is sound)."""
+def _judge(languages: Languages):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [defect(q, a, languages) for q, a in zip(batch["question"].to_pylist(), batch["answer"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["feedback_id"], batch["verdict"], pa.array(found, pa.string())], names=["feedback_id", "verdict", "defect"])
+
+    return run
 
-    @F.arrow_udf(T.StringType())
-    def run(questions: pa.Array, answers: pa.Array) -> pa.Array:
-        return pa.array(map(defect, questions.to_pylist(), answers.to_pylist()), pa.string())
 
-    return run(question.cast("string"), answer.cast("string"))
+def judged(feedback: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """feedback_id, verdict and ``defect`` (null where a pair is sound), a row for each row of ``feedback``.
+
+    ``documents`` (lang, text) are the labelled texts languages are learnt from.
+    Every pair is parsed once, whatever is asked of the result.
+    """
+    text = lambda c: F.col(c).cast("string").alias(c)
+    rows = feedback.select(F.col("id").cast("bigint").alias("feedback_id"), text("verdict") if "verdict" in feedback.columns else F.lit(None).cast("string").alias("verdict"), text("question"), text("answer"))
+    languages = learn_languages(documents) if documents is not None else NO_LANGUAGES
+    return rows.where("feedback_id is not null").mapInArrow(_judge(languages), "feedback_id bigint, verdict string, defect string")
 
 
-def defective_pairs(feedback: DataFrame) -> DataFrame:
+def defective_pairs(feedback: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """``feedback_id`` and ``defect`` of every defective pair."""
-    rows = feedback.select(F.col("id").cast("bigint").alias("feedback_id"), defect_of(F.col("question"), F.col("answer")).alias("defect"))
-    return rows.where("feedback_id is not null and defect is not null").distinct()
+    return judged(feedback, documents).where("defect is not null").select("feedback_id", "defect").distinct()
 
 
-def defect_counts(feedback: DataFrame) -> DataFrame:
+def defect_counts(feedback: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """``verdict`` (in one spelling, or ``none``), ``defect`` (or ``sound``) and the number of ``pairs``."""
-    verdict = F.lower(F.trim(F.col("verdict")))
-    rows = feedback.select(F.col("id").alias("id"), F.when(verdict.isin("up", "down"), verdict).otherwise("none").alias("verdict"), F.coalesce(defect_of(F.col("question"), F.col("answer")), F.lit("sound")).alias("defect"))
-    return rows.where("id is not null").distinct().groupBy("verdict", "defect").agg(F.count(F.lit(1)).alias("pairs"))
+    verdict = F.lower(F.trim("verdict"))
+    rows = judged(feedback, documents).select("feedback_id", F.when(verdict.isin("up", "down"), verdict).otherwise("none").alias("verdict"), F.coalesce("defect", F.lit("sound")).alias("defect"))
+    return rows.distinct().groupBy("verdict", "defect").agg(F.count(F.lit(1)).alias("pairs"))

@@ -10,8 +10,8 @@ from . import p1_pairs, p2_spans, p3_sentences, p4_vectors, p5_conversations, p6
 
 def queries() -> dict:
     return {
-        "p1_found": lambda s, d: p1_pairs.defective_pairs(load(s, d, "feedback")),
-        "p1_counts": lambda s, d: p1_pairs.defect_counts(load(s, d, "feedback")),
+        "p1_found": lambda s, d: p1_pairs.defective_pairs(load(s, d, "feedback"), load(s, d, "documents")),
+        "p1_counts": lambda s, d: p1_pairs.defect_counts(load(s, d, "feedback"), load(s, d, "documents")),
         "p2_found": lambda s, d: p2_spans.span_pairs(load(s, d, "chunks")),
         "p2_shared": lambda s, d: p2_spans.shared_share(load(s, d, "chunks")),
         "p3_found": lambda s, d: p3_sentences.sentence_starts(load(s, d, "chunks").select(F.col("id").alias("chunk_id"), "text"), "chunk_id"),

@@ -1,6 +1,6 @@
 import pytest
 
-from folianta.llm import p1_pairs, p3_sentences, p9_cuts
+from folianta.llm import p1_pairs, p3_sentences, p9_cuts, structure
 
 PAIRS = [
     ("Who sold the mill?", None, "empty"),
@@ -31,9 +31,44 @@ PAIRS = [
 ]
 
 
+LABELLED = {
+    "en": "The aunt sold the mill in the spring, and nobody spoke of it to the clerk. Who knows what the letter said? It was she who had hidden it when the lamp was lit, and they all went home.",
+    "de": "Die Tante verkaufte die Mühle im Frühling, und niemand sprach mit dem Schreiber davon. Wer weiß, was in diesem Brief stand? Sie hatte ihn versteckt, als es dunkel war, und alle gingen nach Hause.",
+    "fr": "La tante a vendu le moulin au printemps, et personne n'en parlait au notaire. Qui sait ce que disait la lettre ? Elle l'avait cachée quand la lampe était allumée, et tous sont rentrés chez eux.",
+}
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rows = [(f"{lang}-{lang.upper()}" if i % 2 else lang, text + f" {i}") for lang, text in LABELLED.items() for i in range(12)] + [("en", None), (None, "Nobody."), ("ru", "Никто не знал. ok")]
+    return spark.createDataFrame(rows, "lang string, text string")
+
+
+@pytest.fixture(scope="module")
+def languages(labelled):
+    return p1_pairs.learn_languages(labelled)
+
+
 @pytest.mark.parametrize(("question", "answer", "want"), PAIRS)
-def test_defects(question, answer, want):
-    assert p1_pairs.defect(question, answer) == want
+def test_defects(question, answer, want, languages):
+    assert p1_pairs.defect(question, answer, languages) == want
+
+
+def test_languages_are_learnt(spark, labelled, languages):
+    assert languages.names == ["de", "en", "fr"]
+    assert languages.likeliest(p1_pairs.plain_words("Niemand verkaufte den Brief im Frühling.")) == "de"
+    # languages without a profile: the answer isn't in that of the question
+    for other in ("O velho farol foi aceso pelo tio durante a noite e ninguém sabia porquê.", "De oude lamp werd door de oom aangestoken, maar niemand wist waarom."):
+        assert p1_pairs.defect("Who sold the mill to the aunt?", other, languages) == "other_language"
+    assert p1_pairs.defect("Who sold the mill?", "Mi dispiace, ma non posso rispondere.", languages) == "refusal"
+    assert p1_pairs.learn_languages(labelled.limit(0)).names == []
+    # without profiles only scripts tell
+    assert p1_pairs.defect("Who sold the mill to the aunt?", "Die Tante verkaufte die Mühle im Frühling, und niemand sprach davon.") is None
+
+
+def test_a_question_given_back_often():
+    question = "Who sold the old mill on the hill?"
+    assert all(p1_pairs.defect(question, " ".join([question] * n)) == "copy" for n in range(1, 12))
 
 
 OPEN = [
@@ -54,22 +89,56 @@ OPEN = [
 
 @pytest.mark.parametrize(("answer", "still", "want"), OPEN)
 def test_one_stack_over_the_whole_answer(answer, still, want):
-    assert p1_pairs.left_open(answer) == still
+    assert structure.left_open(answer) == still
     assert p1_pairs.defect("Who sold the mill?", answer) == want
 
 
 def test_open_marks_take_linear_time():
-    assert len(p1_pairs.left_open("(“" * 50_000 + "]»" * 50_000)) >= 50_000
+    assert len(structure.left_open("(“" * 50_000 + "]»" * 50_000)) >= 50_000
+    assert structure.left_open('"' * 200_000) == []
+    assert structure.left_open(r"\( and \" and :( but not (") == [("bracket", "(")]
 
 
 def test_tiling_takes_the_longest_first():
     assert p1_pairs.tiles("a b c d e".split(), "c d e a b c d".split()) == [(0, 3, 4), (2, 0, 3)]
 
 
-def test_pairs_table(spark):
+def _greedy(a, b, least):
+    used, found = [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(b)):
+            for i in range(len(a)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        if best[0] < least:
+            return found
+        n, i, j = best
+        used[j : j + n] = [True] * n
+        found.append((i, j, n))
+
+
+def test_tiling_equals_brute_force():
+    import random
+
+    random.seed(5)
+    for _ in range(300):
+        a, b = random.choices("abc", k=random.randint(1, 12)), random.choices("abcd", k=random.randint(0, 30))
+        for least in (1, 2, 3):
+            assert p1_pairs.tiles(a, b, least) == _greedy(a, b, least)
+    assert p1_pairs.tiles(["x"] * 20_000, ["x"] * 50_000)[0] == (0, 0, 20_000)
+
+
+def test_pairs_table(spark, labelled):
     rows = [(1, "Who sold it?", None, 1), (1, "Who sold it?", None, 1), (2, "Who?", "The aunt sold it.", 2), (None, "Who?", None, 3), (3, "x " * 20_000, "x " * 50_000, 4)]
     df = spark.createDataFrame(rows, "id bigint, question string, answer string, defect int")
-    got = sorted((r.feedback_id, r.defect) for r in p1_pairs.defective_pairs(df).collect())
+    got = sorted((r.feedback_id, r.defect) for r in p1_pairs.defective_pairs(df, labelled).collect())
+    plan = p1_pairs.defective_pairs(df, labelled)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert {(r.verdict, r.defect, r.pairs) for r in p1_pairs.defect_counts(df).collect()} >= {("none", "empty", 1), ("none", "sound", 1)}
     assert got[0] == (1, "empty") and all(i != 2 for i, _ in got)
     assert p1_pairs.defective_pairs(df.limit(0)).count() == 0
 
@@ -80,9 +149,9 @@ ENDINGS = {
     "« Il le sait bien. »": "complete",
     "她说：“钥匙是我的。”": "complete",
     "He went home. 😀 ": "complete",
-    "He went ho": "unfinished",
-    "He went home, and": "unfinished",
-    "by mo\n": "unfinished",
+    "He went ho": "bare",
+    "He went home, and": "bare",
+    "by mo\n": "bare",
     "He went ho�": "broken",
     "He said &am": "broken",
     "He went hom…": "ellipsis",
@@ -97,6 +166,14 @@ ENDINGS = {
     "O bridge of the mill\nand hope, and hope again\nat the end of the day": "closing",
     "(the clerk thought not!": "open",
     " \n​": "blank",
+    "<b>The lamp was lit.": "open",
+    '{"a": "x.': "open",
+    "The lamp was lit. “It was late.": "open",
+    "She said, “I will come tomorrow. It was late and the lamp.": "open",
+    "(" + "The lamp was lit. " * 30 + "The end.": "open",
+    "The lamp was lit by Lt. H.": "abbreviation",
+    'See <a href="' + "x" * 600: "broken",
+    "She thought so :( and went.": "complete",
 }
 
 
@@ -105,11 +182,6 @@ def test_endings(text, want):
     assert p9_cuts.ending(text) == want
 
 
-def test_marks_on_the_stack():
-    assert p9_cuts.open_marks("„Ja.“ (a [b] c) “x") == "“"
-    assert p9_cuts.open_marks("no marks") == ""
-
-
 def test_cut_table(spark):
     rows = [(1, "He went ho", "a", 9), (1, "He went ho", "a", 9), (2, "He went home.", "a", 9), (3, None, None, 9), (4, "", "b", 9), (5, "ก" * 3, "b", 9)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, cut int")
@@ -121,7 +193,19 @@ def test_cut_table(spark):
 
 def test_long_text_is_read_whole(spark):
     text = "He went home. " * 40_000
-    assert p9_cuts.ending(text) == "complete" and p9_cuts.ending(text + "He we") == "unfinished"
+    assert p9_cuts.ending(text) == "complete" and p9_cuts.ending(text + "He we") == "bare"
+    assert p9_cuts.ending("He went." + " " * 200_000 + "He we" + "😀 " * 50_000) == "bare"
+
+
+def test_a_source_without_terminators_is_no_source_of_cuts(spark):
+    rows = [(i, f"lamp of brass, item {i}", "catalogue") for i in range(50)] + [(100 + i, f"The lamp was lit by {i}.", "letters") for i in range(200)] + [(400, "The lamp was li", "letters"), (401, "The lamp was li", "new"), (402, "lamp of brass, cut (and", "catalogue")]
+    # texts of one source that pile up at a length
+    rows += [(1000 + i, ("brass lamp " * 40)[: 100 + i * 3], "shelf") for i in range(60)] + [(2000 + i, (f"brass lamp {i} " * 40)[:250], "shelf") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id for r in p9_cuts.cut_documents(df).collect()}
+    assert {i for i in got if i < 1000} == {400, 401, 402}
+    assert {i for i in got if i >= 2000} == set(range(2000, 2030))
+    assert {r.source: r.cut for r in p9_cuts.cut_rates(df).collect()}["catalogue"] == 1
 
 
 BOOK = [

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folianta.llm import p5_conversations, p6_lookalikes, p7_tokens, p8_packing
 from folianta.llm.arrow import binary, code_points, strings, unpack
@@ -52,17 +53,47 @@ def test_links_and_trees(spark):
     links = p5_conversations.link_messages(turns)
     parents = {r.id: r.parent_id for r in links.collect()}
     assert parents[0] is None and parents[3] == 1
-    rooted = {r.id: r.root_id for r in p5_conversations.link_trees(links).collect()}
-    assert rooted[0] == 0 and set(rooted) == {0, 1, 2, 3}
+    shape = p5_conversations.tree_shapes(links).head()
+    assert (shape.trees, shape.root_id, shape.root_speaker, shape.answers, shape.leaf_speaker) == (1, 0, "reader", 2, "assistant")
 
 
-def test_crossed_links_are_laid_to_the_message_before(spark):
-    turns = table(spark, [("user", "Where is Anna?"), ("user", "What of Hall?"), ("bot", "Anna Anna where is Anna?"), ("bot", "Hall is gone.")])
-    links = {r.id: r for r in p5_conversations.straightened(p5_conversations.link_messages(turns)).collect()}
-    assert links[0].straight and links[0].answers is None
-    # the third message answers the first, so its link is crossed; in the order of sending it follows a reader
-    assert (links[2].parent_id, links[2].straight, links[2].before_id, links[2].answers) == (0, False, 1, "reader")
-    assert (links[3].straight, links[3].answers) == (False, "assistant")
+@pytest.mark.parametrize("score", [lambda s: -s, lambda s: F.rand(7)])
+def test_the_scores_decide(spark, sf, monkeypatch, score):
+    """Another score links other messages, and other threads come out as broken."""
+    from folianta.sources.tables import load
+
+    threads, turns = load(spark, sf, "threads"), load(spark, sf, "turns")
+    found = lambda: {r.thread_id for r in p5_conversations.broken_threads(threads, turns).collect()}
+    right, real = found(), p5_conversations._score
+    monkeypatch.setattr(p5_conversations, "_score", lambda *a: score(real(*a)))
+    assert found() > right
+
+
+def test_parents_of_interleaved_threads(spark, sf):
+    """Two whole threads mixed into one channel at random: most messages still find the one they answer."""
+    import random
+
+    from folianta.sources.tables import load
+
+    random.seed(4)
+    made = p5_conversations.conversations(load(spark, sf, "threads"), load(spark, sf, "turns")).orderBy("thread_id", "turn").collect()
+    by_thread = {}
+    for r in made:
+        by_thread.setdefault(r.thread_id, []).append(r)
+    names = sorted(k for k, v in by_thread.items() if len(v) <= 12)
+    rows, want, n = [], {}, 0
+    for a, b in zip(names[::2], names[1::2], strict=False):
+        left, last = {a: list(by_thread[a]), b: list(by_thread[b])}, {}
+        while any(left.values()):
+            name = random.choice([k for k, v in left.items() if v])
+            r = left[name].pop(0)
+            rows.append((n, a, "user" if r.speaker == "reader" else "bot", r.content, 60_000 * n, 0, 0))
+            want[n], last[name], n = last.get(name), n, n + 1
+    got = {r.id: r.parent_id for r in p5_conversations.link_messages(spark.createDataFrame(rows, TURNS)).collect()}
+    linked = [k for k, v in want.items() if v is not None]
+    recall = sum(got.get(k) == want[k] for k in linked) / len(linked)
+    print("recall of parents", recall, len(linked))
+    assert recall > 0.6
 
 
 @pytest.mark.parametrize("segment", [1, 2, 200_000])
@@ -77,12 +108,12 @@ def test_no_parent_is_a_message_sent_again(spark, segment):
 
 @pytest.mark.parametrize("segment", [3, 200_000])
 def test_a_parent_far_back(spark, segment):
-    # an answer that shares all words and names with a question of six messages before, and nothing with those between
+    # an answer that shares all words and names with a question of three messages before, and nothing with those between
     far = "Where did Anna Moor sell it"
-    rows = [(0, "t0", "user", far, 0, 1, 1)] + [(n, "t0", "bot", f"x{n}", n, 1, 1) for n in range(1, 7)] + [(7, "t0", "bot", far, 0, 1, 1)]
-    late = [(i, t, r, c, at if i in (0, 7) else 10**12, a, b) for i, t, r, c, at, a, b in rows]
+    rows = [(0, "t0", "user", far, 0, 1, 1)] + [(n, "t0", "bot", f"x{n}", n, 1, 1) for n in range(1, 4)] + [(4, "t0", "bot", far, 0, 1, 1)]
+    late = [(i, t, r, c, at if i in (0, 4) else 10**12, a, b) for i, t, r, c, at, a, b in rows]
     links = {r.id: r for r in p5_conversations.link_messages(spark.createDataFrame(late, TURNS), segment=segment).collect()}
-    assert (links[7].parent_id, round(links[7].score, 6)) == (0, 0.5)
+    assert (links[4].parent_id, round(links[4].score, 6)) == (0, 1.25)
 
 
 def test_conversations_in_order(spark):

@@ -9,8 +9,9 @@ reassembles its documents by position. What moves is one row per block and
 distinct word, never one per occurrence, so the commonest word costs one small
 row per block instead of a skewed partition.
 
-Nulls and empty texts have the empty list of ids. Exact copies of a row count
-once; rows that share an id but not the text all stay.
+Nulls and empty texts have the empty list of ids; decoded with ``keep``, a null
+is null again. Exact copies of a row count once; rows that share an id but not
+the text all stay, each with its own ids and its own text when decoded.
 """
 
 from __future__ import annotations
@@ -115,17 +116,17 @@ def _assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
     each = lengths[codes]
     upto = np.concatenate(([0], np.cumsum(each)))
     out = ids[ragged(starts[codes], each)]
-    return pa.table([documents["doc_id"].combine_chunks(), lists(out, upto[at], pa.int32())], names=["doc_id", "ids"])
+    return pa.table([documents["doc_id"].combine_chunks(), documents["text_key"].combine_chunks(), lists(out, upto[at], pa.int32())], names=["doc_id", "text_key", "ids"])
 
 
-def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``key`` (as bigint) and ``ids`` (array of int) of each text.
+def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block_rows: int = BLOCK_ROWS, keep: bool = False) -> DataFrame:
+    """``key`` (as bigint) and ``ids`` (array of int) of each text; with ``keep`` also ``text_key``, a hash of the text (null for a null).
 
     Other columns of ``documents`` are ignored, whatever they are called. Null
     and empty texts get an empty list; an empty table gives an empty result.
     """
     path = path or rank_file()
-    rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", "text", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_key"))
     pieces = materialise(
         rows.mapInArrow(_pretokens(block_rows), "block bigint, doc_id bigint, text_key bigint, width int, codes binary, word string, code int"),
         "pretokens",
@@ -134,8 +135,9 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     encoded = uses.select("word").distinct().mapInArrow(_encode_words(path), "word string, ids binary")
     # a block's documents wait for the ids of its words only
     words = uses.join(encoded, "word").select("used_in", "code", "ids")
-    kept = pieces.where("codes is not null").dropDuplicates(["doc_id", "text_key"]).select("block", "doc_id", "width", "codes")
-    return kept.groupBy("block").cogroup(words.groupBy("used_in")).applyInArrow(_assemble, "doc_id bigint, ids array<int>").select(F.col("doc_id").alias(key), "ids")
+    kept = pieces.where("codes is not null").dropDuplicates(["doc_id", "text_key"]).select("block", "doc_id", "text_key", "width", "codes")
+    made = kept.groupBy("block").cogroup(words.groupBy("used_in")).applyInArrow(_assemble, "doc_id bigint, text_key bigint, ids array<int>")
+    return made.select(F.col("doc_id").alias(key), *(["text_key"] if keep else []), "ids")
 
 
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -147,14 +149,19 @@ def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
 def decode_corpus(encoded: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
     """``key`` and ``text`` again: positions exploded, joined with the token-byte table, put together in order.
 
-    The table is broadcast: it has one short row for each id of the vocabulary,
-    whatever the corpus. An empty list gives an empty text.
+    A text is put together by its key and ``text_key``, so keys may repeat; one
+    whose ``text_key`` is null is null. Where ``encoded`` has no ``text_key``, a
+    hash of the ids stands for it. The table is broadcast: it has one short row
+    for each id of the vocabulary, whatever the corpus. An empty list gives an
+    empty text.
     """
     table = token_bytes(encoded.sparkSession, path)
-    rows = encoded.select(F.col(key).alias("key"), F.posexplode_outer("ids").alias("pos", "id"))
-    joined = rows.join(F.broadcast(table), "id", "left").select("key", "pos", F.hex("bytes").alias("hex"))
-    whole = joined.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "hex")))).alias("parts"))
-    return whole.select(F.col("key").alias(key), F.decode(F.unhex(F.concat_ws("", F.col("parts.hex"))), "UTF-8").alias("text"))
+    which = F.col("text_key") if "text_key" in encoded.columns else F.xxhash64("ids")
+    rows = encoded.select(F.col(key).alias("key"), which.alias("text_key"), F.posexplode_outer("ids").alias("pos", "id"))
+    joined = rows.join(F.broadcast(table), "id", "left").select("key", "text_key", "pos", F.hex("bytes").alias("hex"))
+    whole = joined.groupBy("key", "text_key").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "hex")))).alias("parts"))
+    text = F.decode(F.unhex(F.concat_ws("", F.col("parts.hex"))), "UTF-8")
+    return whole.select(F.col("key").alias(key), F.when(F.col("text_key").isNotNull(), text).alias("text"))
 
 
 def token_count(text: Column, path: str | None = None) -> Column:

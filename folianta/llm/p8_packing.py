@@ -10,7 +10,9 @@ containers and a rest; no other text is split.
 Only ids and sizes move. Rounds of packing run in shards of at most
 ``SHARD_ROWS`` pieces, chosen by a hash, so each shard has the same mixture of
 sizes; the pieces of containers that stay below ``FULL`` are put together from
-all shards and packed again, until one shard holds what is left.
+all shards and packed again, until one shard holds what is left. A round that
+fills no container is repeated with half as many, larger shards; if nothing is
+gained in shards of ``MOST_ROWS`` pieces either, what is left doesn't fit together.
 
 Null and empty texts have size 0, are whole and take a place in a container
 without using it. Exact copies of a row count once. An empty table gives an
@@ -31,6 +33,8 @@ from .p7_tokens import token_count
 
 CAPACITY = 2048
 SHARD_ROWS = 16_384
+#: The most pieces of one shard: about 2 MB of ids and sizes in a task.
+MOST_ROWS = 65_536
 FULL = 0.98
 
 
@@ -80,9 +84,9 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str | N
     """doc_id, piece, first_token, n_tokens and container of every text."""
     waiting = materialise(pieces(documents, capacity, path), "pieces")
     done: list[DataFrame] = []
-    round_no = 0
+    round_no, left = 0, waiting.count()
     while True:
-        shards = max(1, math.ceil(waiting.count() / shard_rows))
+        shards = max(1, math.ceil(left / shard_rows))
         sharded = waiting.withColumn("shard", F.pmod(F.xxhash64("item", "piece", F.lit(round_no)), F.lit(shards)).cast("int"))
         packed = materialise(sharded.groupBy("shard").applyInArrow(_pack_shard(capacity, round_no), _SCHEMA), "packed")
         if shards == 1:
@@ -90,13 +94,19 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str | N
             break
         filled = packed.groupBy("container").agg((F.sum("n_tokens") >= full * capacity).alias("full"))
         marked = packed.join(filled, "container")
-        done.append(marked.where("full").select(packed.columns))
         again = materialise(marked.where("not full").drop("container", "full"), "pieces")
-        # nothing gained, nothing left to gain
-        if again.count() == waiting.count():
-            done[-1] = packed
-            break
-        waiting, round_no = again, round_no + 1
+        still = again.count()
+        if still == left:
+            # larger shards offer each piece more partners
+            if shard_rows >= MOST_ROWS:
+                done.append(packed)
+                break
+            shard_rows *= 2
+        else:
+            done.append(marked.where("full").select(packed.columns))
+            if not still:
+                break
+        waiting, left, round_no = again, still, round_no + 1
     all_ = done[0]
     for more in done[1:]:
         all_ = all_.unionByName(more)

@@ -218,3 +218,24 @@ def test_pack_takes_the_cheapest_with_room():
 
     place = p8_packing.pack(np.array([60, 60, 40, 40]), 100)
     assert sorted(np.bincount(place, np.array([60, 60, 40, 40])).tolist()) == [100, 100]
+
+
+def test_decoded_rows_keep_their_texts(spark):
+    rows = [(1, "the old lamp"), (1, "a new letter"), (2, None), (2, ""), (3, "🙂 x"), (3, "🙂 x"), (None, "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = p7_tokens.decode_corpus(p7_tokens.encode_corpus(df, keep=True))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, df.distinct().collect()))
+    assert {r.ids is None for r in p7_tokens.encode_corpus(df).collect()} == {False}
+
+
+def test_packing_ends_where_nothing_fits(spark):
+    df = spark.createDataFrame([(i, "x " * 700) for i in range(300)], "doc_id bigint, text string")
+    packed = p8_packing.pack_documents(df, capacity=1000, shard_rows=16)
+    assert packed.count() == 300 * 1 and packed.select("container").distinct().count() == 300
+
+
+def test_packing_goes_on_across_shards(spark):
+    df = spark.createDataFrame([(i, "x " * (300 + 7 * (i % 90))) for i in range(900)], "doc_id bigint, text string")
+    packed = p8_packing.pack_documents(df, capacity=2048, shard_rows=64)
+    used = p8_packing.containers(packed, 2048).agg(F.avg("fill")).head()[0]
+    assert packed.count() == 900 and used > 0.95

@@ -6,10 +6,11 @@ script. The model is trained on boundaries that are reliable without it: the
 end of a paragraph is one, and so is a bare exclamation or question mark (or a
 full stop of a script that has it for nothing else) before no small letter; a
 terminator before a small letter is none; and a token (``Dr.``, ``20.``, ``?”`` before its speaker) that is often followed by
-more text, yet never ends a paragraph of the whole corpus, ends no sentence.
+more text, yet hardly ever ends a paragraph of the whole corpus, ends no sentence.
 
-Counts of tokens are taken over all texts. Only the fit uses a sample, of about
-``SAMPLE_TEXTS`` texts chosen by a hash of their ids.
+Counts of tokens are taken over all texts. Only the fit uses a sample: labelled
+candidates of about ``SAMPLE_TEXTS`` texts chosen by a hash of their ids, and of
+those about ``SAMPLE_ROWS`` chosen by a hash if there are more.
 
 A blank line always ends a sentence and a single line break is a space. Thai has
 no terminators: a space beside a Thai letter is a boundary. Null and blank texts
@@ -30,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise
 from .arrow import lists
 
 SAMPLE_TEXTS = 4000
-#: Token types told to the model as ending nothing: the commonest so many at most (a broadcast of about 2 MB).
-MOST_TYPES = 50_000
-#: A type must have gone on so often without ever ending a paragraph.
-LEAST_SEEN = 24
+#: The most labelled candidates that come to the driver for the fit (about 30 MB).
+SAMPLE_ROWS = 400_000
+#: A type ends nothing if it has gone on so often, has ended a paragraph in no more than this share of its
+#: cases, and makes up this share of all candidates at least: so there are at most 1 / LEAST_SHARE such types,
+#: a broadcast of a few MB, whatever the corpus.
+LEAST_SEEN, MOST_ENDS, LEAST_SHARE = 24, 0.005, 5e-6
 WEIGHTS = 1 << 16
 
 # Fixed values of the candidate grammar.
@@ -153,10 +157,12 @@ def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([goes_on[n] for n in names], pa.int64()), pa.array([ends[n] for n in names], pa.int64())], names=["type", "goes_on", "ends"])
 
 
-def types_that_end_nothing(texts: DataFrame, least_seen: int = LEAST_SEEN, most: int = MOST_TYPES) -> frozenset[str]:
-    """Token types that go on at least ``least_seen`` times and end no paragraph; the ``most`` commonest of them."""
+def types_that_end_nothing(texts: DataFrame, least_seen: int = LEAST_SEEN, most_ends: float = MOST_ENDS, least_share: float = LEAST_SHARE) -> frozenset[str]:
+    """Token types that go on often and hardly ever end a paragraph; at most 1 / ``least_share`` of them."""
     counted = texts.select("text").mapInArrow(_count_types, "type string, goes_on bigint, ends bigint").groupBy("type").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
-    kept = counted.where((F.col("ends") == 0) & (F.col("goes_on") >= least_seen)).orderBy(F.desc("goes_on"), "type").limit(most)
+    table = materialise(counted, "types")
+    every = table.agg(F.sum("goes_on")).head()[0] or 0
+    kept = table.where((F.col("goes_on") >= max(least_seen, least_share * every)) & (F.col("ends") <= most_ends * F.col("goes_on")))
     return frozenset(kept.select("type").toArrow()["type"].to_pylist())
 
 
@@ -196,12 +202,16 @@ def fit(labels: np.ndarray, active: list[np.ndarray], passes: int = 60, penalty:
     return weights
 
 
-def train(texts: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> tuple[np.ndarray, frozenset[str]]:
+def train(texts: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, frozenset[str]]:
     """The model for ``texts`` (id, text): weights, and the token types that end nothing."""
     ends_nothing = types_that_end_nothing(texts)
     share = sample_texts / max(1, texts.count())
     sample = texts if share >= 1 else texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = sample.select("text").mapInArrow(_labelled(ends_nothing), "label float, active array<int>").toArrow()
+    labelled = materialise(sample.select("text").mapInArrow(_labelled(ends_nothing), "label float, active array<int>"), "labelled")
+    few = sample_rows / max(1, labelled.count())
+    if few < 1:
+        labelled = labelled.where(F.pmod(F.xxhash64("active", F.monotonically_increasing_id()), F.lit(1_000_000)) < int(few * 1_000_000))
+    rows = labelled.toArrow()
     active = rows["active"].to_pylist()
     return fit(np.asarray(rows["label"], np.float64), [np.array(a) for a in active]), ends_nothing
 

@@ -14,6 +14,8 @@ about an eighth of the words, and loses nothing.
 
 All joins are on hashes or words and spread over their values; a span of many
 records costs one row per record until its pairs, the result itself, are made.
+Then each span's records are salted: the pairs of ``SALT_ROWS`` of its records
+with all its others are made in a task of their own.
 
 Null ids take no part, null and wordless texts have no spans, exact copies of a
 row count once, and an empty table gives an empty result.
@@ -33,6 +35,7 @@ from .arrow import ragged, strings
 from .words import sliding, window_hashes, word_hashes, word_runs
 
 MIN_WORDS = 30
+SALT_ROWS = 2000
 
 
 def _chunks(chunks: DataFrame) -> DataFrame:
@@ -138,28 +141,35 @@ def shared_spans(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return spans.select("id", "section", "start", "n_words", phrase.alias("phrase"))
 
 
-def span_pairs(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def span_pairs(chunks: DataFrame, min_words: int = MIN_WORDS, salt_rows: int = SALT_ROWS) -> DataFrame:
     """``a_id``, ``b_id``: records of different chapters that share a run of ``min_words`` words, smaller id first."""
     spans = materialise(shared_spans(chunks, min_words).select("id", "section", "phrase").distinct(), "spans")
-    a = spans.select(F.col("id").alias("a_id"), F.col("section").alias("a_section"), "phrase")
-    b = spans.select(F.col("id").alias("b_id"), F.col("section").alias("b_section"), "phrase")
-    pairs = a.join(b, "phrase").where("a_id < b_id and a_section <> b_section")
+    sizes = spans.groupBy("phrase").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts"))
+    # nearly every span has one salt; only those of many records meet their number
+    sized = spans.join(sizes.where("salts > 1"), "phrase", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    a = sized.select(F.col("id").alias("a_id"), F.col("section").alias("a_section"), "phrase", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    b = sized.select(F.col("id").alias("b_id"), F.col("section").alias("b_section"), "phrase", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = a.join(b, ["phrase", "salt"]).where("a_id < b_id and a_section <> b_section")
     return pairs.select("a_id", "b_id").distinct()
 
 
 def shared_share(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """For each record: id, n_words, shared_words (in runs that also stand in another chapter), share, longest run.
 
-    Records without such a run are there with 0; so are those with null texts.
+    The runs are the spans of the graph whose words stand in another chapter too;
+    where one span goes on in the next, both are one run. Records without such a
+    run are there with 0; so are those with null texts.
     """
-    edges, _ = _repeated(chunks, min_words)
-    order = Window.partitionBy("id", "section").orderBy("place")
-    gap = F.coalesce(F.lead("place").over(order) - F.col("place"), F.lit(min_words))
-    new_run = F.coalesce((F.col("place") - F.lag("place").over(order) > 1).cast("int"), F.lit(1))
-    runs = edges.withColumn("adds", F.least(F.lit(min_words), gap)).withColumn("new", new_run)
+    spans = materialise(shared_spans(chunks, min_words), "spans")
+    verified = spans.join(_in_two_sections(spans, "phrase"), "phrase", "left_semi").select("id", "section", "start", (F.col("start") + F.col("n_words")).alias("end"))
+    order = Window.partitionBy("id", "section").orderBy("start", "end")
+    so_far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # edges of one run overlap by all but one word
+    new_run = F.coalesce((F.col("start") > so_far - (min_words - 1)).cast("int"), F.lit(1))
+    runs = verified.select("*", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(so_far, F.lit(0)))).alias("adds"), new_run.alias("new"))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    by_run = runs.groupBy("id", "section", "run").agg(F.sum("adds").alias("adds"), F.count(F.lit(1)).alias("edges"))
-    shared = by_run.groupBy("id", "section").agg(F.sum("adds").alias("shared"), (F.max("edges") + min_words - 1).alias("longest"))
+    by_run = runs.groupBy("id", "section", "run").agg(F.sum("adds").alias("adds"), (F.max("end") - F.min("start")).alias("length"))
+    shared = by_run.groupBy("id", "section").agg(F.sum("adds").alias("shared"), F.max("length").alias("longest"))
     n_words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}'’]+"), F.lit(0))).cast("bigint")
     counted = _chunks(chunks).select("id", "section", n_words.alias("n_words")).distinct()
     out = counted.join(shared, ["id", "section"], "left")

@@ -23,7 +23,7 @@ def queries() -> dict:
         "p6_found": lambda s, d: p6_lookalikes.read_but_not_written(load(s, d, "cases"), load(s, d, "chunks")),
         "p6_forms": lambda s, d: load(s, d, "chunks").select(F.col("id").alias("chunk_id"), p6_lookalikes.one_form(F.col("text")).alias("form")).distinct(),
         "p7_ids": lambda s, d: p7_tokens.encode_corpus(load(s, d, "documents")),
-        "p7_decoded": lambda s, d: p7_tokens.decode_corpus(p7_tokens.encode_corpus(load(s, d, "documents"))),
+        "p7_decoded": lambda s, d: p7_tokens.decode_corpus(p7_tokens.encode_corpus(load(s, d, "documents"), keep=True)),
         "p8_packed": lambda s, d: p8_packing.pack_documents(load(s, d, "documents")),
         "p8_containers": lambda s, d: p8_packing.containers(p8_packing.pack_documents(load(s, d, "documents"))),
         "p9_found": lambda s, d: p9_cuts.cut_documents(load(s, d, "documents")),
@@ -48,6 +48,17 @@ def oracle_sql() -> dict[str, str]:
             i AS (SELECT *, unnest(range(1, len(w) - 28)) AS i FROM c WHERE len(w) >= 30),
             g AS (SELECT DISTINCT id, book_id, chapter_index, array_to_string(w[i:i+29], ' ') AS run FROM i)
             SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM g a JOIN g b USING (run) WHERE a.id < b.id AND (a.book_id IS DISTINCT FROM b.book_id OR a.chapter_index IS DISTINCT FROM b.chapter_index)""",
+        "p2_shared": f"""WITH c AS (SELECT DISTINCT id, coalesce(book_id, '') || ':' || coalesce(chapter_index, -1) AS section, coalesce({WORDS}, []) AS w FROM chunks WHERE id IS NOT NULL),
+            i AS (SELECT *, unnest(range(1, len(w) - 28)) AS i FROM c WHERE len(w) >= 30),
+            g AS (SELECT id, section, i, array_to_string(w[i:i+29], ' ') AS run FROM i),
+            r AS (SELECT run FROM g GROUP BY run HAVING count(DISTINCT section) > 1),
+            e AS (SELECT DISTINCT id, section, i FROM g SEMI JOIN r USING (run)),
+            k AS (SELECT *, i - row_number() OVER (PARTITION BY id, section ORDER BY i) AS island FROM e),
+            l AS (SELECT id, section, max(n) + 29 AS longest FROM (SELECT id, section, island, count(*) AS n FROM k GROUP BY ALL) GROUP BY ALL),
+            s AS (SELECT id, section, count(DISTINCT place) AS shared FROM (SELECT id, section, unnest(range(i, i + 30)) AS place FROM e) GROUP BY ALL)
+            SELECT c.id, len(w)::BIGINT AS n_words, coalesce(shared, 0)::BIGINT AS shared_words, round(coalesce(shared, 0) / greatest(len(w), 1), 6) AS share, coalesce(longest, 0)::BIGINT AS longest_run
+            FROM c LEFT JOIN s USING (id, section) LEFT JOIN l USING (id, section)""",
+        "p7_decoded": "SELECT DISTINCT doc_id, text FROM documents",
         "p4_found": f"""WITH e AS (SELECT DISTINCT ON (id) id, embedding::DOUBLE[] AS v FROM chunks WHERE id IS NOT NULL AND {USABLE}), n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM e),
             s AS (SELECT a.id AS x, b.id AS y, list_dot_product(a.v, b.v) / (a.l * b.l) AS sim FROM n a, n b WHERE a.id <> b.id),
             r AS (SELECT x, y FROM s WHERE sim >= 0.9 QUALIFY row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) <= 5)

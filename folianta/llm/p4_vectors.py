@@ -11,13 +11,16 @@ The first codebook, of about twice the square root of the number of vectors,
 also says where to look. ``near_pairs`` puts every vector into the cells of its
 ``shares`` nearest entries and compares within cells; that finds vectors as
 similar as ``least`` (0.9 by default) at a recall measured at 0.9999, and does work
-that grows with n to the power 1.5. ``search`` scores the whole index for a stated
-query set.
+that grows with n to the power 1.5 as long as cells grow with it (up to
+``MOST_CELLS``, that is about 16 million classes; beyond, cells get fuller).
+``search`` scores the whole index for a stated query set, blocks of queries
+against shards of the index.
 
 Codebooks are fitted on at most ``SAMPLE`` vectors chosen by a hash of their
 ids; every vector is indexed. Exact copies of a vector are one class, indexed
 once; a copy's nearest are the other copies with the smallest ids. Cells of more
-than ``BLOCK`` vectors are compared block by block in separate tasks.
+than ``BLOCK`` vectors are compared block by block in separate tasks, and of a
+task's pairs only those leave it that are among the k best of one of their ends.
 
 Vectors that are null, of another length, all zero, or hold a null, NaN or
 infinity take no part. Exact copies of a row count once. Ties go to the smaller
@@ -32,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +46,12 @@ SAMPLE = 32_768
 BOOKS = 3
 ENTRIES = 256
 BEAM = 4
-BLOCK = 4096
+#: A cell of a training vector or less is no cell.
+MOST_CELLS = SAMPLE // 4
+#: Vectors of a block (some 12 MB); a cell of b blocks is sent b times.
+BLOCK = 32_768
+#: Queries of a block of ``search``.
+QUERIES = 8192
 SHARES = 4
 
 
@@ -164,7 +173,7 @@ def build(vectors: DataFrame, k: int = 5, dims: int = 64, sample: int = SAMPLE,
         return Index(named.select("id", "a", "b"), firsts, reps, None, dims)
     share = min(1.0, sample / n)
     fitted_on = reps if share == 1 else reps.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    cells = max(1, min(n, int(2 * math.sqrt(n))))
+    cells = max(1, min(n, MOST_CELLS, int(2 * math.sqrt(n))))
     x = _unit(_matrix(fitted_on.select("vector").toArrow()["vector"], dims))
     books = fit(x, cells, entries=min(ENTRIES, max(BEAM, len(x))))
     sent = rows.sparkSession.sparkContext.broadcast(books)
@@ -192,8 +201,21 @@ def _top(approx: np.ndarray, keep: int) -> np.ndarray:
     return np.argpartition(-approx, keep - 1, axis=1)[:, :keep]
 
 
+def _best(of: np.ndarray, s: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs are among the ``k`` of the highest ``s`` of their ``of``, smaller ``tie`` first."""
+    order = np.lexsort((tie, -s, of))
+    first = np.concatenate(([True], of[order][1:] != of[order][:-1])) if len(order) else np.zeros(0, bool)
+    place = np.arange(len(order)) - np.repeat(np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(order))))
+    keep = np.zeros(len(of), bool)
+    keep[order[place < k]] = True
+    return keep
+
+
 def _compare(books, dims: int, k: int, least: float, slack: float):
-    """Compares the vectors of one block of a cell with those of another (or the same)."""
+    """Compares the vectors of one block of a cell with those of another (or the same).
+
+    What leaves are the pairs among the k best of either end, ties to the smaller id.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         unit = unpack(table["unit"], np.float32)[0].reshape(-1, dims)
@@ -201,18 +223,32 @@ def _compare(books, dims: int, k: int, least: float, slack: float):
         along = np.asarray(table["along"])
         side = np.asarray(table["side"])
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        a, b, s = [], [], []
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
+        ids = table["id"].combine_chunks()
+        place = np.empty(len(ids), np.int64)
+        place[np.asarray(pa.compute.sort_indices(ids))] = np.arange(len(ids))
+        a, b, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        step = max(16, min(512, (1 << 21) // max(1, len(right))))
+        for at in range(0, len(left), step):
+            rows = left[at : at + step]
             approx = books.value.scores(unit[rows], codes[right], along[right])
             i, j = np.nonzero(approx >= least - slack)
+            # exact reranking of what the tables let through, in pieces of 32 MB
+            exact = np.concatenate([np.einsum("nd,nd->n", unit[rows[i[p : p + 65_536]]].astype(np.float64), unit[right[j[p : p + 65_536]]]) for p in range(0, max(1, len(i)), 65_536)])
             i, j = rows[i], right[j]
-            # exact reranking of what the tables let through
-            exact = np.einsum("nd,nd->n", unit[i].astype(np.float64), unit[j])
             good = (exact >= least) & (i != j)
-            a.append(i[good]), b.append(j[good]), s.append(exact[good])
-        a, b, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, s))
-        ids = table["id"].combine_chunks()
+            i, j, exact = i[good], j[good], exact[good]
+            mine = _best(i, exact, place[j], k)
+            if not mine.all():
+                # of what isn't among a left vector's best, each right one keeps its best
+                theirs = _best(j, exact, place[i], k)
+                i, j, exact = i[mine | theirs], j[mine | theirs], exact[mine | theirs]
+            a, b, s = np.append(a, i), np.append(b, j), np.append(s, exact)
+            if len(a) > 4 * k * len(ids):
+                keep = _best(a, s, place[b], k) | _best(b, s, place[a], k)
+                a, b, s = a[keep], b[keep], s[keep]
+        if len(a):
+            keep = _best(a, s, place[b], k) | _best(b, s, place[a], k)
+            a, b, s = a[keep], b[keep], s[keep]
         return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s, pa.float64())], names=["id", "other", "similarity"])
 
     return run
@@ -285,6 +321,9 @@ def _scan(books, dims: int, k: int, wide: int):
             part = q[at : at + 256]
             best = _top(books.value.scores(part, codes, norms), wide)
             exact = np.einsum("qd,qwd->qw", part.astype(np.float64), unit[best])
+            # some more than k, as a query finds itself and ties go by id
+            first = _top(exact, 4 * (k + 1))
+            best, exact = np.take_along_axis(best, first, 1), np.take_along_axis(exact, first, 1)
             a.append(np.repeat(np.arange(at, at + len(part)), best.shape[1])), b.append(best.ravel()), s.append(exact.ravel())
         a, b, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, s))
         return pa.table([queries["id"].combine_chunks().take(pa.array(a)), shard["id"].combine_chunks().take(pa.array(b)), pa.array(s, pa.float64())], names=["id", "other", "similarity"])
@@ -292,14 +331,15 @@ def _scan(books, dims: int, k: int, wide: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, dims: int = 64, wide: int = 256, shard_rows: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, dims: int = 64, wide: int = 256, shard_rows: int = 20_000, query_rows: int = QUERIES) -> DataFrame:
     """``id``, ``other``, ``similarity`` and ``rank``: the k most similar vectors for each of the stated queries.
 
     ``is_query`` is a condition on ``id`` that states the query set. Each query
-    is looked for by its class: every shard of the index is scored for all
-    classes asked for from tables, its ``wide`` best for each are reranked
-    exactly, and the k best classes of all shards remain. A query's own copies
-    come first, by smallest id, then the members of those classes.
+    is looked for by its class: every shard of the index is scored for each block
+    of the classes asked for from tables, its ``wide`` best for each are reranked
+    exactly, its k best leave the task, and the k best classes of all shards
+    remain. A query's own copies come first, by smallest id, then the members of
+    those classes.
     """
     index = build(vectors, k, dims)
     spark = vectors.sparkSession
@@ -311,10 +351,12 @@ def search(vectors: DataFrame, is_query, k: int = 5, dims: int = 64, wide: int =
     classes = materialise(classes.withColumn("rep", F.col("own")[0]), "query_classes")
     coded = materialise(index.coded.drop("near", "along"), "coded")
     shards = max(1, math.ceil(coded.count() / shard_rows))
-    kept = coded.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int"))
-    asked = coded.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("id"), F.col("unit").alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    blocks = max(1, math.ceil(classes.count() / query_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kept = coded.select("id", "unit", "codes", "norm", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int").alias("of_shard"), every(blocks).alias("of_block"))
+    asked = coded.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("id"), F.col("unit").alias("unit"), F.pmod(F.xxhash64("id", F.lit(6)), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
     sent = spark.sparkContext.broadcast(index.books)
-    found = asked.groupBy("shard").cogroup(kept.withColumnRenamed("shard", "of").groupBy("of")).applyInArrow(_scan(sent, dims, k, wide), "id string, other string, similarity double")
+    found = asked.groupBy("shard", "block").cogroup(kept.groupBy("of_shard", "of_block")).applyInArrow(_scan(sent, dims, k, wide), "id string, other string, similarity double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     between = found.where("id <> other").withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias("rep"), F.col("other").alias("near"), "similarity")
     # the smallest ids of each near class; k of them all are enough for any query

@@ -140,3 +140,39 @@ def test_few_and_none(spark):
     v = [1.0] * 64
     assert [tuple(r) for r in p4_vectors.near_pairs(vectors(spark, [("a", v, 1, 1), ("b", v, 1, 1), ("c", [2.0] * 64, 1, 1)])).collect()].__len__() == 3
     assert p4_vectors.search(vectors(spark, []), "true").count() == 0
+
+
+def test_best_of_either_end():
+    import numpy as np
+
+    of, s, tie = np.array([1, 1, 1, 2]), np.array([0.9, 0.95, 0.95, 0.91]), np.array([0, 5, 3, 1])
+    assert p4_vectors._best(of, s, tie, 1).tolist() == [False, False, True, True]
+    assert p4_vectors._best(of[:0], s[:0], tie[:0], 1).tolist() == []
+
+
+def test_a_hot_cell_gives_k_rows_a_vector(spark):
+    """Thousands of nearly equal vectors: every task sends the best of each, and the pairs are those of brute force."""
+    import numpy as np
+
+    random = np.random.default_rng(2)
+    centre = random.normal(size=64)
+    x = (centre + 0.1 * random.normal(size=(1500, 64))).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:04d}", row.tolist()) for i, row in enumerate(x)], "id string, embedding array<float>")
+    index = p4_vectors.build(df)
+    got = p4_vectors.near_classes(index, 5, 0.9, slack=0.3, block=400).collect()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    like = unit @ unit.T
+    np.fill_diagonal(like, 0)
+    want = {(i, j) for i in range(len(x)) for j in np.argsort(-like[i], kind="stable")[:5] if like[i, j] >= 0.9}
+    found = {(int(r.id[1:]), int(r.other[1:])) for r in got}
+    assert len(got) <= 5 * len(x)
+    # within one dense cluster cells part true neighbours (0.70 here); what they miss is replaced by the next best
+    assert len(found & want) / len(want) > 0.6 and len(got) == 5 * len(x)
+
+
+def test_a_span_of_many_records_is_salted(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"c{i:03d}", "b", i, f"x{i} {words} y{i}", None) for i in range(60)] + [("c000", "b", 0, f"x0 {words} y0", None)]
+    df = spark.createDataFrame(rows, "id string, book_id string, chapter_index int, text string, phrase string")
+    assert p2_spans.span_pairs(df, salt_rows=7).count() == 60 * 59 // 2
+    assert {(r.shared_words, r.longest_run) for r in p2_spans.shared_share(df).collect()} == {(40, 40)}

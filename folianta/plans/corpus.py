@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import unit, usable
 from ..operators import lexical
 from ..operators.library import Library
-from ..sources.tables import load
+from ..sources.tables import lasting, load, materialise
 
 #: Groups of words that stand for each other; a parameter of alias search, chosen for the invented books.
 ALIASES = [["aunt", "mother", "sister"], ["cousin", "niece"], ["lantern", "candle"], ["letter", "telegram"]]
@@ -19,10 +19,18 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "chunks").dropDuplicates(["id"])
 
 
+def index(spark: SparkSession, d: str) -> lexical.LexicalIndex:
+    """The lexical index of the chunks, built once for an application and the files they lie in."""
+    rows = chunks(spark, d)
+    return lasting(spark, ("lexical", *sorted(rows.inputFiles())), lambda: lexical.build(rows))
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """id, book_id, chapter_index and normalised vector of the chunks that have one."""
-    rows = load(spark, d, "chunks").where(usable(F.col("embedding"), 64))
-    return rows.select("id", "book_id", "chapter_index", unit(F.col("embedding")).alias("vector")).dropDuplicates(["id"])
+    """id, book_id, chapter_index and normalised vector of the chunks that have one, made once for an application and its files."""
+    rows = load(spark, d, "chunks")
+    usable_ = rows.where(usable(F.col("embedding"), 64)).dropDuplicates(["id"])
+    made = usable_.select("id", "book_id", "chapter_index", unit(F.col("embedding")).alias("vector"))
+    return lasting(spark, ("vectors", *sorted(rows.inputFiles())), lambda: materialise(made, "index-vectors"))
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
@@ -61,4 +69,4 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 def library(spark: SparkSession, d: str, with_aliases: bool = False) -> Library:
     """The chunks with their vectors and lexical index."""
     rows = chunks(spark, d)
-    return Library(rows, vectors(spark, d), lexical.build(rows), aliases(spark) if with_aliases else None)
+    return Library(rows, vectors(spark, d), index(spark, d), aliases(spark) if with_aliases else None)

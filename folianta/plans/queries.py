@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as T
+from ..functions.frames import pinned
 from ..functions.vectors import unit, usable
 from ..operators import audit, counting, dense, evaluate, fusion, ingest, lexical, library, notes, providers, records, reuse, similar
 from ..sources import index as store
@@ -113,28 +114,28 @@ def html_sections(s, d):
 
 @query
 def idf_table(s, d):
-    index = lexical.build(corpus.chunks(s, d))
+    index = corpus.index(s, d)
     return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
 def bm25_topk(s, d):
-    return lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), 10)
+    return lexical.search(corpus.index(s, d), lexical.query_terms(corpus.queries(s, d)), 10)
 
 
 @query
 def bm25_book_filter(s, d):
-    return lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d, scoped=True)), 10)
+    return lexical.search(corpus.index(s, d), lexical.query_terms(corpus.queries(s, d, scoped=True)), 10)
 
 
 @query
 def bm25_alias(s, d):
-    return lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d), corpus.aliases(s)), 10)
+    return lexical.search(corpus.index(s, d), lexical.query_terms(corpus.queries(s, d), corpus.aliases(s)), 10)
 
 
 @query
 def max_idf(s, d):
-    return lexical.max_idf(lexical.build(corpus.chunks(s, d)), corpus.queries(s, d))
+    return lexical.max_idf(corpus.index(s, d), corpus.queries(s, d))
 
 
 # dense and fused
@@ -151,7 +152,7 @@ def dense_topk(s, d):
 def _arms(s, d, pool: int):
     """Both ranked lists of every case; without a model, a question's vector is the mean of its three best lexical hits'."""
     vectors = corpus.vectors(s, d)
-    sparse = materialise(lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), pool), "sparse")
+    sparse = materialise(lexical.search(corpus.index(s, d), lexical.query_terms(corpus.queries(s, d)), pool), "sparse")
     asked = library.vectors_from_hits(sparse, vectors)
     found = dense.search(asked.select("query_id", F.lit(None).cast("string").alias("scope"), "vector"), vectors, pool)
     return materialise(found, "dense"), sparse
@@ -178,7 +179,7 @@ def rrf_modes(s, d):
 
 def _lists(s, d):
     """Three lists for each case: lexical hits with and without aliases, and in its own book."""
-    index = lexical.build(corpus.chunks(s, d))
+    index = corpus.index(s, d)
     made = [lexical.query_terms(corpus.queries(s, d)), lexical.query_terms(corpus.queries(s, d), corpus.aliases(s)), lexical.query_terms(corpus.queries(s, d, scoped=True))]
     lists = None
     for n, terms in enumerate(made):
@@ -200,7 +201,7 @@ def via_lists(s, d):
 @query
 def rerank_order(s, d):
     """A reranker that names every third candidate backwards; the rest stay in order behind them."""
-    hits = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), 24).select("query_id", "id", F.col("rank").alias("place"))
+    hits = lexical.search(corpus.index(s, d), lexical.query_terms(corpus.queries(s, d)), 24).select("query_id", "id", F.col("rank").alias("place"))
     orders = hits.groupBy("query_id").agg(F.reverse(F.array_sort(F.collect_list(F.when(F.col("place") % 3 == 0, F.col("place"))))).alias("order"))
     return fusion.rerank(hits, orders, 8)
 
@@ -208,7 +209,7 @@ def rerank_order(s, d):
 @query
 def stub_rerank(s, d):
     """Reranked by the offline provider."""
-    hits = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), 24)
+    hits = lexical.search(corpus.index(s, d), lexical.query_terms(corpus.queries(s, d)), 24)
     given = hits.join(corpus.chunks(s, d).select("id", "text"), "id").join(corpus.queries(s, d).select("query_id", "query"), "query_id")
     candidates = given.select("query_id", "query", "id", F.col("rank").alias("place"), "text")
     return fusion.rerank(candidates.select("query_id", "id", "place"), providers.rerank_orders(candidates, providers.Offline()), 8)
@@ -216,7 +217,7 @@ def stub_rerank(s, d):
 
 @query
 def entity_candidates(s, d):
-    index = lexical.build(corpus.chunks(s, d))
+    index = corpus.index(s, d)
     hits = lexical.search(index, lexical.query_terms(corpus.queries(s, d)), 3)
     passages = hits.join(corpus.chunks(s, d).select("id", "text"), "id").join(corpus.queries(s, d).select("query_id", "query"), "query_id")
     return counting.entity_candidates(passages.select("query_id", "query", "text"), index)
@@ -469,7 +470,7 @@ def rate_limit(s, d):
 
 
 def _hits(s, d, k: int = 8):
-    ranked = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), k)
+    ranked = lexical.search(corpus.index(s, d), lexical.query_terms(corpus.queries(s, d)), k)
     return evaluate.expected_hits(ranked, corpus.cases(s, d).select(F.col("id").alias("query_id"), "any_of"), corpus.chunks(s, d))
 
 
@@ -497,7 +498,7 @@ def rank_weighted_precision(s, d):
 @query
 def majority_votes(s, d):
     """Three votes for each case: found by words, with aliases, and in its own book."""
-    index = lexical.build(corpus.chunks(s, d))
+    index = corpus.index(s, d)
     cases = corpus.cases(s, d).select(F.col("id").alias("query_id"), "any_of")
     votes = None
     for terms in (lexical.query_terms(corpus.queries(s, d)), lexical.query_terms(corpus.queries(s, d), corpus.aliases(s)), lexical.query_terms(corpus.queries(s, d, scoped=True))):
@@ -510,14 +511,14 @@ def majority_votes(s, d):
 def topic_coverage(s, d):
     """The book a case names, where none of its passages is from it."""
     cases = corpus.cases(s, d).where("book_id is not null").select(F.col("id").alias("case_id"), F.array("book_id").alias("books_required"))
-    found = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), 8).join(corpus.chunks(s, d).select("id", "book_id"), "id")
+    found = lexical.search(corpus.index(s, d), lexical.query_terms(corpus.queries(s, d)), 8).join(corpus.chunks(s, d).select("id", "book_id"), "id")
     return evaluate.topic_coverage(cases, found.select(F.col("query_id").alias("case_id"), "book_id")).select("case_id", F.array_join("missing", " ").alias("missing"))
 
 
 def _needle_rates(s, d, c):
     """How often the chunks of ``c`` come back for their own first words, by the chapters' position."""
     asked = c.select(F.col("id").alias("query_id"), F.array_join(F.slice(F.split(T.squash(F.col("text")), " "), 1, 12), " ").alias("query"), F.lit(None).cast("string").alias("scope"))
-    found = lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(asked), 8).where("query_id = id").select("query_id", "rank")
+    found = lexical.search(corpus.index(s, d), lexical.query_terms(asked), 8).where("query_id = id").select("query_id", "rank")
     form = F.when(F.col("chapter_index") < 5, "early").otherwise("late")
     return evaluate.needle_rates(c.select(F.col("id").alias("query_id"), form.alias("form")).join(found, "query_id", "left"))
 
@@ -544,7 +545,7 @@ def bootstrap_ci(s, d):
 @query
 def paired_bootstrap(s, d):
     cases = corpus.cases(s, d).select(F.col("id").alias("query_id"), "any_of")
-    index = lexical.build(corpus.chunks(s, d))
+    index = corpus.index(s, d)
     one = lambda terms: evaluate.by_case(evaluate.expected_hits(lexical.search(index, terms, 8), cases, corpus.chunks(s, d)), cases).select(F.col("query_id").alias("case_id"), F.col("rr").alias("value"))
     return evaluate.paired_bootstrap(one(lexical.query_terms(corpus.queries(s, d))), one(lexical.query_terms(corpus.queries(s, d), corpus.aliases(s))))
 
@@ -652,7 +653,7 @@ def claim_audit(s, d):
 
     def search_again(doubt):
         asked = doubt.select(F.struct("answer_id", "claim_no").alias("query_id"), F.col("claim").alias("query"), F.lit(None).cast("string").alias("scope"))
-        hits = lexical.search(lexical.build(passages), lexical.query_terms(asked), 4).groupBy("query_id").agg(F.collect_list("id").alias("more"))
+        hits = lexical.search(corpus.index(s, d), lexical.query_terms(asked), 4).groupBy("query_id").agg(F.collect_list("id").alias("more"))
         more = hits.select(F.col("query_id.answer_id").alias("answer_id"), F.col("query_id.claim_no").alias("claim_no"), "more")
         none = F.array().cast("array<string>")
         return doubt.join(more, ["answer_id", "claim_no"], "left").withColumn("cited", F.array_union("cited", F.coalesce("more", none))).drop("more")
@@ -690,7 +691,7 @@ def stride_sample(s, d):
 def _relevance(s, d):
     """A case's question against its three best passages, which stand for the questions its answer would answer."""
     vectors = corpus.vectors(s, d)
-    hits = materialise(lexical.search(lexical.build(corpus.chunks(s, d)), lexical.query_terms(corpus.queries(s, d)), 24).where("rank <= 3"), "hits")
+    hits = materialise(lexical.search(corpus.index(s, d), lexical.query_terms(corpus.queries(s, d)), 24).where("rank <= 3"), "hits")
     asked = library.vectors_from_hits(hits, vectors).withColumnRenamed("query_id", "case_id")
     return evaluate.answer_relevance(asked, hits.join(vectors.select("id", "vector"), "id").select(F.col("query_id").alias("case_id"), "vector"))
 
@@ -709,13 +710,13 @@ def relevance_summary(s, d):
 def seam_rates(s, d):
     """Is what stands on both sides of a cut found by a question on both?"""
     passages = corpus.chunks(s, d)
-    words = passages.select("id", F.split(T.quote_words(F.col("text")), " ").alias("w"))
-    side = words.select("id", F.array_join(F.slice("w", 1, 6), " ").alias("head"), F.array_join(F.slice("w", F.greatest(F.lit(1), F.size("w") - 3), 4), " ").alias("tail"))
+    words = pinned(passages.select("id", "text"), w=F.split(T.quote_words(F.col("text")), " "))
+    side = materialise(words.select("id", F.array_join(F.slice("w", 1, 6), " ").alias("head"), F.array_join(F.slice("w", F.greatest(F.lit(1), F.size("w") - 3), 4), " ").alias("tail")), "sides")
     pairs = ingest.seams(passages)
     both = pairs.join(side.toDF("before_id", "head_a", "before"), "before_id").join(side.toDF("after_id", "head_b", "after"), "after_id")
-    cases = evaluate.seam_cases(pairs, passages, both.select("before_id", "before", "after"))
+    cases = materialise(evaluate.seam_cases(pairs, passages, both.select("before_id", "before", "after")), "seam_cases")
     asked = cases.select("before_id").join(both, "before_id").join(passages.select(F.col("id").alias("before_id"), F.col("book_id").alias("scope")), "before_id").select(F.col("before_id").alias("query_id"), F.concat_ws(" ", "head_a", "head_b").alias("query"), "scope")
-    found = lexical.search(lexical.build(passages), lexical.query_terms(asked), 8).select("query_id", "id", F.col("rank").alias("place"))
+    found = lexical.search(corpus.index(s, d), lexical.query_terms(asked), 8).select("query_id", "id", F.col("rank").alias("place"))
     return evaluate.seam_rates(evaluate.seam_outcomes(cases.select(F.col("before_id").alias("query_id"), "before", "after"), found, passages))
 
 

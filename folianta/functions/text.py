@@ -16,7 +16,10 @@ STOP_WORDS = (
     "a an and are as at be but by for from had has have he her hers him his i if in is it its me my "
     "of on or our she that the their them they this to was we were what when which who will with you your"
 ).split()
-REUSE_STOP_WORDS = sorted({*STOP_WORDS, *"am been did do does no not so then would".split()})
+REUSE_STOP_WORDS = (
+    "a am an and are as at be been but by did do does for from had has have he her hers him his i if in is it its me my no not "
+    "of on or our she so that the their them then they this to was we were what when which who will with would you your"
+).split()
 ABBREVIATIONS = "Mr Mrs Ms Dr St Jr Sr Prof Rev Hon Capt Col Gen Lt Sgt Esq vs etc No i.e e.g".split()
 CITATION = r"\[([a-z_]+:\d+:\d+)\]"
 
@@ -65,8 +68,9 @@ def flat(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The terms of the lexical index in order: two characters or more, no stop words."""
-    found = F.regexp_extract_all(straight(F.lower(text)), F.lit("[a-z0-9']+"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
+    # one pass of the pattern leaves out what isn't a term; a lambda over all words would cost several times as much
+    stop = "|".join(STOP_WORDS)
+    return F.regexp_extract_all(straight(F.lower(text)), F.lit(rf"(?<![a-z0-9'])(?!(?:{stop})(?![a-z0-9']))[a-z0-9']{{2,}}"), F.lit(0))
 
 
 def count_words(text: Column) -> Column:
@@ -106,10 +110,12 @@ def quoted_spans(text: Column, least: int = 8, most: int = 400) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a of the code points (as a bigint)."""
-    signs = F.filter(F.split(text, ""), lambda c: c != "")
-    step = lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("bigint"))) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
-    return F.aggregate(signs, F.lit(2166136261).cast("bigint"), step)
+    """32-bit FNV-1a of the UTF-16 units (as a bigint); a sign beyond the BMP counts as its two surrogates."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    surrogates = lambda c: F.array(F.lit(0xD800) + F.shiftright(c - 0x10000, 10), F.lit(0xDC00) + (c - 0x10000).bitwiseAND(F.lit(0x3FF)))
+    units = F.flatten(F.transform(codes, lambda c: F.when(c < 0x10000, F.array(c)).otherwise(surrogates(c))))
+    step = lambda h, u: ((h.bitwiseXOR(u)) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+    return F.aggregate(units, F.lit(2166136261).cast("bigint"), step)
 
 
 def count_matches(text: Column, term: Column) -> Column:

@@ -4,18 +4,30 @@
 intermediate result that several later stages read, so that neither a lost
 executor nor a second consumer recomputes the expensive stage before it. The
 folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-setting is absent (tests, a laptop) a temporary folder is used.
+setting is absent and the session is local (a laptop) a temporary folder is used.
+On a cluster without the setting ``SharedFolderMissing`` is raised, as executors
+would write to their own disks. ``release`` deletes what has been written.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: The temporary folder of each application that names none.
 _own: dict[str, str] = {}
+#: The intermediate tables of each application, and what it has built for its whole life.
+_written: dict[str, list[str]] = {}
+_lasting: dict[tuple, object] = {}
+#: Tables whose label begins so make up an index and outlive ``release``.
+INDEX = "index-"
+
+
+class SharedFolderMissing(RuntimeError):
+    """The cluster names no folder that all executors share."""
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,10 +36,12 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a temporary one where none is set."""
+    """The cluster's checkpoint folder, or a temporary one where none is set and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise SharedFolderMissing("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="folianta-")
@@ -36,7 +50,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, everything: bool = False) -> int:
+    """Deletes the intermediate tables written so far, once the results made from them have been read; returns how many.
+
+    The tables of an index stay, unless ``everything`` goes.
+    """
+    app = spark.sparkContext.applicationId
+    if everything:
+        for key in [key for key in _lasting if key[0] == app]:
+            del _lasting[key]
+    gone = [path for path in _written.get(app, []) if everything or not path.rsplit("/", 1)[-1].startswith(INDEX)]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in gone:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    _written[app] = [path for path in _written.get(app, []) if path not in set(gone)]
+    return len(gone)
+
+
+def lasting(spark: SparkSession, key: tuple, make: Callable[[], object]):
+    """What ``make`` builds, once for an application and ``key``."""
+    app = spark.sparkContext.applicationId
+    if (app, *key) not in _lasting:
+        _lasting[app, *key] = make()
+    return _lasting[app, *key]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

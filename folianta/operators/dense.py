@@ -1,4 +1,4 @@
-"""Dense search of many queries in blocks: each shard of vectors is multiplied with all queries once."""
+"""Dense search of many queries in blocks: each shard of vectors is multiplied with each block of queries once."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 20_000
+#: Vectors of a shard and queries of a block: a task holds some 10 MB and 4 MB of numbers.
+SHARD_ROWS, BLOCK_QUERIES = 20_000, 8192
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -27,12 +28,20 @@ def _scores(k: int, dims: int):
         who, what, score = [], [], []
         for at in range(0, len(q) if len(x) else 0, 256):
             block = np.round(q[at : at + 256] @ x.T, 6)
-            for i, row in enumerate(block):
+            for i in range(len(block)):
                 if scopes[at + i] is not None:
-                    row = np.where(books == scopes[at + i], row, -np.inf)
-                best = np.argsort(-row, kind="stable")[:k] if k < len(row) else np.argsort(-row, kind="stable")
-                best = best[row[best] > -np.inf]
-                who.append(np.full(len(best), at + i)), what.append(best), score.append(row[best])
+                    block[i, books != scopes[at + i]] = -np.inf
+            if k < block.shape[1]:
+                # all that reach the k-th value, so that ties can go by id
+                least = -np.partition(-block, k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero((block >= least) & (block > -np.inf))
+            else:
+                i, j = np.nonzero(block > -np.inf)
+            order = np.lexsort((j, -block[i, j], i))
+            i, j = i[order], j[order]
+            first = np.searchsorted(i, np.arange(len(block)))
+            near = np.arange(len(i)) - first[i] < k
+            who.append(at + i[near]), what.append(j[near]), score.append(block[i[near], j[near]])
         flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         return pa.table(
             [queries["query_id"].combine_chunks().take(pa.array(flat(who, np.int64))), ids.take(pa.array(flat(what, np.int64))), pa.array(flat(score, np.float64))], names=["query_id", "id", "score"]
@@ -41,18 +50,20 @@ def _scores(k: int, dims: int):
     return run
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, dims: int = 64, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int, dims: int = 64, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, id, score (to 6 places) and rank (from 1): the k highest products for each query.
 
     ``queries`` has query_id, scope (a book, or null) and vector; ``vectors`` has
     id, book_id and vector, normalised. Each shard keeps k rows for a query, so
-    what meets in the last window is k rows for each query and shard. Products may be negative; none is dropped.
+    what meets in the last window is k rows for each query and shard; each block
+    of queries meets each shard in a task of its own. Products may be negative; none is dropped.
     """
-    shards = max(1, math.ceil(vectors.count() / shard_rows))
-    kept = vectors.select(*[F.col(c).alias(c) for c in ("id", "book_id", "vector")], F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("of"))
-    asked = queries.select("query_id", "scope", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    shards, blocks = max(1, math.ceil(vectors.count() / shard_rows)), max(1, math.ceil(queries.count() / block_queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kept = vectors.select(*[F.col(c).alias(c) for c in ("id", "book_id", "vector")], F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("of_shard"), every(blocks).alias("of_block"))
+    asked = queries.select("query_id", "scope", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
     kind = queries.schema["query_id"].dataType.simpleString()
     id_kind = vectors.schema["id"].dataType.simpleString()
-    found = asked.groupBy("shard").cogroup(kept.groupBy("of")).applyInArrow(_scores(k, dims), f"query_id {kind}, id {id_kind}, score double")
+    found = asked.groupBy("shard", "block").cogroup(kept.groupBy("of_shard", "of_block")).applyInArrow(_scores(k, dims), f"query_id {kind}, id {id_kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

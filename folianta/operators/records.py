@@ -127,9 +127,16 @@ def newest(rows: DataFrame, by: list[str], most: int = 50) -> DataFrame:
 
 
 def requests_last_hour(requests: DataFrame) -> DataFrame:
-    """visitor, at, id and used: the visitor's requests up to an hour before each, itself included."""
-    order = Window.partitionBy("visitor").orderBy("at").rangeBetween(-HOUR_MS, 0)
-    return requests.select("visitor", "at", "id", F.count(F.lit(1)).over(order).alias("used"))
+    """visitor, at, id and used: the visitor's requests up to an hour before each, itself included.
+
+    Each request is counted in its own hour and the next, so windows hold two
+    hours of a visitor and not all there is of one. Requests without a time see only themselves.
+    """
+    hour = F.floor(F.col("at") / HOUR_MS)
+    rows = requests.select("visitor", "at", "id", F.explode(F.array(F.lit(0), F.lit(1))).alias("later")).where("at is not null").withColumn("hour", hour + F.col("later"))
+    order = Window.partitionBy("visitor", "hour").orderBy("at").rangeBetween(-HOUR_MS, 0)
+    counted = rows.withColumn("used", F.count(F.lit(1)).over(order)).where("later = 0").select("visitor", "at", "id", "used")
+    return counted.unionByName(requests.where("at is null").select("visitor", "at", "id", F.lit(1).cast("bigint").alias("used")))
 
 
 def admit(times: list[int], held: list[int], limit: int, window_ms: int = HOUR_MS) -> tuple[list[bool], list[int], list[int]]:

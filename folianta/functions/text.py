@@ -151,6 +151,11 @@ def first_clause(note: Column, most: int = 58) -> Column:
     return F.when(F.length(clean) > most, cut).otherwise(clean)
 
 
+def embed_text(book_title: Column, chapter_title: Column, text: Column) -> Column:
+    """What is embedded for a passage where its place is to count: book and chapter title before its text; a null title is empty."""
+    return F.concat(F.coalesce(book_title, F.lit("")), F.lit(", "), F.coalesce(chapter_title, F.lit("")), F.lit("\n\n"), text)
+
+
 def error_kind(message: Column) -> Column:
     """``rate_limited``, ``filtered`` or ``failed``: what a provider's error message says."""
     said = lambda pattern: message.rlike("(?i)" + pattern)

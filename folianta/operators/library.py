@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..sources.tables import materialise
 from . import counting, dense, fusion, lexical, reuse, similar
+from .fusion import rerank
+from .providers import Provider, rerank_orders
 
 
 @dataclass(frozen=True)
@@ -34,17 +36,17 @@ def vectors_from_hits(hits: DataFrame, vectors: DataFrame, most: int = 3) -> Dat
     return mean.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("vector"))
 
 
-def retrieve(library: Library, queries: DataFrame, k: int = DEFAULTS.k, mode: str = "hybrid", query_vectors: DataFrame | None = None, neighbours: int = DEFAULTS.neighbours) -> DataFrame:
+def retrieve(library: Library, queries: DataFrame, k: int = DEFAULTS.k, mode: str = "hybrid", query_vectors: DataFrame | None = None, neighbours: int = DEFAULTS.neighbours, most: int = DEFAULTS.most_k) -> DataFrame:
     """query_id, id, score, dense_rank, sparse_rank and place (from 1) of each query's passages.
 
     Each arm gives max(3k, 24) passages, joined by rank; ``mode`` is ``hybrid``,
     ``dense`` or ``sparse``. Neighbours of the first hits follow behind, so a
-    query may get more than k rows. At most 20 are given. A query of stop words
+    query may get more than k rows. At most ``most`` are given. A query of stop words
     only, or null, gets no rows.
     """
     if mode not in ("hybrid", "dense", "sparse"):
         raise ValueError(f"unknown mode {mode!r}")
-    k = min(k, DEFAULTS.most_k)
+    k = min(k, most)
     pool = max(3 * k, 24)
     sparse = None
     if mode != "dense" or query_vectors is None:
@@ -62,6 +64,46 @@ def retrieve(library: Library, queries: DataFrame, k: int = DEFAULTS.k, mode: st
     return fusion.with_neighbours(materialise(hits, "hits"), library.passages, neighbours)
 
 
+def in_view(queries: DataFrame, views: DataFrame) -> DataFrame:
+    """``queries`` whose scope is the one book of their view, where it has one; a scope outside the view counts as none.
+
+    ``views`` has query_id and book_id, a row for each book in view of a query.
+    """
+    seen = views.groupBy("query_id").agg(F.collect_set("book_id").alias("_books"))  # a person's selection, some books
+    only = F.when(F.array_contains("_books", F.col("scope")), F.col("scope")).when(F.size("_books") == 1, F.element_at("_books", 1))
+    return queries.join(seen, "query_id", "left").withColumn("scope", only.cast("string")).drop("_books")
+
+
+def search_books(library: Library, queries: DataFrame, provider: Provider, k: int = DEFAULTS.k, views: DataFrame | None = None, names: bool = True, **how) -> DataFrame:
+    """query_id, id, place and by (``search`` or ``names``): a query's passages, reranked, and those found by rare names in them.
+
+    Three times as many passages as wanted (24 at least) are retrieved; those of
+    books out of view (``views``: query_id, book_id) go, the provider's order
+    cuts the rest to k, and passages found by names they hold follow behind.
+    """
+    want = min(k, DEFAULTS.most_k)
+    pool = max(3 * want, 24)
+    asked = queries if views is None else in_view(queries, views)
+    found = retrieve(library, asked, pool, most=pool, neighbours=0, **how).select("query_id", "id", "place")
+    texts = library.passages.select("id", "book_id", "text")
+    given = found.join(texts, "id")
+    if views is not None:
+        given = given.join(views.select("query_id", "book_id").distinct(), ["query_id", "book_id"], "left_semi")
+    order = Window.partitionBy("query_id").orderBy("place")
+    given = materialise(given.withColumn("place", F.row_number().over(order)).select("query_id", "id", "place", "text"), "given")
+    candidates = given.join(queries.select("query_id", "query"), "query_id")
+    best = rerank(given.select("query_id", "id", "place"), rerank_orders(candidates, provider, DEFAULTS.rerank_chars), want)
+    best = materialise(best.select("query_id", "id", F.col("new_place").alias("place"), F.lit("search").alias("by")), "best")
+    if not names:
+        return best
+    more = expand_on_entities(library, queries, best.select("query_id", "id"), want, neighbours=0, **how)
+    if views is not None:
+        more = more.join(texts.select("id", "book_id"), "id").join(views.select("query_id", "book_id").distinct(), ["query_id", "book_id"], "left_semi")
+    last = best.groupBy("query_id").agg(F.max("place").alias("last"))
+    behind = F.row_number().over(Window.partitionBy("query_id").orderBy("place")) + F.col("last")
+    return best.unionByName(more.join(last, "query_id").select("query_id", "id", behind.alias("place"), F.lit("names").alias("by")))
+
+
 def broad_search(library: Library, queries: DataFrame, phrases: DataFrame, k: int = DEFAULTS.k, depth: int = 12, **how) -> DataFrame:
     """query_id, id, list_no, score, place and via: a subject looked for in several wordings, their hits taken in turn.
 

@@ -78,6 +78,31 @@ def book_notes(notes: DataFrame, provider: Provider, chars: int = CHARS) -> Data
     return given.mapInPandas(run, "book_id string, chapters bigint, summary string")
 
 
+def onto_chapters(chapters: DataFrame, notes: DataFrame) -> DataFrame:
+    """``chapters`` (book_id, chapter_index, title) with summary (null where there is no note) and moments (then empty).
+
+    Notes of sections that aren't chapters are left out. Of several notes on one chapter one stands.
+    """
+    told = notes.select("book_id", "chapter_index", "summary", "moments").dropDuplicates(["book_id", "chapter_index"])
+    joined = chapters.select("book_id", "chapter_index", "title").join(told, ["book_id", "chapter_index"], "left")
+    return joined.withColumn("moments", F.coalesce("moments", F.array().cast("array<string>")))
+
+
+def about_the_book(books: DataFrame, book_notes: DataFrame, chapters: DataFrame) -> DataFrame:
+    """book_id, summary, chapters and prepared: what the notes tell about each of ``books`` (book_id).
+
+    ``chapters`` comes from ``onto_chapters``; its notes are put together in
+    order, a line (``title: summary``) each. A book without a note of its own
+    isn't prepared and tells nothing.
+    """
+    line = F.concat(F.coalesce("title", F.lit("")), F.lit(": "), "summary")
+    part = F.array_sort(F.collect_list(F.when(F.col("summary").isNotNull(), F.struct("chapter_index", line.alias("line")))))
+    lines = chapters.groupBy("book_id").agg(F.array_join(F.transform(part, lambda p: p["line"]), "\n").alias("chapters"))
+    joined = books.select("book_id").distinct().join(book_notes.select("book_id", "summary"), "book_id", "left").join(lines, "book_id", "left")
+    prepared = F.col("summary").isNotNull()
+    return joined.select("book_id", "summary", F.when(prepared, F.col("chapters")).alias("chapters"), prepared.alias("prepared"))
+
+
 def survey(notes: DataFrame, wanted: str, provider: Provider, named: int = 8) -> DataFrame:
     """book_id, chapters, marked and first (titles of the first ``named`` marked chapters): which chapters hold a thing, by their notes.
 

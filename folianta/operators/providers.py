@@ -39,6 +39,8 @@ class Provider(Protocol):
 
     def mark(self, wanted: str, note: str) -> bool: ...
 
+    def compare(self, a: str, b: str, similarity: float, baseline: float) -> dict: ...
+
 
 class Offline:
     """A stand-in: vectors from hashed words, order and support by shared words, a text's own beginning as its summary."""
@@ -79,6 +81,10 @@ class Offline:
     def mark(self, wanted: str, note: str) -> bool:
         return bool(set((wanted or "").lower().split()) & set((note or "").lower().split()))
 
+    def compare(self, a: str, b: str, similarity: float, baseline: float) -> dict:
+        same = set((a or "").lower().split()) & set((b or "").lower().split())
+        return {"relationship": "shared_theme" if similarity - baseline > 0.1 else "coincidental", "confidence": "low", "explanation": f"Both have {len(same)} words in common."}
+
 
 def with_retries(call: Callable, tries: int = 6, first_wait: float = 0.4, wait: Callable[[float], None] = time.sleep):
     """``call()``, again after errors that may pass (an error's ``status`` of 408, 429 or 5xx), waiting twice as long each time.
@@ -131,6 +137,31 @@ def rerank_orders(candidates: DataFrame, provider: Provider, chars: int = 700) -
     return grouped.mapInPandas(run, f"query_id {kind}, order array<int>")
 
 
+def judge_pairs(pairs: DataFrame, provider: Provider, chars: int = 1400) -> DataFrame:
+    """``pairs`` (a_id, b_id, similarity, baseline, a_text, b_text) judged: a_id, b_id, similarity, relationship, confidence, explanation.
+
+    Each text is cut to ``chars``, as a provider takes no more. Where a provider
+    fails, or its answer has no relationship, the pair keeps its similarity and
+    the rest is null.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            said = []
+            for row in frame.itertuples(index=False):
+                try:
+                    told = provider.compare(row.a_text, row.b_text, row.similarity, row.baseline)
+                    said.append((str(told["relationship"]), told.get("confidence"), told.get("explanation")))
+                except Exception:
+                    said.append((None, None, None))
+            yield frame[["a_id", "b_id", "similarity"]].assign(relationship=[s[0] for s in said], confidence=[s[1] for s in said], explanation=[s[2] for s in said])
+
+    cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, chars).alias(c)
+    kind = pairs.schema["a_id"].dataType.simpleString()
+    given = pairs.select("a_id", "b_id", F.col("similarity").cast("double").alias("similarity"), F.col("baseline").cast("double").alias("baseline"), cut("a_text"), cut("b_text"))
+    return given.mapInPandas(run, f"a_id {kind}, b_id {kind}, similarity double, relationship string, confidence string, explanation string")
+
+
 def phrases(queries: DataFrame, provider: Provider) -> DataFrame:
     """query_id, list_no (from 1) and phrase: other wordings of each query; none where the provider fails."""
 

@@ -32,6 +32,18 @@ def replace_turns(turns: DataFrame, fresh: DataFrame) -> DataFrame:
     return turns.join(fresh.select("thread_id").distinct(), "thread_id", "left_anti").unionByName(fresh)
 
 
+def save_threads(threads: DataFrame, turns: DataFrame, saved: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after ``saved`` threads and their ``fresh`` turns have been put over what was there.
+
+    All turns of a saved thread are replaced, by none if ``fresh`` has none. A
+    thread of another visitor keeps its row and its turns.
+    """
+    owner = threads.select("id", F.col("visitor").alias("_owner"))
+    mine = saved.join(owner, "id", "left").where("_owner is null or _owner = visitor").select(F.col("id").alias("thread_id")).distinct()
+    kept = turns.join(mine, "thread_id", "left_anti")
+    return upsert_threads(threads, saved), kept.unionByName(fresh.join(mine, "thread_id", "left_semi"), allowMissingColumns=True)
+
+
 def delete_threads(threads: DataFrame, turns: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the threads in ``gone`` (id, visitor) that belong to that visitor."""
     mine = threads.join(gone.select("id", "visitor"), ["id", "visitor"], "left_semi").select("id").distinct()

@@ -406,3 +406,36 @@ SQL["thread_histories"] = f"""WITH {TH}, li AS ({LISTED}), tu AS (SELECT DISTINC
 SQL["tool_usage"] = """WITH t AS (SELECT DISTINCT ON (id) id, thread_id, steps FROM turns WHERE id IS NOT NULL), x AS (SELECT thread_id, unnest(from_json(steps, '[{"tool": "VARCHAR"}]')).tool AS tool FROM t)
     SELECT tool, count(*) AS calls, count(DISTINCT thread_id) AS threads FROM x WHERE tool IS NOT NULL GROUP BY tool"""
 SQL["relevance_summary"] = f"SELECT count(*) AS cases, round(avg(relevance), 4) AS relevance, round(avg(baseline), 4) AS baseline, round(avg(relevance) - avg(baseline), 4) AS separation FROM ({SQL['answer_relevance']})"
+
+SPLIT = lambda x: f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '{SP}+'), lambda w: w <> ''))"
+NOTED = f"""nt AS (SELECT book_id, chapter_index, {trim_('substr(t, 1, 200)')} AS summary,
+          len(list_filter(list_transform(regexp_extract_all(substr(t, 1, 14000), '“([^”]+)”', 1)[1:3], lambda m: {trim_('m')}), lambda m: length(m) > 20 AND {title_words('m')} <> '' AND contains({title_words('t')}, {title_words('m')})))::INTEGER AS moments FROM e3)"""
+LISTED = SQL["chapter_list"].removeprefix(f"WITH {C}, ")
+#: The answers of the audits, with a planted defect each.
+TAMPERED = f"""{FB}, fi AS (SELECT id AS answer_id, answer, coalesce(from_json(cited_ids, '["VARCHAR"]'), []) AS ids FROM f),
+  a0 AS (SELECT answer_id, answer, list_filter(ids, lambda x, i: i % 2 = 1) AS retrieved, list_filter(ids, lambda x, i: i % 2 = 0) AS prior FROM fi),
+  tv AS ({SQL["tamper_variants"].replace(f"WITH {ANSWERS}, ", "WITH ").replace("FROM a WHERE", "FROM a0 WHERE").replace("md5(", "(")}),
+  a AS (SELECT tv.answer_id || '#' || kind AS answer_id, kind, digest AS answer, retrieved, prior FROM tv JOIN a0 ON a0.answer_id = tv.answer_id WHERE digest IS NOT NULL)"""
+
+SQL |= {
+    "html_files": SQL["html_sections"],
+    "embed_texts": "SELECT id, md5(coalesce(book_title, '') || ', ' || coalesce(chapter_title, '') || chr(10) || chr(10) || text) AS digest FROM (SELECT DISTINCT ON (id) * FROM chunks)",
+    "thread_save": f"""WITH {TH}, sv AS (SELECT id FROM th WHERE created_at % 2 = 0 AND (CASE WHEN created_at % 4 = 0 THEN 'nobody' ELSE visitor END) = visitor),
+        u AS (SELECT DISTINCT ON (id) id, thread_id FROM turns), r AS (SELECT thread_id, id FROM u WHERE thread_id IS NOT NULL AND thread_id NOT IN (SELECT id FROM sv) UNION ALL SELECT id, NULL FROM sv)
+        SELECT thread_id, count(*) AS turns, max(id) AS last_id FROM r GROUP BY thread_id""",
+    "chapters_with_notes": f"""WITH {C}, {CHAPTERS}, {NOTED}, ch AS (WITH {LISTED}) SELECT book_id, chapter_index, title, md5(summary) AS digest, coalesce(moments, 0) AS moments FROM ch LEFT JOIN nt USING (book_id, chapter_index)""",
+    "about_the_book": f"""WITH {C}, {CHAPTERS}, {NOTED}, ch AS (WITH {LISTED}),
+        ln AS (SELECT book_id, string_agg(coalesce(title, '') || ': ' || summary, chr(10) ORDER BY chapter_index) AS lines, count(*) AS n FROM ch LEFT JOIN nt USING (book_id, chapter_index) GROUP BY book_id),
+        b AS (SELECT DISTINCT book_id FROM c), p AS (SELECT DISTINCT book_id, true AS prepared FROM nt)
+        SELECT b.book_id, CASE WHEN prepared THEN md5(coalesce(lines, CASE WHEN n IS NOT NULL THEN '' END)) END AS digest, coalesce(prepared, false) AS prepared FROM b LEFT JOIN ln ON ln.book_id = b.book_id LEFT JOIN p ON p.book_id = b.book_id""",
+    "search_books": f"""WITH {INDEX}, {K}, bk AS (SELECT DISTINCT book_id FROM c WHERE book_id IS NOT NULL), vw AS (SELECT k.id AS query_id, bk.book_id FROM k JOIN bk ON k.book_id IS NULL OR bk.book_id <= k.book_id),
+        one AS (SELECT query_id, CASE WHEN count(*) = 1 THEN min(book_id) END AS sole FROM vw GROUP BY query_id),
+        {bm25(query_terms().replace("NULL::VARCHAR AS scope", "(SELECT sole FROM one WHERE one.query_id = k.id) AS scope"), 24)},
+        gv AS (SELECT h.query_id, h.id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS place, len(list_intersect({SPLIT('k.query_text')}, {SPLIT('substr(c.text, 1, 700)')})) AS shared
+               FROM hits h JOIN c ON c.id = h.id JOIN k ON k.id = h.query_id SEMI JOIN vw ON vw.query_id = h.query_id AND vw.book_id = c.book_id)
+        SELECT query_id, id, place FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, place)::INTEGER AS place FROM gv) WHERE place <= 8""",
+    "tamper_recall": f"""WITH {TAMPERED}, ca AS ({SQL["citation_audit"].replace(f"WITH {ANSWERS}, ", "WITH ")}), qa AS ({SQL["quote_audit"].replace(f"WITH {ANSWERS}, ", "WITH ")})
+        SELECT kind, count(*) AS applied, count(*) FILTER (caught) AS caught, round(avg(caught::INTEGER), 6) AS recall FROM (
+          SELECT a.kind, NOT ca.ok OR EXISTS (SELECT 1 FROM qa WHERE qa.answer_id = a.answer_id AND qa.status = 'misquoted') AS caught FROM a JOIN ca ON ca.answer_id = a.answer_id) GROUP BY kind""",
+    "needle_rates_library": SQL["needle_rates"].replace("chunk_index = 0 AND ", ""),
+}

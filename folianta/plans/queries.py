@@ -11,6 +11,7 @@ from ..functions.frames import pinned
 from ..functions.vectors import unit, usable
 from ..operators import audit, counting, dense, evaluate, fusion, ingest, lexical, library, notes, providers, records, reuse, similar
 from ..sources import index as store
+from ..sources.pages import read_pages, write_pages
 from ..sources.tables import load, materialise, scratch
 from . import corpus
 
@@ -109,6 +110,28 @@ def html_sections(s, d):
     return made.select("book_id", "chapter_index", "title", F.size("paragraphs").alias("paragraphs"), "word_count")
 
 
+@query
+def html_files(s, d):
+    """The same with drop caps, page numbers and captions in the pages, written as files and read whole."""
+    escaped = lambda p: F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    cap = lambda p: F.when(p.rlike("^[A-Za-z]"), F.concat(F.lit('<p><img src="cap.png" alt="'), F.substring(p, 1, 1), F.lit('">'), escaped(F.substring(p, F.lit(2), F.length(p))))).otherwise(F.concat(F.lit("<p>"), escaped(p)))
+    noise = lambda i: F.concat(F.lit('<span class="pagenum">'), i.cast("string"), F.lit('</span></p><div class="caption">A picture of the mill</div>'))
+    inner = F.transform("paragraphs", lambda p, i: F.concat(cap(p), noise(i)))
+    part = F.struct("chapter_index", F.concat(F.lit("<h2>"), F.coalesce("title", F.lit("")), F.lit("</h2>"), F.array_join(inner, "\n")).alias("html"))
+    html = F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["html"]), "\n"), F.lit("</body></html>"))
+    path = scratch(s, "pages")
+    write_pages(corpus.sections(s, d).groupBy("book_id").agg(html.alias("html")), path)
+    made = ingest.sections_of(ingest.read_html(read_pages(s, path)), least_words=DEFAULTS.least_section_words)
+    return made.select("book_id", "chapter_index", "title", F.size("paragraphs").alias("paragraphs"), "word_count")
+
+
+@query
+def embed_texts(s, d):
+    """What is embedded for each chunk where its place is to count."""
+    told = T.embed_text(F.col("book_title"), F.col("chapter_title"), F.col("text"))
+    return corpus.chunks(s, d).select("id", F.md5(told).alias("digest"))
+
+
 # lexical
 
 
@@ -367,6 +390,17 @@ def thread_upsert(s, d):
     return records.upsert_threads(t, saved)
 
 
+@query
+def thread_save(s, d):
+    """Every second thread saved anew with one turn, some by another visitor, whose saving changes nothing."""
+    t = records.latest(load(s, d, "threads"), "id", ["updated_at", "title"])
+    turns = load(s, d, "turns").dropDuplicates(["id"]).select("id", "thread_id", "role", "content")
+    saved = t.where(F.col("created_at") % 2 == 0).select("id", F.when(F.col("created_at") % 4 == 0, F.lit("nobody")).otherwise(F.col("visitor")).alias("visitor"), F.lit("saved").alias("title"), "created_at", (F.col("updated_at") + 1).alias("updated_at"))
+    fresh = saved.select(F.lit(None).cast("bigint").alias("id"), F.col("id").alias("thread_id"), F.lit("user").alias("role"), F.lit("saved").alias("content"))
+    _, after = records.save_threads(t, turns, saved, fresh)
+    return after.where("thread_id is not null").groupBy("thread_id").agg(F.count(F.lit(1)).alias("turns"), F.max("id").alias("last_id"))
+
+
 @query
 def thread_delete(s, d):
     threads, turns = load(s, d, "threads"), load(s, d, "turns")
@@ -570,6 +604,25 @@ def broad_search_offline(s, d):
     return found.select("query_id", "id", "list_no", "place")
 
 
+def _views(s, d):
+    """In view of a case are the books up to its own, or all."""
+    books = corpus.chunks(s, d).select("book_id").where("book_id is not null").distinct()
+    return corpus.cases(s, d).select(F.col("id").alias("query_id"), F.col("book_id").alias("own")).join(F.broadcast(books), F.expr("own is null or book_id <= own")).select("query_id", "book_id")
+
+
+@query
+def search_books(s, d):
+    """Every case looked for in the books in its view, reranked by the words its passages share with it."""
+    found = library.search_books(corpus.library(s, d), corpus.queries(s, d), providers.Offline(), views=_views(s, d), names=False, mode="sparse")
+    return found.select("query_id", "id", "place")
+
+
+@query
+def search_books_names(s, d):
+    """The same in all books with both arms, and what names in the passages lead to."""
+    return library.search_books(corpus.library(s, d), corpus.queries(s, d), providers.Offline())
+
+
 @query
 def entity_expansion(s, d):
     lib, asked = corpus.library(s, d), corpus.queries(s, d)
@@ -619,6 +672,29 @@ def book_notes(s, d):
     return notes.book_notes(made, providers.Offline()).select("book_id", "chapters", F.length("summary").alias("n"))
 
 
+def _noted(s, d):
+    """Chapter notes by the offline provider, written as a table and read back."""
+    path = scratch(s, "notes")
+    store.write_notes(notes.chapter_notes(ingest.chapter_texts(corpus.sections(s, d)), providers.Offline()), path)
+    return store.load_notes(s, path)
+
+
+@query
+def chapters_with_notes(s, d):
+    """The chapters of every book with the notes on them."""
+    made = notes.onto_chapters(ingest.chapter_list(corpus.chunks(s, d)), _noted(s, d))
+    return made.select("book_id", "chapter_index", "title", F.md5("summary").alias("digest"), F.size("moments").alias("moments"))
+
+
+@query
+def about_the_book(s, d):
+    """What the notes tell about each book; a book without chapters of its own has no lines."""
+    found = materialise(_noted(s, d), "noted")
+    chapters = notes.onto_chapters(ingest.chapter_list(corpus.chunks(s, d)), found)
+    told = notes.about_the_book(corpus.chunks(s, d).select("book_id"), notes.book_notes(found, providers.Offline()), chapters)
+    return told.select("book_id", F.md5("chapters").alias("digest"), "prepared")
+
+
 @query
 def survey_chapters(s, d):
     made = notes.chapter_notes(ingest.chapter_texts(corpus.sections(s, d)), providers.Offline())

@@ -45,6 +45,12 @@ def with_planted(index: DataFrame, planted: DataFrame) -> DataFrame:
     return index.unionByName(planted.select(*index.columns))
 
 
+def write_notes(notes: DataFrame, path: str) -> None:
+    """Chapter notes as a table, over those written before; columns beyond ``NOTES`` are left out."""
+    columns = [part.split(" ")[0] for part in NOTES.split(", ")]
+    notes.select(*columns).write.mode("overwrite").parquet(path)
+
+
 def load_notes(spark: SparkSession, path: str) -> DataFrame:
     """Chapter notes; an empty table where none have been written or they can't be read."""
     try:

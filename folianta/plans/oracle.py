@@ -439,3 +439,25 @@ SQL |= {
           SELECT a.kind, NOT ca.ok OR EXISTS (SELECT 1 FROM qa WHERE qa.answer_id = a.answer_id AND qa.status = 'misquoted') AS caught FROM a JOIN ca ON ca.answer_id = a.answer_id) GROUP BY kind""",
     "needle_rates_library": SQL["needle_rates"].replace("chunk_index = 0 AND ", ""),
 }
+
+TITLES = "Mr|Mrs|Miss|Sir|Lady|Dr|Lord|Colonel|Captain"
+#: Every sign that is no word character stands twice in ``w``, so that a name and the next one each have their own beside them.
+FOUND_NAMES = rf"""regexp_extract_all('  ' || regexp_replace(c.text, '([^A-Za-z0-9_])', '\1\1', 'g') || '  ', '[^A-Za-z0-9_]((?:(?:{TITLES})(?:\.\.)?\s+)?[A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]{{2,}}){{0,2}})[^A-Za-z0-9_]', 1)"""
+
+
+def entities(hits: str) -> str:
+    """en: query_id, name, idf and rank of the rare names in the passages of ``hits`` (query_id, id)."""
+    return rf"""n0 AS (SELECT DISTINCT h.query_id, k.query_text, regexp_replace(unnest({FOUND_NAMES}), '([^A-Za-z0-9_])[^A-Za-z0-9_]', '\1', 'g') AS name FROM {hits} h JOIN c ON c.id = h.id JOIN k ON k.id = h.query_id),
+        n1 AS (SELECT query_id, trim(name) AS name, regexp_split_to_array(lower(regexp_extract(name, '^(?:(?:{TITLES})\.?\s+)?([A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]{{2,}}){{0,2}})$', 1)), '\s+') AS ws, regexp_extract_all(lower(query_text), '[a-z]+') AS asked FROM n0),
+        n2 AS (SELECT query_id, name, round(max(idf), 6) AS idf FROM n1 JOIN te ON te.term = ws[len(ws)] WHERE len(list_filter(ws, lambda x: NOT list_contains(asked, x))) > 0 AND idf >= 5 GROUP BY query_id, name),
+        en AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idf DESC, name)::INTEGER AS rank FROM n2) WHERE rank <= 2)"""
+
+
+SQL |= {
+    "entity_candidates": f"WITH {INDEX}, {K}, {bm25(query_terms(), 3, 'h3')}, {entities('h3')} SELECT query_id, name, idf, rank FROM en",
+    "entity_expansion": f"""WITH {INDEX}, {K}, {bm25(query_terms(), 3, 'h3')}, {entities('h3')},
+        {bm25(f"SELECT DISTINCT query_id || '#' || rank AS query_id, NULL::VARCHAR AS scope, {TYPED('name')} AS term, {ONE} FROM en", 4, 'h4')},
+        mo AS (SELECT string_split(h4.query_id, '#')[1] AS query_id, string_split(h4.query_id, '#')[2]::INTEGER AS name_no, h4.id, h4.rank AS place FROM h4),
+        fr AS (SELECT query_id, id, min((name_no, place)) AS spot FROM mo ANTI JOIN h3 USING (query_id, id) GROUP BY query_id, id)
+        SELECT fr.query_id, fr.id, en.name, row_number() OVER (PARTITION BY fr.query_id ORDER BY spot)::INTEGER AS place FROM fr JOIN en ON en.query_id = fr.query_id AND en.rank = spot[1]""",
+}

@@ -10,8 +10,10 @@ passes. No string function is called for a row.
 To find names across the two tables, each name is looked for by its longest
 word. Words of the texts pass a bit table of fixed size (a megabyte, whatever
 the tables hold) that knows which words any name has as its longest, and only
-the places that pass are joined, by word and book, with the names. The piece of
-text around such a place then decides exactly, in both forms.
+the places that pass are joined, by word and book, with the names. A second table
+of fixed size tells how long the names of such a word are at most, so that a long
+name makes no other's pieces longer. The piece of text around such a place then
+decides exactly, in both forms.
 
 Null texts have the null form. Names without any letter or digit can't be read
 anywhere. Exact copies of a row count once; rows without an id take no part.
@@ -38,17 +40,18 @@ from .words import word_hashes
 # Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = dict(
     zip(
-        "аеорсухіѕјԁһӏԛԝɡ" "АВЕКМНОРСТУХІЅЈԚԜ" "ονραικχυ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "օս",
-        "aeopcyxisjdhlqwg" "ABEKMHOPCTYXISJQW" "ovpaikxu" "ABEZHIKMNOPTYX" "ou",
+        "аеорсухіѕјԁһӏԛԝɡ" "АВЕКМНОРСТУХІЅЈԚԜ" "ονραικχυ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "օսհցզյոՕՍԼՏ" "ⲟⲣⲥⲞⲢⲤⲦⲚⲘⲔⲎⲒ" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦᏴ" "ɑıɩʋ",
+        "aeopcyxisjdhlqwg" "ABEKMHOPCTYXISJQW" "ovpaikxu" "ABEZHIKMNOPTYX" "ouhgqjnOULS" "opcOPCTNMKHI" "DRTAJEWMHGZRWVSLCPKB" "aiiv",
         strict=True,
     )
 )
-APOSTROPHES = "'’‘‛ʼʹ′`´＇ʻˈ"
+APOSTROPHES = "'’‘‛ʼʹ′`´＇ʻˈꞌ"
 HYPHENS = "-‐‑‒–−⁃﹣－˗"
 UNSEEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, 0x2800, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
-#: Bits of the table of longest words.
+#: Bits of the table of longest words, and entries of the table of how long their names are (as a power of two).
 BITS = 1 << 23
+LENGTHS = 1 << 20
 
 
 def _form(point: int) -> list[int]:
@@ -197,9 +200,9 @@ def _name_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def _places(table, reach: int):
+def _places(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
+        bits, lengths = table.value
         for batch in batches:
             points, from_ = code_points(batch["text"])
             out, offsets, source = normal_points(points, from_)
@@ -208,6 +211,7 @@ def _places(table, reach: int):
             slot = hashes % np.uint64(BITS)
             hit = np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
             row = np.searchsorted(offsets, starts[hit], side="right") - 1
+            reach = np.int64(1) << lengths[(hashes[hit] % np.uint64(LENGTHS)).astype(np.int64)].astype(np.int64)
             low = np.maximum(offsets[row], starts[hit] - reach)
             high = np.minimum(offsets[row + 1], ends[hit] + reach)
             seen = strings(out[ragged(low, high - low)], np.concatenate(([0], np.cumsum(high - low))))
@@ -241,10 +245,13 @@ def read_but_not_written(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     words = filled.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # BITS / 64 rows at most
     bits = np.zeros(BITS // 64, np.uint64)
     bits[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
-    reach = names.agg(F.max(F.length("form"))).head()[0] or 0
+    reach = F.max(F.ceil(F.log2(F.greatest(F.length("form"), F.lit(1))))).cast("int")
+    long = names.groupBy(F.pmod("anchor", F.lit(LENGTHS)).cast("int").alias("slot")).agg(reach.alias("power")).toArrow()  # LENGTHS rows at most
+    lengths = np.zeros(LENGTHS, np.uint8)
+    lengths[np.asarray(long["slot"])] = np.asarray(long["power"])
     rows = chunks.select(F.col("id").cast("string").alias("chunk_id"), F.col("book_id").cast("string").alias("book_id"), F.col("text").cast("string").alias("text")).where("chunk_id is not null and text is not null")
     places = materialise(
-        rows.mapInArrow(_places(spark.sparkContext.broadcast(bits), int(reach)), "chunk_id string, book_id string, anchor bigint, seen string, written string"), "places"
+        rows.mapInArrow(_places(spark.sparkContext.broadcast((bits, lengths))), "chunk_id string, book_id string, anchor bigint, seen string, written string"), "places"
     )
     in_book = places.join(names.where("book_id is not null"), ["anchor", "book_id"])
     anywhere = places.drop("book_id").join(names.where("book_id is null").drop("book_id"), "anchor")

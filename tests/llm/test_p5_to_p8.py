@@ -136,6 +136,7 @@ def test_forms():
     assert form("Ｓｏｐо Do​se") == "sopo dose"
     assert form("Lodö Έ") == "lodö é"
     assert form("O’Ne O＇Ne a‑b") == "o'ne o'ne a-b"
+    assert form("ᎪᏞᏙ ⲟⲣⲥ hօսsе Lıɑ OꞌNe") == "alv opc house lia o'ne"
     assert form("ﬁn 𝖠𝖻") == "fin ab"
     assert form("ạ́") == form("ạ́") == unicodedata.normalize("NFC", "ạ́")
     assert form("é") != form("e") and form("a-b") != form("ab") and form("a'b") != form("ab")

@@ -9,6 +9,9 @@ from ..config import DEFAULTS
 from ..functions.text import count_matches
 from .lexical import LexicalIndex
 
+#: Terms counted in one pass.
+MOST_TERMS = 1000
+
 #: Fixed value: a capitalised run of up to three words, with or without a title.
 NAME = r"(?<![A-Za-z0-9_])((?:Mr|Mrs|Miss|Sir|Lady|Dr|Lord|Colonel|Captain)\.?\s+)?([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,2})(?![A-Za-z0-9_])"
 
@@ -16,10 +19,15 @@ NAME = r"(?<![A-Za-z0-9_])((?:Mr|Mrs|Miss|Sir|Lady|Dr|Lord|Colonel|Captain)\.?\s
 def mentions(chapters: DataFrame, terms: DataFrame) -> DataFrame:
     """term, book_id, chapter_index and mentions, where there are any.
 
-    ``chapters`` has book_id, chapter_index and text; ``terms`` has term, a short
-    list that a person typed (it is broadcast up to Spark's threshold, else joined as it comes).
+    ``chapters`` has book_id, chapter_index and text; ``terms`` has term, a list
+    that a person typed. More than ``MOST_TERMS`` different ones are a
+    ``ValueError``, so that every chapter is read once with all of them beside it.
     """
-    met = chapters.crossJoin(terms.distinct())
+    typed = [row["term"] for row in terms.where("term is not null").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(typed) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    listed = F.array(*map(F.lit, sorted(typed))) if typed else F.array().cast("array<string>")
+    met = chapters.select("book_id", "chapter_index", "text", F.explode(listed).alias("term"))
     return met.select("term", "book_id", "chapter_index", count_matches(F.col("text"), F.col("term")).cast("bigint").alias("mentions")).where("mentions > 0")
 
 

@@ -55,6 +55,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def release(spark: SparkSession, everything: bool = False) -> int:
     """Deletes the intermediate tables written so far, once the results made from them have been read; returns how many.
 
@@ -65,17 +71,21 @@ def release(spark: SparkSession, everything: bool = False) -> int:
         for key in [key for key in _lasting if key[0] == app]:
             del _lasting[key]
     gone = [path for path in _written.get(app, []) if everything or not path.rsplit("/", 1)[-1].startswith(INDEX)]
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in gone:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        files, where = _hadoop(spark, path)
+        files.delete(where, True)
     _written[app] = [path for path in _written.get(app, []) if path not in set(gone)]
     return len(gone)
 
 
 def lasting(spark: SparkSession, key: tuple, make: Callable[[], object]):
-    """What ``make`` builds, once for an application and ``key``."""
+    """What ``make`` builds, once for an application and ``key``; anew if someone has cleared the shared folder."""
     app = spark.sparkContext.applicationId
+    tables = [path for path in _written.get(app, []) if path.rsplit("/", 1)[-1].startswith(INDEX)]
+    if not all(files.exists(where) for files, where in (_hadoop(spark, path) for path in tables)):
+        for old in [old for old in _lasting if old[0] == app]:
+            del _lasting[old]
+        _written[app] = [path for path in _written[app] if path not in tables]
     if (app, *key) not in _lasting:
         _lasting[app, *key] = make()
     return _lasting[app, *key]

@@ -2,6 +2,7 @@
 
 import math
 import os
+import shutil
 from collections import Counter
 from types import SimpleNamespace
 
@@ -191,6 +192,11 @@ def test_intermediate_tables_are_released(spark):
     for _ in range(2):
         tables.lasting(spark, ("test",), lambda: made.append(1))
     assert len(made) == 1
+    # somebody clears the folder: what was built is built again
+    tables.lasting(spark, ("cleared",), lambda: tables.materialise(spark.range(3).toDF("id"), tables.INDEX + "test"))
+    for path in tables._written[spark.sparkContext.applicationId]:
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    assert tables.lasting(spark, ("cleared",), lambda: tables.materialise(spark.range(4).toDF("id"), tables.INDEX + "test")).count() == 4
 
 
 def test_no_folder_on_a_cluster(monkeypatch):

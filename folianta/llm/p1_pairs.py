@@ -236,7 +236,6 @@ def gives_back(asked: list[str], said: list[str]) -> bool:
 _SCRIPTS = (("ja", re.compile(r"[぀-ヿ]")), ("zh", re.compile(r"[㐀-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("ko", re.compile(r"[가-힯]")), ("ar", re.compile(r"[؀-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")))
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _BEYOND_LATIN = re.compile(r"[Ͱ-῿⺀-퟿豈-﫿]")
-_FIRST_LETTER = re.compile(r"[^\W\d_]")
 
 
 def script(text: str) -> str | None:

@@ -461,3 +461,49 @@ SQL |= {
         fr AS (SELECT query_id, id, min((name_no, place)) AS spot FROM mo ANTI JOIN h3 USING (query_id, id) GROUP BY query_id, id)
         SELECT fr.query_id, fr.id, en.name, row_number() OVER (PARTITION BY fr.query_id ORDER BY spot)::INTEGER AS place FROM fr JOIN en ON en.query_id = fr.query_id AND en.rank = spot[1]""",
 }
+
+DOT = "round(list_dot_product(a.vector, b.vector), 6)"
+#: For each chunk the nearest of each other book.
+OF_BOOKS = f"""{V}, nb AS (SELECT a_id, b_id, a_chapter, b_chapter, similarity FROM (
+  SELECT a.id AS a_id, b.id AS b_id, a.book_id || ':' || a.chapter_index AS a_chapter, b.book_id || ':' || b.chapter_index AS b_chapter, {DOT} AS similarity, row_number() OVER (PARTITION BY a.id, b.book_id ORDER BY {DOT} DESC, b.id) AS n
+  FROM v a JOIN v b ON a.book_id <> b.book_id) WHERE n = 1 AND similarity > -1)"""
+PLACE = "row_number() OVER (PARTITION BY book_id ORDER BY id) - 1 AS p, greatest(1, count(*) OVER (PARTITION BY book_id) // 60) AS st"
+#: The sentences of ``held`` as one list, for the fold below.
+HELD_SENTENCES = f"list_reduce(list_transform({parts('held')}, lambda p: [p]), lambda done, x: CASE WHEN regexp_matches(done[len(done)], '{ABBREVIATION}') THEN list_append(done[1:len(done) - 1], done[len(done)] || ' ' || x[1]) ELSE list_concat(done, x) END)"
+
+SQL |= {
+    "nn_pairs_library": f"WITH {OF_BOOKS} SELECT a_id, b_id, similarity FROM nb",
+    "diverse_pairs_library": f"""WITH RECURSIVE {OF_BOOKS}, pr AS (SELECT DISTINCT least(a_id, b_id) AS a_id, greatest(a_id, b_id) AS b_id, CASE WHEN a_id < b_id THEN a_chapter ELSE b_chapter END AS a_chapter, CASE WHEN a_id < b_id THEN b_chapter ELSE a_chapter END AS b_chapter, similarity FROM nb),
+        l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_chapter, b_chapter ORDER BY similarity DESC, a_id, b_id) AS m FROM pr) WHERE m = 1),
+        o AS MATERIALIZED (SELECT a_id, b_id, a_chapter, b_chapter, similarity, row_number() OVER (ORDER BY similarity DESC, a_id, b_id) AS i FROM l),
+        w AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS ua, []::VARCHAR[] AS ub, 0 AS place, false AS taken UNION ALL
+              SELECT i, CASE WHEN t THEN list_append(ua, a_chapter) ELSE ua END, CASE WHEN t THEN list_append(ub, b_chapter) ELSE ub END, place + t::INTEGER, t
+              FROM (SELECT o.i, o.a_chapter, o.b_chapter, ua, ub, place, (NOT list_contains(ua, o.a_chapter) AND NOT list_contains(ub, o.b_chapter)) AS t FROM w JOIN o ON o.i = w.i + 1 WHERE place < 5))
+        SELECT o.a_id, o.b_id, o.a_chapter, o.b_chapter, o.similarity, w.place FROM w JOIN o USING (i) WHERE w.taken""",
+    "baseline_similarity_library": f"""WITH {V}, p AS (SELECT book_id, vector FROM (SELECT book_id, vector, {PLACE} FROM v WHERE book_id IS NOT NULL) WHERE p % st = 0)
+        SELECT a.book_id AS a_book, b.book_id AS b_book, round(avg(list_dot_product(a.vector, b.vector)), 4) AS baseline FROM p a JOIN p b ON a.book_id < b.book_id GROUP BY ALL""",
+    "stub_rerank": f"""WITH {INDEX}, {K}, {bm25(query_terms(), 24)},
+        gv AS (SELECT h.query_id, h.id, h.rank AS place, len(list_intersect({SPLIT("coalesce(k.query_text, '')")}, {SPLIT("coalesce(substr(c.text, 1, 700), '')")})) AS shared FROM hits h JOIN c ON c.id = h.id JOIN k ON k.id = h.query_id)
+        SELECT query_id, id, place, new_place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, place)::INTEGER AS new_place FROM gv) WHERE new_place <= 8""",
+    # paragraphs of at most 350 words are units, longer ones are folded from their sentences first; then units are folded to chunks
+    "chunks_made": f"""WITH RECURSIVE {S}, sn AS (SELECT *, row_number() OVER () AS sid FROM s),
+        pp AS (SELECT sid, pn, paragraphs[pn] AS text FROM (SELECT sid, paragraphs, unnest(range(1, len(paragraphs) + 1)) AS pn FROM sn) WHERE length({squash('paragraphs[pn]')}) > 0),
+        {glued('pp', 'sid, pn', 'text')},
+        se AS (SELECT sid, pn, n::BIGINT AS n, piece, {n_words('piece')} AS m FROM glued), sz AS (SELECT sid, pn, sum(m)::BIGINT AS size FROM se GROUP BY ALL),
+        lg AS MATERIALIZED (SELECT se.* FROM se JOIN sz USING (sid, pn) WHERE size > 350),
+        lp AS (SELECT sid, pn, n, 1 AS g, m::BIGINT AS size FROM lg WHERE n = 1 UNION ALL
+               SELECT lg.sid, lg.pn, lg.n, CASE WHEN size + m > 350 THEN g + 1 ELSE g END, CASE WHEN size + m > 350 THEN m ELSE size + m END FROM lp JOIN lg ON lg.sid = lp.sid AND lg.pn = lp.pn AND lg.n = lp.n + 1),
+        un AS (SELECT sid, pn, 1 AS g, text, size FROM pp JOIN sz USING (sid, pn) WHERE size <= 350 UNION ALL SELECT sid, pn, g, string_agg(piece, ' ' ORDER BY n), sum(m)::BIGINT FROM lp JOIN lg USING (sid, pn, n) GROUP BY sid, pn, g),
+        uo AS MATERIALIZED (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY pn, g) AS u, text, size AS m FROM un UNION ALL SELECT sid, count(*) + 1, NULL, 0 FROM un GROUP BY sid),
+        fo AS (SELECT DISTINCT sid, 0::BIGINT AS u, NULL::VARCHAR AS held, 0::BIGINT AS size, NULL::VARCHAR AS made, 0::BIGINT AS words FROM uo UNION ALL
+               SELECT sid, u, CASE WHEN text IS NOT NULL THEN concat_ws(chr(10) || chr(10), CASE WHEN NOT flush THEN held WHEN tail_words <= 175 THEN tail END, text) END,
+                      m + CASE WHEN NOT flush THEN size WHEN tail_words <= 175 THEN tail_words ELSE 0 END, CASE WHEN flush THEN held END, size
+               FROM (SELECT *, array_to_string(ps[len(ps) - back + 1:], ' ') AS tail, list_sum(list_reverse(ws)[1:back])::BIGINT AS tail_words FROM (
+                 SELECT *, coalesce(list_position(list_transform(range(1, len(ws) + 1), lambda j: list_sum(list_reverse(ws)[1:j]) >= 60), true), len(ws)) AS back FROM (
+                   SELECT *, list_transform(ps, lambda x: {n_words('x')}) AS ws FROM (SELECT *, CASE WHEN flush THEN {HELD_SENTENCES} END AS ps FROM (
+                     SELECT uo.sid, uo.u, text, m, held, size, held IS NOT NULL AND (text IS NULL OR (size + m > 350 AND size > 0)) AS flush FROM fo JOIN uo ON uo.sid = fo.sid AND uo.u = fo.u + 1))))))
+        SELECT concat_ws(':', book_id, chapter_index, row_number() OVER (PARTITION BY sid ORDER BY u) - 1) AS id, words::INTEGER AS word_count, md5(made) AS digest FROM fo JOIN sn USING (sid) WHERE made IS NOT NULL""",
+    "chapter_notes": f"WITH {CHAPTERS}, {NOTED} SELECT book_id, chapter_index, md5(summary) AS digest, moments, 0 AS rewritten FROM nt",
+    "book_notes": f"""WITH {CHAPTERS}, {NOTED}, x AS (SELECT book_id, chapter_index, coalesce(title, '') || ': ' || summary AS line, 14000 // count(*) OVER (PARTITION BY book_id) AS room FROM nt JOIN e3 USING (book_id, chapter_index))
+        SELECT book_id, count(*) AS chapters, length({trim_("substr(string_agg(substr(line, 1, greatest(1, room)), chr(10) ORDER BY chapter_index), 1, 200)")})::INTEGER AS n FROM x GROUP BY book_id""",
+}

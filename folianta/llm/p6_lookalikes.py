@@ -13,7 +13,8 @@ the tables hold) that knows which words any name has as its longest, and only
 the places that pass are joined, by word and book, with the names. A second table
 of fixed size tells how long the names of such a word are at most, so that a long
 name makes no other's pieces longer. The piece of text around such a place then
-decides exactly, in both forms.
+decides exactly, in both forms. The places of a word that stands very often are
+salted: each salt meets the names of that word in a task of its own.
 
 Null texts have the null form. Names without any letter or digit can't be read
 anywhere. Exact copies of a row count once; rows without an id take no part.
@@ -52,6 +53,8 @@ UNSEEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, 0x2800, *range
 #: Bits of the table of longest words, and entries of the table of how long their names are (as a power of two).
 BITS = 1 << 23
 LENGTHS = 1 << 20
+#: Places of a word that meet its names in one task, some 20 MB.
+SALT_ROWS = 100_000
 
 
 def _form(point: int) -> list[int]:
@@ -235,7 +238,19 @@ def names_of_cases(cases: DataFrame) -> DataFrame:
     return each.mapInArrow(_name_anchors, schema).where("anchor is not null")
 
 
-def read_but_not_written(cases: DataFrame, chunks: DataFrame) -> DataFrame:
+def _salted(places: DataFrame, names: DataFrame, salt_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt``; names of a word with many places are there once for each of its salts."""
+    slot = F.pmod("anchor", F.lit(LENGTHS)).cast("int")
+    sizes = places.groupBy(slot.alias("slot")).agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts"))
+    # LENGTHS rows at most, 8 MB, whatever the tables hold; most slots have one salt and need no row
+    many = F.broadcast(materialise(sizes.where("salts > 1"), "salts"))
+    sized = lambda side: side.withColumn("slot", slot).join(many, "slot", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    salt = F.pmod(F.xxhash64("chunk_id", "seen"), F.col("salts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    return sized(places).withColumn("salt", salt).drop("slot", "salts"), sized(names).withColumn("salt", every).drop("slot", "salts")
+
+
+def read_but_not_written(cases: DataFrame, chunks: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """``case_id``, ``term_no``, ``chunk_id``: names that can be read in a text but aren't written in it so."""
     spark = cases.sparkSession
     names = materialise(names_of_cases(cases), "names")
@@ -253,8 +268,9 @@ def read_but_not_written(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     places = materialise(
         rows.mapInArrow(_places(spark.sparkContext.broadcast((bits, lengths))), "chunk_id string, book_id string, anchor bigint, seen string, written string"), "places"
     )
-    in_book = places.join(names.where("book_id is not null"), ["anchor", "book_id"])
-    anywhere = places.drop("book_id").join(names.where("book_id is null").drop("book_id"), "anchor")
+    places, names = _salted(places, names, salt_rows)
+    in_book = places.join(names.where("book_id is not null"), ["anchor", "salt", "book_id"])
+    anywhere = places.drop("book_id").join(names.where("book_id is null").drop("book_id"), ["anchor", "salt"])
     columns = ["case_id", "term_no", "chunk_id", F.contains("seen", "form").alias("read"), F.contains(F.lower("written"), F.lower("term")).alias("literal")]
     met = in_book.select(columns).unionByName(anywhere.select(columns))
     found = met.groupBy("case_id", "term_no", "chunk_id").agg(F.max("read").alias("read"), F.max("literal").alias("literal"))

@@ -163,6 +163,8 @@ def test_names_read_but_not_written(spark):
     b = spark.createDataFrame([(*c, 1, 1) for c in chunks + chunks[:2]], "id string, book_id string, text string, form int, anchor int")
     got = {(r.case_id, r.term_no, r.chunk_id) for r in p6_lookalikes.read_but_not_written(a, b).collect()}
     assert {("c1", 0, "k1"), ("c1", 1, "k4"), ("c2", 0, "k3")} <= got and not any(k == "k2" or c == "c5" for c, _, k in got)
+    salted = p6_lookalikes.read_but_not_written(a, b, salt_rows=1).collect()
+    assert len(salted) == len(got) and {(r.case_id, r.term_no, r.chunk_id) for r in salted} == got
     assert p6_lookalikes.read_but_not_written(a.limit(0), b).count() == 0
     assert p6_lookalikes.read_but_not_written(a, b.limit(0)).count() == 0
 

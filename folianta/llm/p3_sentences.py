@@ -50,7 +50,8 @@ _CANDIDATE = re.compile(rf"[{re.escape(TERMINATORS)}]+(?:[   ]?[»]|[\"'”
 _BLANK_LINE = re.compile(r"\s*\n[^\S\n]*\n\s*")
 _SPACE = re.compile(r"\s*")
 _THAI_SPACE = re.compile(r"(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
-_WORD_BEFORE = re.compile(r"(?:[^\W_]|[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0962\u0963])+\Z")
+#: The word a text ends with: what follows its last sign that is no letter, digit or mark (found from the end).
+_WORD_BEFORE = re.compile(r"(?:.*(?![\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0962\u0963])[\W_])?(.*)\Z", re.S)
 _WORD_AFTER = re.compile(r"[^\W_]{1,12}")
 _WIDE = set("。！？．।॥…")
 #: Signs that end a sentence wherever they stand bare before no small letter.
@@ -89,13 +90,13 @@ def candidates(text: str) -> Iterator[tuple[int, bool, tuple]]:
         end = found.end()
         sign = found.group()
         after = _SPACE.match(text, end).end()
-        gap = "" if after == end else "\n" if "\n" in text[end:after] else " "
+        gap = "" if after == end else "\n" if text.find("\n", end, after) >= 0 else " "
         stop = after == size or (gap == "\n" and text.count("\n", end, after) > 1 and _BLANK_LINE.fullmatch(text, end, after) is not None)
         bare = sign.rstrip("\"'”’“»)]」』）】*_   ")
         if not gap and after < size and bare[-1] not in _WIDE:
             # a space may be missing, but not inside a number, an abbreviation or an address
-            before = _WORD_BEFORE.search(text, max(0, found.start() - 24), found.start())
-            if not before or len(before.group()) < 2 or not before.group()[-1].islower() or _class(text[after]) not in "UO":
+            before = _WORD_BEFORE.match(text, max(0, end - len(sign) - 24), end - len(sign)).group(1)
+            if len(before) < 2 or not before[-1].islower() or _class(text[after]) not in "UO":
                 continue
         here = after
         opener = ""
@@ -105,8 +106,7 @@ def candidates(text: str) -> Iterator[tuple[int, bool, tuple]]:
         next_ = opener + (_class(text[here]) if here < size else "E")
         if next_ == "X" and not stop:
             continue
-        before = _WORD_BEFORE.search(text, max(0, found.start() - 24), found.start())
-        word = before.group()[-12:] if before else ""
+        word = _WORD_BEFORE.match(text, max(0, end - len(sign) - 24), end - len(sign)).group(1)[-12:]
         if word.isdigit():
             word = "#" * min(4, len(word))
         ahead = _WORD_AFTER.match(text, here)

@@ -3,6 +3,7 @@
 import math
 import os
 import shutil
+import time
 from collections import Counter
 from types import SimpleNamespace
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folianta.functions import text as T
-from folianta.operators import audit, dense, ingest, lexical, library, notes, providers, records, reuse
+from folianta.operators import audit, dense, ingest, lexical, library, notes, providers, records, reuse, similar
 from folianta.sources import index as store
 from folianta.sources import tables
 from folianta.sources.pages import read_pages, write_pages
@@ -207,3 +208,11 @@ def test_no_folder_on_a_cluster(monkeypatch):
     cluster = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x", getConf=Conf))
     with pytest.raises(tables.SharedFolderMissing):
         tables.shared_folder(cluster)
+
+
+def test_baselines_of_many_books_in_little_time(spark):
+    began = time.time()
+    vectors = spark.range(24_000).select(F.col("id"), F.concat(F.lit("b"), F.col("id") % 400).alias("book_id"), F.expr("transform(sequence(1, 64), i -> cast(hash(id, i) % 1000 / 1000.0 as double))").alias("vector"))
+    found = similar.baselines(vectors)
+    # 3,600 products for each of 79,800 pairs took minutes
+    assert found.count() == 79_800 and found.agg(F.sum("baseline")).first()[0] is not None and time.time() - began < 45

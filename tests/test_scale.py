@@ -210,6 +210,22 @@ def test_no_folder_on_a_cluster(monkeypatch):
         tables.shared_folder(cluster)
 
 
+def moved(spark):
+    """Bytes of shuffle files."""
+    made = spark.sparkContext.getConf().get("spark.local.dir")
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(made) for f in files if f.startswith("shuffle_"))
+
+
+def test_lexical_search_moves_no_posting_for_each_block_of_queries(spark):
+    passages = spark.range(800).select(F.concat(F.lit("p"), "id").alias("id"), F.lit("b").alias("book_id"), F.expr("array_join(transform(sequence(1, 150), i -> concat('w', abs(xxhash64(id, i)) % 3000)), ' ')").alias("text"))
+    asked = spark.range(6000).select(F.col("id").alias("query_id"), F.expr("concat('w', id % 3000, ' w', id * 7 % 3000)").alias("query"), F.lit(None).cast("string").alias("scope"))
+    index, terms = lexical.build(passages), lexical.query_terms(asked)
+    assert index.terms.count() == 3000
+    before = moved(spark)
+    assert lexical.search(index, terms, 3).count() > 10_000
+    assert moved(spark) - before < 4_000_000
+
+
 def test_baselines_of_many_books_in_little_time(spark):
     began = time.time()
     vectors = spark.range(24_000).select(F.col("id"), F.concat(F.lit("b"), F.col("id") % 400).alias("book_id"), F.expr("transform(sequence(1, 64), i -> cast(hash(id, i) % 1000 / 1000.0 as double))").alias("vector"))

@@ -232,3 +232,24 @@ def test_baselines_of_many_books_in_little_time(spark):
     found = similar.baselines(vectors)
     # 3,600 products for each of 79,800 pairs took minutes
     assert found.count() == 79_800 and found.agg(F.sum("baseline")).first()[0] is not None and time.time() - began < 45
+
+
+def test_dense_search_moves_no_vector_for_each_block_of_queries(spark):
+    vectors = spark.range(1900).select(F.concat(F.lit("v"), "id").alias("id"), F.concat(F.lit("b"), F.col("id") % 3).alias("book_id"), F.expr("transform(sequence(1, 64), i -> cast(hash(id, i) / 2147483648.0 as double))").alias("vector"))
+    asked = spark.range(25_000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, F.lit("b1")).alias("scope"), F.expr("transform(sequence(1, 64), i -> cast(hash(id, i, 1) / 2147483648.0 as double))").alias("vector"))
+    before = moved(spark)
+    assert dense.search(asked, vectors, 3).count() == 75_000
+    once = moved(spark)
+    # vectors moved for each 8,192 queries, 1 MB each time
+    assert dense.search(asked, vectors, 3, block_queries=8192).count() == 75_000
+    assert moved(spark) - once > once - before + 1_000_000
+    few = asked.where("query_id < 20")
+    want = {}
+    v = {r.id: (r.book_id, r.vector) for r in vectors.collect()}
+    for r in few.collect():
+        scores = sorted((-round(sum(x * y for x, y in zip(r.vector, w, strict=True)), 6), i) for i, (book, w) in v.items() if r.scope in (None, book))
+        want[r.query_id] = [i for _, i in scores[:3]]
+    got = {}
+    for r in dense.search(few, vectors, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == want

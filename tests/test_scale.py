@@ -7,6 +7,7 @@ import time
 from collections import Counter
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,59 @@ def test_dense_search_moves_no_vector_for_each_block_of_queries(spark):
     for r in dense.search(few, vectors, 3).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert got == want
+
+
+def _library_of(spark, books, each, seed):
+    """Vectors of ``books`` books, a third of them copies of others, so that products tie."""
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(books * each, 8)).astype(np.float32)
+    x[draw.integers(0, len(x), len(x) // 3)] = x[draw.integers(0, len(x), len(x) // 3)]
+    rows = [(f"b{i % books}:{i // books // 3}:{i}", f"b{i % books}", f"b{i % books}:{i // books // 3}", [float(n) for n in x[i]]) for i in range(len(x))]
+    return spark.createDataFrame([*rows, ("none", None, None, [1.0] * 8)], "id string, book_id string, chapter string, vector array<float>")
+
+
+def test_books_come_by_in_batches(spark):
+    from folianta.functions.vectors import unit
+
+    vectors = _library_of(spark, 5, 40, 1)
+    rows = [(r.id, r.book_id, np.array(r.v)) for r in vectors.select("id", "book_id", unit(F.col("vector")).alias("v")).collect() if r.book_id]
+    want = {}
+    for i, b, x in rows:
+        for j, c, y in rows:
+            if b != c:
+                want[i, c] = min(want.get((i, c), (2.0, "")), (-round(float(x @ y), 6), j))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        # a book goes over several batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        for block_rows in (30, 1000):
+            got = {(r.a_id, r.b_book): (-r.similarity, r.b_id) for r in similar.nearest_of_books(vectors, 8, block_rows, raw=True).collect()}
+            assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-6 for k in want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_rows_leave_a_task_book_by_book():
+    """What is held of a result is a book's rows, not those of all books of a task."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(2).normal(size=(60, 8)).tolist()
+    rows = [{"asks": True, "id": f"a{i}", "book_id": "a", "chapter": None, "vector": x[i]} for i in range(20)] + [{"asks": False, "id": f"{b}{i}", "book_id": b, "chapter": None, "vector": x[20 + i]} for b in "bcdef" for i in range(8)]
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=9)
+    found = list(similar._books_met(iter(batches), 8, True))
+    assert [(book, len(who)) for _, book, _, _, who in found] == [(b, 20) for b in "bcdef"]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_tasks_send_on_only_pairs_that_may_be_chosen(spark, monkeypatch, seed):
+    vectors = _library_of(spark, 6, 60, seed)
+    pairs = similar.nearest_of_books(vectors, 8, raw=True).select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), "similarity").distinct()
+    chapter = lambda side: vectors.select(F.col("id").alias(f"{side}_id"), F.col("chapter").alias(f"{side}_chapter"))
+    want = similar.diverse(pairs.join(chapter("a"), "a_id").join(chapter("b"), "b_id").select("a_id", "b_id", "a_chapter", "b_chapter", "similarity"), 3)
+    sent, real = [], similar.materialise
+    monkeypatch.setattr(similar, "materialise", lambda df, label: sent.append(real(df, label)) or sent[-1])
+    got = similar.diverse_of_books(vectors, 3, 8, block_rows=50, raw=True)
+    row = lambda r: (r.place, r.a_id, r.b_id, r.a_chapter, r.b_chapter, r.similarity)
+    assert sorted(map(row, got.collect())) == sorted(map(row, want.collect())) and got.count() == 3
+    tasks = 16
+    assert sent[0].count() <= tasks * 2 * 3 * 3 < pairs.count()

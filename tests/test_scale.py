@@ -310,3 +310,38 @@ def test_tasks_send_on_only_pairs_that_may_be_chosen(spark, monkeypatch, seed):
     assert sorted(map(row, got.collect())) == sorted(map(row, want.collect())) and got.count() == 3
     tasks = 16
     assert sent[0].count() <= tasks * 2 * 3 * 3 < pairs.count()
+
+
+def test_a_shard_is_scored_in_stretches():
+    """A task of several stretches sends on k rows for a query, the same as if it had one."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    shard = pa.table({"id": [f"p{i:03}" for i in range(200)], "book_id": [None if i % 17 == 0 else f"b{i % 3}" for i in range(200)], "words": [" ".join(draw.choice(words, draw.integers(0, 12))) for _ in range(200)]})
+    term = lambda w: {"term": str(w), "weight": float(draw.choice([1.0, 0.5])), "idf": 1.5}
+    queries = pa.table({"query_id": list(range(40)), "scope": pa.array([None if i % 4 else f"b{i % 5}" for i in range(40)], pa.string()), "terms": [[term(w) for w in draw.choice(words, 3, replace=False)] for _ in range(40)]})
+    one, *others = (lexical._scores(5, 6.0, lexical.DEFAULTS, stretch)(queries, shard).to_pydict() for stretch in (1000, 7, 64))
+    assert all(one == other for other in others) and max(Counter(one["query_id"]).values()) == 5 and len(set(one["query_id"])) > 30
+
+
+def test_words_alone_are_searched_for_what_is_wanted(spark, sf, monkeypatch):
+    from folianta.plans import corpus
+    from folianta.plans import queries as core
+
+    asked, real = [], lexical.search
+    monkeypatch.setattr(lexical, "search", lambda index, terms, k, *more: asked.append(k) or real(index, terms, k, *more))
+    lib, queries = corpus.library(spark, sf), corpus.queries(spark, sf)
+    few = library.retrieve(lib, queries, 4, mode="sparse", neighbours=0).select("query_id", "id", "score", "place").collect()
+    core.queries()["answer_relevance"](spark, sf)
+    assert asked == [4, 3]
+    many = library.retrieve(lib, queries, 24, mode="sparse", neighbours=0).where("place <= 4").select("query_id", "id", "score", "place").collect()
+    assert sorted(few) == sorted(many)
+
+
+@pytest.mark.parametrize("name", ["rerank_order", "claim_audit"])
+def test_a_search_is_run_once(spark, sf, name):
+    """What reads a search twice reads it from a table."""
+    from folianta.plans import queries as core
+
+    assert "CoGroups" not in core.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import numbered
+from ..functions.frames import may_meet, numbered
 from ..functions.text import citations, plain_lower, quote_words
 from ..functions.vectors import dot
 
@@ -17,9 +17,10 @@ def expected_hits(ranked: DataFrame, cases: DataFrame, passages: DataFrame) -> D
     """query_id, rank and hit: does the passage at a rank hold one of the case's expected terms?
 
     ``ranked`` has query_id, id and rank; ``cases`` query_id and any_of;
-    ``passages`` id and text.
+    ``passages`` id and text. Only texts that are ranked somewhere move.
     """
-    joined = ranked.join(cases.select("query_id", "any_of"), "query_id").join(passages.select("id", plain_lower(F.col("text")).alias("text")), "id")
+    texts = may_meet(passages.select("id", "text"), ranked.select("id"))
+    joined = ranked.join(cases.select("query_id", "any_of"), "query_id").join(texts.select("id", plain_lower(F.col("text")).alias("text")), "id")
     hit = F.exists("any_of", lambda t: F.contains(F.col("text"), plain_lower(t)))
     return joined.select("query_id", "rank", F.coalesce(hit, F.lit(False)).alias("hit"))
 

@@ -360,3 +360,70 @@ def test_shingles_of_one_passage_or_book_are_left_out(spark, sf, owner):
     condition = "a_id < b_id" + " and a_book <> b_book" * (owner == "book_id")
     told = lambda a: sorted(reuse.pairs(a, a, 1, condition).collect())
     assert told(every) == told(shared)
+
+
+def left(spark, most):
+    """Bytes of shuffle files, once deleting has come down to ``most`` or had its time."""
+    until = time.time() + 10
+    while moved(spark) > most and time.time() < until:
+        time.sleep(0.2)
+    return moved(spark)
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    before = moved(spark)
+    made = tables.materialise(spark.range(300_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")).repartition(5, "h"), "test")
+    assert made.count() == 300_000 and left(spark, before + 100_000) <= before + 100_000
+    assert spark.conf.get(tables.CLEANUP) == "false"
+
+
+def test_lexical_search_moves_no_passage(spark, monkeypatch):
+    passages = spark.range(4000).select(F.concat(F.lit("p"), "id").alias("id"), F.lit("b").alias("book_id"), F.expr("array_join(transform(sequence(1, 150), i -> concat('w', abs(xxhash64(id, i)) % 3000)), ' ')").alias("text"))
+    asked = spark.range(40).select(F.col("id").alias("query_id"), F.expr("concat('w', id, ' w', id + 7)").alias("query"), F.lit(None).cast("string").alias("scope"))
+    index, terms = lexical.build(passages), lexical.query_terms(asked)
+    assert index.terms.count() == 3000
+    # what the search shuffles stays, so that it can be counted
+    monkeypatch.setattr(tables, "CLEANUP", "spark.sql.test.none")
+    before = moved(spark)
+    one = lexical.search(index, terms, 3, block_queries=40).collect()
+    assert len(one) == 120 and moved(spark) - before < 500_000
+    assert sorted(one) == sorted(lexical.search(index, terms, 3, 50, 7).collect())
+
+
+def test_queries_of_the_same_terms_are_scored_once(spark, monkeypatch):
+    index = lexical.build(spark.createDataFrame(PASSAGES, "id string, book_id string, text string"))
+    sent, real = [], lexical.materialise
+    monkeypatch.setattr(lexical, "materialise", lambda df, label: sent.append((label, real(df, label))) or sent[-1][1])
+    asked = [(1, "old lamp", None), (2, "the lamp, old", None), (3, "old lamp", "x"), (4, "lamp old lamp", None), (5, "old mill", None)]
+    found = lexical.search(index, lexical.query_terms(spark.createDataFrame(asked, "query_id int, query string, scope string")), 3).collect()
+    got = {q: [(r.id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q, _, _ in asked}
+    old = [("old", 1.0), ("lamp", 1.0)]
+    assert got == {1: brute(old, None, 3), 2: brute(old, None, 3), 3: brute(old, "x", 3), 4: brute(old, None, 3), 5: brute([("old", 1.0), ("mill", 1.0)], None, 3)}
+    assert [df.count() for label, df in sent if label == "packs"] == [3]
+    # a query that comes with two books has the best of both
+    twice = spark.createDataFrame([(1, "lamp", "x"), (1, "lamp", "y"), (2, "lamp", "y")], "query_id int, query string, scope string")
+    rows = lexical.search(index, lexical.query_terms(twice), 3).collect()
+    both = sorted(brute([("lamp", 1.0)], "x", 9) + brute([("lamp", 1.0)], "y", 9), key=lambda x: (-x[1], x[0]))[:3]
+    assert [(r.id, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == 1] == both
+
+
+def test_texts_that_meet_nothing_do_not_move(spark):
+    from folianta.functions.frames import may_meet
+
+    texts = spark.range(20_000).select(F.concat(F.lit("p"), "id").alias("id"), F.lit("t").alias("text")).unionByName(spark.createDataFrame([(None, "t")], "id string, text string"))
+    named = texts.where("id like 'p7%' or id is null").select("id")
+    kept = may_meet(texts, named)
+    assert kept.join(named, "id", "left_semi").count() == named.where("id is not null").count() <= kept.count() < named.count() + 200
+    assert may_meet(texts, named.limit(0)).count() == 0
+    # the rows go before repeated ones are looked for
+    plan = may_meet(texts.dropDuplicates(["id"]), named)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("there(")
+
+
+@pytest.mark.parametrize("name", ["pass_rates", "bm25_alias", "topic_coverage", "entity_expansion"])
+def test_searches_of_all_cases_hold_no_passages_on_disk(spark, sf, name):
+    """Neither a shuffle of passages for a block nor one of queries for a shard is left in the plan."""
+    from folianta.plans import queries as core
+
+    plan = core.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" not in plan and "MapInArrow" not in plan

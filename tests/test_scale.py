@@ -427,3 +427,13 @@ def test_searches_of_all_cases_hold_no_passages_on_disk(spark, sf, name):
 
     plan = core.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroups" not in plan and "MapInArrow" not in plan
+
+
+def test_following_names_by_words_makes_no_vectors(spark, sf, monkeypatch):
+    from folianta.plans import corpus
+    from folianta.plans import queries as core
+
+    met, real = [], library.may_meet
+    monkeypatch.setattr(corpus, "vectors", lambda *_: pytest.fail("vectors are made"))
+    monkeypatch.setattr(library, "may_meet", lambda *given: met.append(1) or real(*given))
+    assert core.queries()["entity_expansion"](spark, sf).columns == ["query_id", "id", "name", "place"] and met

@@ -420,6 +420,25 @@ def test_texts_that_meet_nothing_do_not_move(spark):
     assert plan.index("Aggregate") < plan.index("there(")
 
 
+def test_an_index_is_made_without_moving_its_texts(spark, tmp_path, monkeypatch):
+    from folianta.functions import frames
+    from folianta.plans import corpus
+
+    rows = spark.range(4000).select(F.concat(F.lit("p"), F.col("id") % 3960).alias("id"), F.lit("b").alias("book_id"), F.expr("array_join(transform(sequence(1, 150), i -> sha2(concat(id % 3960, ' ', i), 256)), ' ')").alias("text"))
+    rows.unionByName(spark.createDataFrame([(None, "b", "lamp")] * 2, "id string, book_id string, text string")).write.parquet(f"{tmp_path}/chunks.parquet")
+    # what is shuffled stays, so that it can be counted
+    monkeypatch.setattr(tables, "CLEANUP", "spark.sql.test.none")
+    before = moved(spark)
+    index = corpus.index(spark, str(tmp_path))
+    # all texts have 39 MB, those of repeated ids 0.8 MB
+    assert moved(spark) - before < 2_000_000
+    assert {r.id: len(r.tokens) for r in index.split.collect()} == {f"p{n}": 150 for n in range(3960)} | {None: 1}
+    loaded = tables.load(spark, str(tmp_path), "chunks")
+    assert frames.once(loaded).count() == 3961
+    monkeypatch.setattr(frames, "MOST_REPEATED", 7)
+    assert frames.once(loaded).count() == 3961 and frames.once(loaded.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["pass_rates", "bm25_alias", "topic_coverage", "entity_expansion"])
 def test_searches_of_all_cases_hold_no_passages_on_disk(spark, sf, name):
     """Neither a shuffle of passages for a block nor one of queries for a shard is left in the plan."""

@@ -448,6 +448,14 @@ def test_searches_of_all_cases_hold_no_passages_on_disk(spark, sf, name):
     assert "CoGroups" not in plan and "MapInArrow" not in plan
 
 
+def test_books_of_hits_come_from_the_index(spark, sf):
+    """The chunks aren't read again and shuffled once more to drop repeated rows."""
+    from folianta.plans import queries as core
+
+    made = core.queries()["topic_coverage"](spark, sf)
+    assert not [path for path in made.inputFiles() if "chunks.parquet" in path]
+
+
 def test_following_names_by_words_makes_no_vectors(spark, sf, monkeypatch):
     from folianta.plans import corpus
     from folianta.plans import queries as core

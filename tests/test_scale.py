@@ -496,3 +496,28 @@ def test_a_share_is_rounded_as_spark_does(spark):
     want = spark.createDataFrame(of, "s bigint, u bigint").select("s", "u", F.round(F.coalesce(F.col("s") / F.nullif("u", F.lit(0)), F.lit(0.0)), 4).alias("r")).collect()
     shared, union = np.array([r.s for r in want]), np.array([r.u for r in want])
     assert reuse._rounded(shared, union).tolist() == [r.r for r in want]
+
+
+@pytest.mark.parametrize(("block", "stretch", "pairs"), [(1_000_000, 65_536, 500_000), (200, 60, 50)])
+def test_ranks_of_passages_for_their_own_words(spark, sf, block, stretch, pairs):
+    from folianta.plans import corpus
+
+    odd = [(*p, p[2]) for p in PASSAGES] + [("n1", "x", "nothing like it", "river"), ("n2", "x", "", ""), ("n3", "x", "lamp lamp mill", "unheard lamp"), ("n4", "x", "lamp", "unheard"), (None, "x", "lamp canal", "lamp")]
+    passages = spark.createDataFrame(odd, "id string, book_id string, text string, query string").unionByName(corpus.chunks(spark, sf).select("id", "book_id", "text", F.expr("substr(text, 1, 60)").alias("query")))
+    alike = spark.range(300).select(F.concat(F.lit("s"), "id").alias("id"), F.lit("x").alias("book_id"), F.expr("array_join(transform(sequence(1, 3 + id % 30), i -> concat('w', abs(xxhash64(id % 60, i)) % 40)), ' ')").alias("text"))
+    passages = passages.unionByName(alike.withColumn("query", F.expr("array_join(slice(split(text, ' '), 1, 4), ' ')")))
+    index = lexical.build(passages)
+    asked = passages.select(F.col("id").alias("query_id"), "query", F.lit(None).cast("string").alias("scope"))
+    want = sorted((r.id, r["rank"]) for r in lexical.search(index, lexical.query_terms(asked), 8).where("query_id = id").collect())
+    got = sorted(tuple(r) for r in lexical.own_ranks(index, asked, 8, block_queries=block, stretch=stretch, pairs=pairs).collect())
+    assert got == want and len({rank for _, rank in want}) == 8
+
+
+def test_own_words_are_not_scored_against_every_passage(spark, sf, monkeypatch):
+    from folianta.plans import queries as core
+
+    def no(*_, **__):
+        raise AssertionError("every query against every passage that holds one of its words")
+
+    monkeypatch.setattr(lexical, "_scores", no)
+    assert core.queries()["needle_rates_library"](spark, sf).count() == 2
